@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import fingerprints
+from lakebranch.llm import chat, fingerprints, mixing, token_counts
+
+WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,9 +19,98 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("source")
+
+
+OP4_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, (CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight FROM totals),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ()
+     - coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+     / (sum(weight) OVER (ORDER BY 3.0 * source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE) AS level
+  FROM weighed),
+shares AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE,
+         (SELECT first(level ORDER BY 3.0 * source_size / weight, place) FROM levels WHERE level * weight <= 3 * source_size) * weight) AS target
+  FROM levels),
+rests AS (
+  SELECT *, least(floor(target / greatest(source_size, 1)), 3)::BIGINT AS passes FROM shares),
+running AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, r.passes,
+         CASE WHEN r.passes >= 3 THEN 0 ELSE greatest(0, r.target - r.passes * r.source_size) END AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(s.size) OVER (PARTITION BY s.source, s.h) AS together
+  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       (size * (passes + CASE WHEN rest > 0 AND rest - (upto - together) >= together / 2.0 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running
+"""
+
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    turns = rows.unionByName(own).withColumn("parts", chat.text_parts(F.coalesce("text", F.lit(""))))
+    done = chat.format_chats(turns)
+    done = done.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(listed, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = rf"""
+WITH own AS (
+  SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')) AS t(conv_id, turn, role, text)),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM own)),
+sized AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + {len(chat.START + chat.SAYS + chat.END)})::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+#: Documents of more tokens than this are marked.
+TOKEN_LIMIT = 512
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    counts = token_counts.token_counts(table(spark, folder, "documents"), path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints,)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_chat_formatting, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL, "op7_chat_formatting": OP7_SQL}
