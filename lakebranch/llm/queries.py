@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import chat, fingerprints, mixing, token_counts
+from lakebranch.llm import chat, fingerprints, mixing, ngram_join, token_counts
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -19,6 +19,10 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
 
@@ -109,7 +113,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_chat_formatting, op8_token_counts)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op7_chat_formatting, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
