@@ -1,15 +1,54 @@
-"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing.
+
+Each stage works on all rows its predecessor kept and returns the columns of documents; the last returns the mix. What a stage
+returns is written as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakebranch.llm import decontamination, mixing, ngram_join, queries, shared, toxicity
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a toxicity score under 0.5; the model learns from the labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(~queries.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model, spans=False).filter("score < 0.5").select("row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by near-duplicate links, that of the least doc_id."""
+    groups = ngram_join.similar_groups(docs)
+    copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of the sources takes."""
+    return mixing.mix(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", not_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("decontamination", no_benchmark),
+    ("mixing", mixed),
+]
+#: SQL can express neither the trained model nor the components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = shared.written(docs, name)
     return docs

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import chat, fingerprints, mixing, ngram_join, token_counts
+from lakebranch.llm import chat, decontamination, fingerprints, mixing, ngram_join, token_counts, toxicity
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -60,6 +60,23 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document's label is kept from learning."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select(
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 CONTROL = r"\### Assistant: </turn> ok"
 
 
@@ -112,8 +129,12 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op7_chat_formatting, op8_token_counts)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 #: Odd multipliers of the positions in an n-gram.
 _PLACE = np.array([0xD6E8FEB86659FD93 * (2 * i + 1) ** 3 % 2**64 | 1 for i in range(64)], dtype=U)
@@ -58,12 +60,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of a run of texts: text i has words first[i]:first[i + 1]."""
+    """The words of a run of texts: text i has words first[i]:first[i + 1]; starts and ends are byte offsets."""
 
     first: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """The hash of each word's first n bytes, of the whole word where it has no more."""
+        return span_hashes(self.sums, self.starts, np.minimum(self.ends, self.starts + n))
 
     @property
     def counts(self) -> np.ndarray:
@@ -75,10 +82,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, longest: int = 0) -> Words:
-    """Words of each text; those of more than longest bytes are cut in pieces of that many (0: never)."""
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, off the prefix sums that words() makes."""
+    down = _powers(len(sums))[1]
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, longest: int = 0, gap: np.ndarray = _SPACE) -> Words:
+    """Words of each text; those of more than longest bytes are cut in pieces of that many (0: never).
+
+    gap marks the lower-cased bytes that part words.
+    """
     low = _LOWER[data]
-    solid = ~_SPACE[low]
+    solid = ~gap[low]
     edge = np.zeros(len(low) + 1, dtype=bool)  # a text begins here
     edge[offsets] = True
     begins, stops = solid.copy(), solid.copy()
@@ -91,11 +107,10 @@ def words(data: np.ndarray, offsets: np.ndarray, longest: int = 0) -> Words:
         starts = np.repeat(starts, pieces) + nth * longest
         ends = np.minimum(starts + longest, np.repeat(ends, pieces))
     first = np.searchsorted(starts, offsets)
-    up, down = _powers(len(low) + 1)
+    up, _ = _powers(len(low) + 1)
     sums = np.zeros(len(low) + 1, dtype=U)
     np.cumsum((low.astype(U) + U(1)) * up[: len(low)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
-    return Words(first, hashes, starts, ends)
+    return Words(first, span_hashes(sums, starts, ends), starts, ends, sums)
 
 
 def column_words(column: pa.Array, longest: int = 0) -> Words:
