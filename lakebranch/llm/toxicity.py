@@ -19,12 +19,14 @@ from lakebranch.llm.textops import MARKS, U, buffers, mix, words
 
 BITS = 18
 #: Features of a word: the whole and prefixes of so many bytes.
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 #: At most so many labelled documents of each label are learned from, in order of a hash of their id.
 TRAIN_ROWS = 2048
-#: A feature counts if so many training documents have it.
-MIN_DOCUMENTS = 3
-BIAS, RATE, EPOCHS, BATCH, DECAY, SEED = -6.0, 0.1, 16, 128, 1e-4, 7
+#: A feature counts if so many training documents have it, and toxic ones more often by so many standard errors.
+MIN_DOCUMENTS, ERRORS = 3, 3.0
+BIAS, RATE, BATCH, DECAY, SEED = -6.0, 0.1, 128, 1e-3, 7
+#: Passes over the training documents, more of them where they make few batches.
+EPOCHS, STEPS = 24, 400
 #: A sentence of at least this probability is reported.
 OFFENDING = 0.5
 _STOPS = np.zeros(256, dtype=bool)
@@ -78,7 +80,7 @@ class Model:
         return np.where(np.diff(b.first) > 0, -np.expm1(np.minimum(0, sums[b.first[1:]] - sums[b.first[:-1]])), 0.0)
 
 
-def train(labelled: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Model:
+def train(labelled: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     """Fits a model to (label, sentence offsets, features) of documents by Adam on mini-batches.
 
     Without documents of both labels all weights stay 0. Each label has half of the weight.
@@ -88,14 +90,17 @@ def train(labelled: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOC
     y = np.array([d[0] for d in labelled], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(weights.astype(np.float32), bias)
-    seen = np.zeros(1 << BITS, dtype=np.int32)
-    for _, _, f in labelled:
-        seen[np.unique(f)] += 1
-    known = seen >= min(MIN_DOCUMENTS, len(y))
+    seen = np.zeros((2, 1 << BITS))
+    for label, _, f in labelled:
+        seen[label, np.unique(f)] += 1
+    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
+    overall = seen.sum(axis=0) / n.sum()
+    error = np.sqrt(overall * (1 - overall) * (1 / n).sum()) + 1e-12
+    known = (seen.sum(axis=0) >= MIN_DOCUMENTS) & (seen[1] / n[1] - seen[0] / n[0] > ERRORS * error)
     share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     bm = bv = step = 0.0
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(labelled))):
         order = rng.permutation(len(labelled))
         for i in range(0, len(order), BATCH):
             some = [labelled[j] for j in order[i : i + BATCH] if len(labelled[j][2])]
@@ -112,7 +117,7 @@ def train(labelled: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOC
             clean = np.add.reduceat(logs, first[:-1])
             p = np.maximum(-np.expm1(clean), 1e-12)
             pull = np.where(label == 1, np.exp(clean) / p, -1.0) * part
-            g = -np.repeat(pull, np.diff(first)) / (1 + np.exp(-z)) / len(some)
+            g = -np.repeat(pull, np.diff(first)) * np.exp(-np.logaddexp(0, -z)) / len(some)
             grad = np.bincount(features, np.repeat(g, counts), minlength=1 << BITS) * known + DECAY * weights / len(some)
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
