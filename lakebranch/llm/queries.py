@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import chat, decontamination, fingerprints, mixing, ngram_join, token_counts, toxicity
+from lakebranch.llm import chat, decontamination, fingerprints, mixing, ngram_join, shared, token_counts, toxicity, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -60,6 +60,24 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"), shared.new_path(spark, "warc"))
+    return warc.read_archives(archives).withColumnRenamed("id", "page_id").drop("url")
+
+
+OP5_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+headed AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM hashed)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM headed
+"""
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label is kept from learning."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
@@ -134,8 +152,8 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op5_warc, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op7_chat_formatting": OP7_SQL}
