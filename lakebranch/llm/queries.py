@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import chat, decontamination, fingerprints, mixing, ngram_join, shared, token_counts, toxicity, warc
+from lakebranch.llm import chat, decontamination, fingerprints, html_extract, mixing, ngram_join, shared, token_counts, toxicity, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -151,8 +151,12 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op5_warc, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op5_warc, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
