@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakebranch.llm import chat, decontamination, fingerprints, html_extract, mixing, ngram_join, shared, token_counts, toxicity, warc
+from lakebranch.llm import chat, decontamination, fingerprints, html_extract, lm_score, mixing, ngram_join, shared, token_counts, toxicity, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -23,6 +23,42 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scores = lm_score.lm_scores(table(spark, folder, "documents"))
+    return scores.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
+OP3_SQL = rf"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS ws FROM documents),
+words AS (
+  SELECT doc_id, unnest(ws) AS w3, generate_subscripts(ws, 1) AS i FROM lists),
+grams AS (
+  SELECT *, lag(w3, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w2, lag(w3, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w1 FROM words),
+counts AS (
+  SELECT *, count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY doc_id, w3) AS c3,
+         CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY i > 1, w2, w3) - count(*) OVER (PARTITION BY i > 1, doc_id, w2, w3) ELSE 0 END AS c23,
+         CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY i > 2, w1, w2, w3) - count(*) OVER (PARTITION BY i > 2, doc_id, w1, w2, w3) ELSE 0 END AS c123
+  FROM grams),
+before AS (
+  SELECT *, lag(c3) OVER (PARTITION BY doc_id ORDER BY i) AS c2, lag(c23) OVER (PARTITION BY doc_id ORDER BY i) AS c12,
+         (SELECT count(*) FROM words) - count(*) OVER (PARTITION BY doc_id) AS n FROM counts),
+logs AS (
+  SELECT doc_id, c3, c123,
+         CASE WHEN c123 > 0 THEN ln(c123) - ln(c12)
+              WHEN c23 > 0 THEN ln(c23) - ln(c2) + (least(3, i) - 2) * ln({lm_score.ALPHA})
+              WHEN c3 > 0 THEN ln(c3) - ln(n) + (least(3, i) - 1) * ln({lm_score.ALPHA})
+              ELSE least(3, i) * ln({lm_score.ALPHA}) - ln(n + 1) END AS p
+  FROM before),
+sums AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (c123 > 0) AS n_longest, count(*) FILTER (c3 = 0) AS n_unseen, sum(p) AS log_score
+  FROM logs GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_longest, 0)::BIGINT AS n_longest, coalesce(n_unseen, 0)::BIGINT AS n_unseen,
+       round(coalesce(log_score, 0), 4) AS log_score, round(log_score / n_words, 4) AS mean_log_score
+FROM lists l LEFT JOIN sums s USING (doc_id)
+"""
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
 
@@ -156,8 +192,8 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op4_mixing, op5_warc, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op3_lm_score, op4_mixing, op5_warc, op6_toxicity, op7_chat_formatting, op8_token_counts, op9_decontamination, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op3_lm_score": OP3_SQL, "op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op7_chat_formatting": OP7_SQL}
