@@ -4,10 +4,11 @@
    sets are one class from the start. A block drops columns held by a single class and gives each other entry its column's count.
 2. A class can only have partners if at least need(n) of its n entries are in such columns, need(n) = ceil(t * n) for a least
    similarity t: by this bound most classes leave. The others' entries are put in one order, rarest columns first.
-3. Two partners share a column among each one's first n - need(n) + 1 entries, so only those enter the product. Star rounds first
-   match each column's classes with one of them, which joins groups of near copies without all of their pairs; columns whose
-   classes are joined by then leave. What remains is multiplied out: overlaps are summed by pair, and pairs are discarded whose
-   sizes, or whose overlap so far plus what can follow the last shared entry, are below the bound.
+3. Two partners share a column among each one's first n - need(n) + 1 entries, so only those enter the product; and where they
+   first meet, what each one has from there on must be enough. A star round first matches each column's classes with the one whose
+   entries are the most widely held, which joins groups of near copies without all of their pairs; columns whose classes are joined
+   by then leave. What remains is multiplied out: overlaps are summed by pair, and pairs are discarded whose overlap so far plus
+   what can follow the last shared entry is below the bound.
 4. Overlaps of the pairs left are counted over all entries, and exact links form the components.
 """
 
@@ -23,8 +24,6 @@ from lakebranch.llm import components, shared
 from lakebranch.llm.textops import U, column_words, distinct, mix, shingles
 
 WORDS, PERCENT = 5, 75
-#: Star rounds go on while the pairs left to multiply are more than so many times the entries.
-PAIRS_PER_ENTRY, STAR_ROUNDS = 4, 4
 
 
 def entries(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,41 +157,45 @@ def exact_links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.filter(linked(overlap, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two entries of one column can be the first that a linked pair shares: all further ones come after both."""
+    n_a, n_b, nth_a, nth_b = (F.col(f"{c}_{x}") for c in ("n", "nth") for x in (a, b))
+    return linked(F.least(n_a - nth_a, n_b - nth_b), n_a, n_b, percent)
+
+
 def links(rows: DataFrame, percent: int) -> DataFrame:
-    """(class, root) of rows (class, n, columns in order), root being the least class of its component."""
+    """(class, root) of rows (class, n, mass, columns in order), root being the least class of its component."""
     ahead = F.size("columns") - need(F.col("n"), percent) + 1
     first = F.posexplode(F.slice("columns", 1, ahead.cast("int"))).alias("nth", "column")
     alone = F.col("n") - F.size("columns")  # entries in no other class come before all others
-    prefixes = shared.written(rows.select("class", "n", alone.alias("alone"), first).withColumn("nth", F.col("nth") + F.col("alone")).drop("alone"), "prefixes")
-    edges = rows.sparkSession.createDataFrame([], "a long, b long")
-    roots, at, n_entries = None, prefixes, prefixes.count()
-    fits = lambda n, m: (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    for k in range(STAR_ROUNDS):
-        star = at.groupBy("column").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class", F.lit(k))).alias("star"))
-        met = at.join(star, "column").filter(F.col("class") != F.col("star.class"))
-        if roots is not None:
-            met = met.join(roots.select(F.col("class").alias("other"), F.col("root").alias("other_root")), F.col("star.class") == F.col("other"))
-            met = met.filter(F.col("root") != F.col("other_root"))
-        pairs = met.filter(fits(F.col("n"), F.col("star.n"))).select(F.least("class", "star.class").alias("a"), F.greatest("class", "star.class").alias("b")).distinct()
-        edges = shared.written(edges.unionByName(exact_links(pairs, rows, percent)), "edges")
-        roots = components.roots(edges, rows.select("class"))
-        joined = prefixes.join(roots, "class")
-        apart = joined.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"))
-        apart = apart.filter("low < high").select("column", "k")
-        at = shared.written(joined.join(apart, "column"), "apart")
-        left = at.groupBy("column").agg(F.first("k").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-        if left <= PAIRS_PER_ENTRY * n_entries:
-            break
-    if left:
-        one, two = (at.select("column", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "nth", "root")]) for x in "ab")
-        met = one.join(two, "column").filter(F.col("class_a") < F.col("class_b")).filter(F.col("root_a") != F.col("root_b"))
-        product = met.filter(fits(F.col("n_a"), F.col("n_b"))).groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        sums = product.agg(F.count("*").alias("overlap"), *[F.max(c).alias(c) for c in ("nth_a", "nth_b", "n_a", "n_b")])
-        most = F.col("overlap") + F.least(F.col("n_a") - 1 - F.col("nth_a"), F.col("n_b") - 1 - F.col("nth_b"))
-        pairs = sums.filter(linked(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-        edges = shared.written(edges.unionByName(exact_links(pairs, rows, percent)), "edges")
-        roots = components.roots(edges, rows.select("class"))
-    return roots
+    prefixes = rows.select("class", "n", "mass", alone.alias("alone"), first).withColumn("nth", (F.col("nth") + F.col("alone")).cast("int")).drop("alone")
+    prefixes = shared.written(prefixes, "prefixes")
+    held = prefixes.groupBy("column").agg(F.count("*").alias("k"), F.max_by(F.struct("class", "n", "nth"), F.struct("mass", "class")).alias("star"))
+    held = shared.written(held.filter("k > 1").select("column", *[F.col(f"star.{c}").alias(f"{c}_star") for c in ("class", "n", "nth")]), "stars")
+    named = prefixes.select("column", *[F.col(c).alias(f"{c}_own") for c in ("class", "n", "nth")])
+    met = named.join(held, (named["column"] == held["column"]) & (F.col("class_own") != F.col("class_star")) & may_link("own", "star", percent))
+    pairs = met.select(F.least("class_own", "class_star").alias("a"), F.greatest("class_own", "class_star").alias("b")).distinct()
+    edges = shared.written(exact_links(pairs, rows, percent), "edges")
+    roots = components.roots(edges, rows.select("class"))
+    joined = shared.written(prefixes.drop("mass").join(roots, "class"), "rooted")
+    by_root = joined.groupBy("column", "root").agg(F.count("*").alias("k"))
+    most = by_root.groupBy("column").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("column", "main")
+    at = shared.written(joined.join(most, "column"), "apart")
+    # a pair of two roots has a class outside the column's main root; pairs of one root are joined by now
+    one, two = (at.select("column", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "nth", "root")]) for x in "ab")
+    met = one.filter(F.col("root_a") != F.col("main")).drop("main").join(
+        two,
+        (one["column"] == two["column"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == two["main"]) | (F.col("class_a") < F.col("class_b"))) & may_link("a", "b", percent),
+    )
+    low = F.col("class_a") < F.col("class_b")
+    sorted_pair = [F.when(low, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("class", "n", "nth") for x, y in ("ab", "ba")]
+    sums = met.select(*sorted_pair).groupBy("class_a", "class_b").agg(F.count("*").alias("overlap"), *[F.max(c).alias(c) for c in ("nth_a", "nth_b", "n_a", "n_b")])
+    reach = F.col("overlap") + F.least(F.col("n_a") - 1 - F.col("nth_a"), F.col("n_b") - 1 - F.col("nth_b"))
+    pairs = sums.filter(linked(reach, F.col("n_a"), F.col("n_b"), percent)).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    more = shared.written(exact_links(pairs, rows, percent), "edges")
+    if more.isEmpty():
+        return roots
+    return components.roots(edges.unionByName(more), rows.select("class"))
 
 
 def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +215,8 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.flatten(F.collect_list(F.arrays_zip(F.col("holders").alias("h"), F.col("columns").alias("c")))).alias("entries")
     )
     near = found.filter(F.size("entries") >= need(F.col("n"), percent))
-    near = shared.written(near.select("class", "n", F.transform(F.array_sort("entries"), lambda e: e["c"]).alias("columns")), "near")
+    mass = F.aggregate("entries", F.lit(0.0), lambda m, e: m + e["h"]) / F.col("n")
+    near = shared.written(near.select("class", "n", mass.alias("mass"), F.transform(F.array_sort("entries"), lambda e: e["c"]).alias("columns")), "near")
     roots = links(near, percent)
     classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least")).join(roots, "class", "left")
     classes = shared.written(classes.withColumn("root", F.coalesce("root", "class")), "classes")
