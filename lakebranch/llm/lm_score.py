@@ -2,8 +2,8 @@
 
 The count tables are partitioned by n-gram hash and joined to the documents' n-grams, both in packed rows: a batch of documents
 sends each block the sorted distinct hashes of its n-grams that fall there, with their counts; the block sums counts over all
-batches and answers each row with the sums in the same order; the batch's words, sent along as ranks, meet the answers and are
-scored and summed by document. No row is ever made for a single occurrence, and an n-gram of any frequency is one entry a batch.
+batches and answers each row with the sums in the same order; the batch's words, sent as ranks, meet the answers and are scored
+and summed by document. No row is ever made for a single occurrence, and an n-gram of any frequency is one entry a batch.
 
 A document is scored against the counts of all others (its own are subtracted), so that repeating oneself doesn't count as
 fluency. A word after its up to two predecessors has probability c(w1 w2 w3) / c(w1 w2) if that is above 0, else ALPHA times
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -74,57 +73,80 @@ def counted(hashes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return hashes[new], np.diff(np.append(new, len(hashes))) if weights is None else np.add.reduceat(weights, new)
 
 
+def batch_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, hashes of all words) of a batch, worked out in parts."""
+    parts = [column_words(x.column("text")) for x in shared.sliced(batch, "text", 2 << 20)]
+    return np.concatenate([w.counts for w in parts]), np.concatenate([w.hashes for w in parts])
+
+
+def distinct_grams(lengths: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    return counted(np.concatenate([h for _, h in grams(hashes, first, order)]))
+
+
+def batch_name(number: int) -> int:
+    return TaskContext.get().partitionId() << 20 | number
+
+
 def requests(rows: DataFrame, order: int, parts: int) -> DataFrame:
-    """(block, batch, ids, data) of rows (id, text): a row for each block of a batch's n-grams, and one of its words (ids not null)."""
-    kind = rows.schema["id"].dataType.simpleString()
+    """(block, batch, data) of rows (id, text): for each block of a batch's distinct n-grams their hashes, in order, and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            name = TaskContext.get().partitionId() << 20 | number
-            w = column_words(batch.column("text"))
-            known, counts = counted(np.concatenate([h for _, h in grams(w.hashes, w.first, order)]))
+            known, counts = distinct_grams(*batch_words(batch), order)
             block = ((known >> U(48)) * U(parts)) >> U(16)
             lines = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
             ends = np.append(lines[1:], len(block))
-            data = [packed(np.diff(known[i:j], prepend=U(0)), counts[i:j].astype(np.uint32)) for i, j in zip(lines, ends, strict=True)]
-            vocabulary, at, often = np.unique(w.hashes, return_inverse=True, return_counts=True)
+            data = [packed(np.diff(known[i:j], prepend=U(0)), counts[i:j].astype(np.uint32)) for i, j in zip(lines, ends, strict=len(lines) > 0)]
+            names = np.full(len(data), batch_name(number), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block[lines].astype(np.int32)), pa.array(names), pa.array(data, pa.binary())], ["block", "batch", "data"])
+
+    return rows.mapInArrow(run, "block int, batch long, data binary")
+
+
+def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
+    """(batch, block, ids, data) of rows (id, text): a row of a batch's ids and words, block -1.
+
+    The rows are read a second time here; batches must be those of requests(), as they are when rows come from files; scored() checks that they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            lengths, hashes = batch_words(batch)
+            vocabulary, at, often = np.unique(hashes, return_inverse=True, return_counts=True)
             by_rank = np.argsort(-often, kind="stable")
             rank = np.empty(len(by_rank), np.uint32)
             rank[by_rank] = np.arange(len(by_rank))
-            words = packed(w.counts.astype(np.uint32), vocabulary[by_rank], rank[at])
+            data = packed(lengths.astype(np.uint32), vocabulary[by_rank], rank[at])
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))
-            ids = pa.concat_arrays([pa.nulls(len(data), ids.type), ids])
-            blocks = np.append(block[lines].astype(np.int32), np.int32(number % parts))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(blocks), name)), ids, pa.array([*data, words], pa.binary())], ["block", "batch", "ids", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch_name(number)]), pa.array([-1], pa.int32()), ids, pa.array([data], pa.binary())], ["batch", "block", "ids", "data"])
 
-    return rows.mapInArrow(run, f"block int, batch long, ids array<{kind}>, data binary")
+    return rows.mapInArrow(run, f"batch long, block int, ids array<{kind}>, data binary")
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
-    """The rows of asked, in those of n-grams the counts replaced by sums over all batches."""
+    """The rows of asked with counts summed over all batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
-        schema = None
+        held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            schema = batch.schema
-            is_words = batch.column("ids").is_valid()
-            yield batch.filter(is_words)
-            rest = batch.filter(pc.invert(is_words))
-            for block, name, data in zip(rest.column("block").to_pylist(), rest.column("batch").to_pylist(), rest.column("data").to_pylist(), strict=True):
-                steps, counts = unpacked(data)
-                held.setdefault(block, []).append((name, [np.cumsum(steps, dtype=U), counts]))
+            for block, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(block, []).append((name, data))
         for block in list(held):
             rows = held.pop(block)
-            known, sums = counted(np.concatenate([r[0] for _, r in rows]), np.concatenate([r[1] for _, r in rows]).astype(np.int64))
-            for name, (hashes, _) in rows:
-                got = sums[np.searchsorted(known, hashes)]
-                small = got.astype(np.uint32) if not len(got) or got.max() < 1 << 32 else got.astype(U)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([name]), pa.nulls(1, schema.field("ids").type), pa.array([packed(small)], pa.binary())], schema=schema)
+            got = [unpacked(data) for _, data in rows]
+            hashes = [np.cumsum(steps, dtype=U) for steps, _ in got]
+            known, sums = counted(np.concatenate(hashes), np.concatenate([c for _, c in got]).astype(np.int64))
+            for (name, _), mine in zip(rows, hashes, strict=True):
+                found = sums[np.searchsorted(known, mine)]
+                small = found.astype(np.uint32) if not len(found) or found.max() < 1 << 32 else found.astype(U)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block], pa.int32()), pa.array([packed(small)], pa.binary())], ["batch", "block", "data"])
 
-    return asked.repartitionById(parts, F.col("block")).mapInArrow(run, asked.schema)
+    return asked.repartitionById(parts, F.col("block")).mapInArrow(run, "batch long, block int, data binary")
 
 
 def scored(first: np.ndarray, hashes: np.ndarray, counts: np.ndarray, order: int, alpha: float) -> dict[str, np.ndarray]:
@@ -133,6 +155,8 @@ def scored(first: np.ndarray, hashes: np.ndarray, counts: np.ndarray, order: int
     text = np.repeat(np.arange(n), np.diff(first))
     spans = grams(hashes, first, order)
     known, _ = counted(np.concatenate([h for _, h in spans]))
+    if len(known) != len(counts):
+        raise ValueError("the rows came in other batches when they were read again; write them to a table first")
     others = []  # by length, the count in other texts of the n-gram that ends at each place; 0 where none does
     for at, h in spans:
         own = np.empty(len(at), np.int64)
@@ -188,20 +212,20 @@ def lm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
         now, ids, words, found = None, None, b"", []
         for batch in batches:
             lists = batch.column("ids")
-            for i, (block, name, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "batch", "data")), strict=True)):
+            for i, (name, block, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("batch", "block", "data")), strict=True)):
                 if name != now:
                     if now is not None:
                         yield work(ids, words, found)
                     now, found = name, []
-                if lists[i].is_valid:
+                if block < 0:
                     ids, words = lists[i].values, data
                 else:
                     found.append((block, data))
         if now is not None:
             yield work(ids, words, found)
 
-    answered = answers(requests(rows, order, parts), parts)
-    met = answered.repartition(parts, "batch").sortWithinPartitions("batch")
+    answered = answers(requests(rows, order, parts), parts).withColumn("ids", F.lit(None).cast(f"array<{kind}>"))
+    met = batch_rows(rows, kind).unionByName(answered).repartition(parts, "batch").sortWithinPartitions("batch")
     schema = f"id {kind}, n_words long, n_longest long, n_single long, n_unseen long, log_sum double"
     sums = shared.written(met.mapInArrow(run, schema), "lm-sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
