@@ -92,7 +92,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
-    """(class, n, columns, holders) for each block and class: its entries in columns of two classes or more."""
+    """(bucket, block, packed): each class's entries of the block in columns of two classes or more, by the bucket of the class."""
 
     def work(block: int, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [unpacked(x) for x in rows]
@@ -117,16 +117,24 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         count = np.diff(np.append(lines, len(column)))
         held = np.repeat(count, count)
         column, holder, held = column[held > 1], holder[held > 1], held[held > 1]
-        order = np.argsort(holder, kind="stable")
+        bucket = (names % U(parts)).astype(np.int32)
+        order = np.lexsort((holder, bucket[holder]))
         column, holder, held = column[order], holder[order], held[order]
-        own, at = np.unique(holder, return_index=True)
-        offsets = np.append(at, len(holder)).astype(np.int32)
-        ids = (U(block) << U(48) | column).view(np.int64)
-        for i in range(0, len(own), 4096):
-            o = offsets[i : i + 4097]
-            lists = [pa.ListArray.from_arrays(o - o[0], pa.array(x[o[0] : o[-1]])) for x in (ids, held.astype(np.int32))]
-            some = own[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(size[some].astype(np.int64)), *lists], ["class", "n", "columns", "holders"])
+        own, at, counts = np.unique(holder + (bucket[holder].astype(np.int64) << 32), return_index=True, return_counts=True)
+        owner, to = holder[at], bucket[holder[at]]
+        ends = np.append(at, len(holder))
+        lines = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        out = []
+        for i, j in zip(lines, np.append(lines[1:], len(to)), strict=True):
+            mine, some = slice(ends[i], ends[j]), owner[i:j]
+            ids = column[mine]
+            arrays = (
+                np.array([j - i, len(ids)], np.uint32), names[some], size[some], counts[i:j].astype(np.uint32), held[mine].astype(np.uint32),
+                (ids & U(0xFFFFFFFF)).astype(np.uint32), (ids >> U(32)).astype(np.uint16),
+            )
+            out.append(b"".join(x.tobytes() for x in arrays))
+        n = len(out)
+        yield pa.RecordBatch.from_arrays([pa.array(to[lines]), pa.array(np.full(n, block, np.int32)), pa.array(out, pa.binary())], ["bucket", "block", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[bytes]] = {}
@@ -137,7 +145,51 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             yield from work(block, rows.pop(block))
 
     dealt = packed.repartitionById(parts, F.col("block"))
-    return dealt.mapInArrow(run, "class long, n long, columns array<long>, holders array<int>")
+    return dealt.mapInArrow(run, "bucket int, block int, packed binary")
+
+
+def likely(found: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(class, n, mass, columns) of classes with enough shared entries for a partner: columns are ordered by how many hold them, mass is
+    the mean of that over all n."""
+
+    def work(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts_: list[list[np.ndarray]] = [[], [], [], []]
+        for block, data in rows:
+            k, m = np.frombuffer(data, np.uint32, 2).tolist()
+            classes = np.frombuffer(data, U, k, 8)
+            n, counts = np.frombuffer(data, np.uint32, 2 * k, 8 + 8 * k).reshape(2, k)
+            held, low = np.frombuffer(data, np.uint32, 2 * m, 8 + 16 * k).reshape(2, m)
+            high = np.frombuffer(data, np.uint16, m, 8 + 16 * k + 8 * m)
+            ids = U(block) << U(48) | high.astype(U) << U(32) | low.astype(U)
+            for x, y in zip(parts_, (np.repeat(classes, counts), np.repeat(n, counts), held, ids), strict=True):
+                x.append(y)
+        owner, n, held, ids = (np.concatenate(x) for x in parts_)
+        names, at, inverse, counts = np.unique(owner, return_index=True, return_inverse=True, return_counts=True)
+        sizes = n[at].astype(np.int64)
+        keep = counts >= -(-sizes * percent // 100)
+        inside = keep[inverse]
+        inverse, held, ids = inverse[inside], held[inside], ids[inside]
+        order = np.lexsort((ids, held, inverse))
+        held, ids = held[order], ids[order]
+        names, sizes, counts = names[keep], sizes[keep], counts[keep]
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        sums = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+        mass = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(sizes, 1)
+        for i in range(0, len(names), 1024):
+            some = slice(i, i + 1024)
+            o = offsets[i : i + 1025]
+            lists = pa.ListArray.from_arrays((o - o[0]).astype(np.int32), pa.array(ids[o[0] : o[-1]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(sizes[some]), pa.array(mass[some]), lists], ["class", "n", "mass", "columns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for bucket, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.setdefault(bucket, []).append((block, data))
+        for bucket in list(rows):
+            yield from work(rows.pop(bucket))
+
+    return found.repartitionById(parts, F.col("bucket")).mapInArrow(run, "class long, n long, mass double, columns array<long>")
 
 
 def need(n: Column, percent: int) -> Column:
@@ -211,12 +263,7 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     members = shared.written(memberships(rows, words), "members")
     parts = min(shared.partitions(spark), 1 << 16)
-    found = shared_entries(blocks(rows, words, parts), parts).groupBy("class", "n").agg(
-        F.flatten(F.collect_list(F.arrays_zip(F.col("holders").alias("h"), F.col("columns").alias("c")))).alias("entries")
-    )
-    near = found.filter(F.size("entries") >= need(F.col("n"), percent))
-    mass = F.aggregate("entries", F.lit(0.0), lambda m, e: m + e["h"]) / F.col("n")
-    near = shared.written(near.select("class", "n", mass.alias("mass"), F.transform(F.array_sort("entries"), lambda e: e["c"]).alias("columns")), "near")
+    near = shared.written(likely(shared_entries(blocks(rows, words, parts), parts), parts, percent), "near")
     roots = links(near, percent)
     classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least")).join(roots, "class", "left")
     classes = shared.written(classes.withColumn("root", F.coalesce("root", "class")), "classes")
