@@ -114,8 +114,16 @@ def ours(spark: SparkSession, folder: str) -> Snapshot:
     return ops.apply_all(base(spark, folder), OURS)[0]
 
 
-def theirs(spark: SparkSession, folder: str) -> Snapshot:
-    return ops.apply_all(base(spark, folder), THEIRS)[0]
+def pair(spark: SparkSession, folder: str, edits: list[dict]) -> tuple[Snapshot, Snapshot]:
+    """The base and what edits make of it."""
+    b = base(spark, folder)
+    return b, ops.apply_all(b, edits)[0]
+
+
+def three(spark: SparkSession, folder: str) -> tuple[Snapshot, Snapshot, Snapshot]:
+    """The base, the target and the branch."""
+    b = base(spark, folder)
+    return b, ops.apply_all(b, OURS)[0], ops.apply_all(b, THEIRS)[0]
 
 
 def base_rows() -> list[dict]:

@@ -86,8 +86,8 @@ def identity_carry_forward(spark, d):
     """A second introspection keeps the ids that the first one's edits left."""
     before = X.ours(spark, d)
     now = introspect.introspect(spark, X.tables(spark, d), X.sidecar(), before)
-    old = before.columns.select("column_id", F.lit(True).alias("known"))
-    rows = now.columns.join(now.tables.select("table_id", F.col("name").alias("table_name")), "table_id").join(old, "column_id", "left")
+    old = before.columns.select("table_id", "name", F.lit(True).alias("known"))
+    rows = now.columns.join(now.tables.select("table_id", F.col("name").alias("table_name")), "table_id").join(old, ["table_id", "name"], "left")
     return rows.select("table_name", "name", "column_id", F.coalesce("known", F.lit(False)).alias("carried"))
 
 
@@ -167,27 +167,27 @@ _FIELDS = ["kind", "table_name", "object_name", "object_id", "from_value", "to_v
 
 
 def diff_columns(spark, d):
-    return diff.diff_columns(X.base(spark, d), X.theirs(spark, d)).select(_FIELDS)
+    return diff.diff_columns(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
 
 
 def diff_tables(spark, d):
-    return diff.diff_tables(X.base(spark, d), X.theirs(spark, d)).select(_FIELDS)
+    return diff.diff_tables(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
 
 
 def diff_indexes(spark, d):
-    return diff.diff_indexes(X.base(spark, d), X.theirs(spark, d)).select(_FIELDS)
+    return diff.diff_indexes(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
 
 
 def diff_constraints(spark, d):
-    return diff.diff_constraints(X.base(spark, d), X.theirs(spark, d)).select(_FIELDS)
+    return diff.diff_constraints(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
 
 
 def diff_destructive(spark, d):
-    return diff.diff(X.base(spark, d), X.ours(spark, d)).filter("destructive").select(_FIELDS)
+    return diff.diff(*X.pair(spark, d, X.OURS)).filter("destructive").select(_FIELDS)
 
 
 def diff_describe(spark, d):
-    return diff.diff(X.base(spark, d), X.theirs(spark, d)).select("object_id", "kind", "description", "destructive")
+    return diff.diff(*X.pair(spark, d, X.THEIRS)).select("object_id", "kind", "description", "destructive")
 
 
 def diff_empty(spark, d):
@@ -197,7 +197,7 @@ def diff_empty(spark, d):
 
 def branch_diff(spark, d):
     """What a branch changed since it was made, and whether its live schema drifted from what is recorded."""
-    first, head = X.base(spark, d), X.ours(spark, d)
+    first, head = X.pair(spark, d, X.OURS)
     live = introspect.introspect(spark, X.tables(spark, d), X.sidecar())
     drifted = hashing.snapshot_hash(head).first() != hashing.snapshot_hash(live).first()
     return diff.diff(first, head).groupBy("kind").agg(F.count("*").alias("changes")).withColumn("drifted", F.lit(drifted))
@@ -231,7 +231,7 @@ def merge_attribute(spark, d):
 
 
 def _merged(spark, d) -> merge.Merge:
-    return merge.merge(X.base(spark, d), X.ours(spark, d), X.theirs(spark, d))
+    return merge.merge(*X.three(spark, d))
 
 
 def merge_columns(spark, d):
@@ -265,7 +265,8 @@ def _resolutions(spark) -> DataFrame:
 
 
 def merge_resolved(spark, d):
-    s = merge.resolved(_merged(spark, d), X.theirs(spark, d), _resolutions(spark))
+    sides = X.three(spark, d)
+    s = merge.resolved(merge.merge(*sides), sides[2], _resolutions(spark))
     return s.typed_columns().select("column_id", "name", "type_sql", "default_expr")
 
 
@@ -294,12 +295,12 @@ def classify_type_change(spark, d):
 
 
 def classify_change(spark, d):
-    rows = diff.diff(X.base(spark, d), X.theirs(spark, d)).filter("kind NOT IN ('COLUMN_ADDED', 'COLUMN_TYPE_CHANGED')")
+    rows = diff.diff(*X.pair(spark, d, X.THEIRS)).filter("kind NOT IN ('COLUMN_ADDED', 'COLUMN_TYPE_CHANGED')")
     return rows.select("object_id", "kind", classify.change(F.col("kind"), F.col("to_value")).alias("c")).select("object_id", "kind", "c.verdict", "c.lock", "c.blocks")
 
 
 def _plan(spark, d, threshold: int = 10_000) -> planner.Plan:
-    return planner.plan(X.base(spark, d), X.theirs(spark, d), X.row_counts(spark, d), "main", threshold)
+    return planner.plan(*X.pair(spark, d, X.THEIRS), X.row_counts(spark, d), "main", threshold)
 
 
 def plan_steps(spark, d):
@@ -362,7 +363,7 @@ def merge_preview(spark, d):
 
 
 def preflight_candidates(spark, d):
-    return preflight.candidates(X.base(spark, d), X.theirs(spark, d), X.row_counts(spark, d))
+    return preflight.candidates(*X.pair(spark, d, X.THEIRS), X.row_counts(spark, d))
 
 
 def preflight_uncastable(spark, d):
@@ -379,7 +380,7 @@ def preflight_nulls(spark, d):
 def preflight_blockers(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("o_custkey", F.nullif("o_custkey", F.lit(1)))
     tables = X.tables(spark, d) | {"orders": orders}
-    found = preflight.preflight(tables, X.base(spark, d), X.theirs(spark, d), X.row_counts(spark, d))
+    found = preflight.preflight(tables, *X.pair(spark, d, X.THEIRS), X.row_counts(spark, d))
     return preflight.blockers(found)
 
 
@@ -475,9 +476,9 @@ def head_snapshot(spark, d):
 
 def snapshot_dedupe(spark, d):
     """Snapshots to store, those left out that are stored already."""
-    s = X.base(spark, d)
-    stored = hashing.snapshot_hash(s)
-    new = stored.unionByName(hashing.snapshot_hash(X.ours(spark, d)))
+    old, edited = X.pair(spark, d, X.OURS)
+    stored = hashing.snapshot_hash(old)
+    new = stored.unionByName(hashing.snapshot_hash(edited))
     return new.join(stored, "hash", "left_anti").agg(F.count("*").alias("stored"))
 
 
