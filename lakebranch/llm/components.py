@@ -22,10 +22,13 @@ def roots(edges: DataFrame, nodes: DataFrame, name: str = "class") -> DataFrame:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        pairs = shared.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        old, pairs = pairs, shared.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        shared.removed(old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     found = pairs.select(F.col("u").alias(name), F.col("v").alias("root"))
-    return shared.written(nodes.join(found, name, "left").withColumn("root", F.coalesce("root", name)), "roots")
+    out = shared.written(nodes.join(found, name, "left").withColumn("root", F.coalesce("root", name)), "roots")
+    shared.removed(pairs)
+    return out

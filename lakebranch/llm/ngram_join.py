@@ -245,6 +245,7 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     reach = F.col("overlap") + F.least(F.col("n_a") - 1 - F.col("nth_a"), F.col("n_b") - 1 - F.col("nth_b"))
     pairs = sums.filter(linked(reach, F.col("n_a"), F.col("n_b"), percent)).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     more = shared.written(exact_links(pairs, rows, percent), "edges")
+    shared.removed(prefixes, held, joined, at)
     if more.isEmpty():
         return roots
     return components.roots(edges.unionByName(more), rows.select("class"))
@@ -265,6 +266,7 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     parts = min(shared.partitions(spark), 1 << 16)
     near = shared.written(likely(shared_entries(blocks(rows, words, parts), parts), parts, percent), "near")
     roots = links(near, percent)
+    shared.removed(near)
     classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least")).join(roots, "class", "left")
     classes = shared.written(classes.withColumn("root", F.coalesce("root", "class")), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))

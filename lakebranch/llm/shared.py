@@ -33,19 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path through Hadoop's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def removed(df: DataFrame) -> None:
-    """Deletes what written() made, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+def removed(*frames: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it any more, through Hadoop's file system."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def limit_batches(spark: SparkSession) -> None:
