@@ -26,6 +26,8 @@ from lakebranch.llm import shared
 from lakebranch.llm.textops import U, column_words, ngrams
 
 ORDER, ALPHA = 3, 0.4
+#: Bytes of text in a batch: more save shuffled bytes, fewer save memory.
+TEXT_BYTES = 8 << 20
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -84,23 +86,27 @@ def distinct_grams(lengths: np.ndarray, hashes: np.ndarray, order: int) -> tuple
     return counted(np.concatenate([h for _, h in grams(hashes, first, order)]))
 
 
-def batch_name(number: int) -> int:
-    return TaskContext.get().partitionId() << 20 | number
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(name, rows) of batches of bounded text; names tell the partition and the place in it."""
+    number = TaskContext.get().partitionId() << 20
+    for whole in batches:
+        if whole.num_rows:
+            for batch in shared.sliced(whole, "text", TEXT_BYTES):
+                yield number, batch
+                number += 1
 
 
 def requests(rows: DataFrame, order: int, parts: int) -> DataFrame:
     """(block, batch, data) of rows (id, text): for each block of a batch's distinct n-grams their hashes, in order, and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for name, batch in numbered(batches):
             known, counts = distinct_grams(*batch_words(batch), order)
             block = ((known >> U(48)) * U(parts)) >> U(16)
             lines = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
             ends = np.append(lines[1:], len(block))
             data = [packed(np.diff(known[i:j], prepend=U(0)), counts[i:j].astype(np.uint32)) for i, j in zip(lines, ends, strict=len(lines) > 0)]
-            names = np.full(len(data), batch_name(number), np.int64)
+            names = np.full(len(data), name, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(block[lines].astype(np.int32)), pa.array(names), pa.array(data, pa.binary())], ["block", "batch", "data"])
 
     return rows.mapInArrow(run, "block int, batch long, data binary")
@@ -113,9 +119,7 @@ def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for name, batch in numbered(batches):
             lengths, hashes = batch_words(batch)
             vocabulary, at, often = np.unique(hashes, return_inverse=True, return_counts=True)
             by_rank = np.argsort(-often, kind="stable")
@@ -123,7 +127,7 @@ def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
             rank[by_rank] = np.arange(len(by_rank))
             data = packed(lengths.astype(np.uint32), vocabulary[by_rank], rank[at])
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))
-            yield pa.RecordBatch.from_arrays([pa.array([batch_name(number)]), pa.array([-1], pa.int32()), ids, pa.array([data], pa.binary())], ["batch", "block", "ids", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), ids, pa.array([data], pa.binary())], ["batch", "block", "ids", "data"])
 
     return rows.mapInArrow(run, f"batch long, block int, ids array<{kind}>, data binary")
 
@@ -138,9 +142,13 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
                 held.setdefault(block, []).append((name, data))
         for block in list(held):
             rows = held.pop(block)
-            got = [unpacked(data) for _, data in rows]
-            hashes = [np.cumsum(steps, dtype=U) for steps, _ in got]
-            known, sums = counted(np.concatenate(hashes), np.concatenate([c for _, c in got]).astype(np.int64))
+            hashes, counts = [], []
+            for _, data in rows:
+                steps, c = unpacked(data)
+                hashes.append(np.cumsum(steps, dtype=U))
+                counts.append(c)
+            known, sums = counted(np.concatenate(hashes), np.concatenate(counts).astype(np.int64))
+            del counts
             for (name, _), mine in zip(rows, hashes, strict=True):
                 found = sums[np.searchsorted(known, mine)]
                 small = found.astype(np.uint32) if not len(found) or found.max() < 1 << 32 else found.astype(U)
