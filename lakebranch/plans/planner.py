@@ -15,7 +15,7 @@ from lakebranch.functions.types import parse_type
 from lakebranch.operators.diff import diff
 from lakebranch.plans import classify, render
 from lakebranch.plans.render import joined
-from lakebranch.snapshot import Snapshot
+from lakebranch.snapshot import Snapshot, localised
 
 #: Tables of at least so many rows are migrated online.
 THRESHOLD = 100_000
@@ -80,6 +80,8 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
         alias = alias.unionByName(s.indexes.select(F.col("index_id").alias("object_id"), "table_id")).unionByName(s.constraints.select(F.col("constraint_id").alias("object_id"), "table_id"))
     rows = changes.join(alias.distinct(), "object_id", "left").join(counts, "table_id", "left").join(key_columns(merged), "table_id", "left").join(col, F.col("object_id") == F.col("column_id"), "left")
     rows = rows.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("old_table", F.coalesce("old_table", "table_name"))
+    added, typed = classify.add_column(F.col("col.default_expr"), strict), classify.change_type(parse_type(F.col("from_value")), parse_type(F.col("to_value")))
+    rows = localised(rows.withColumns({"added": F.when(F.col("kind") == "COLUMN_ADDED", added), "typed": F.when(F.col("kind") == "COLUMN_TYPE_CHANGED", typed)}))
     big = F.col("rows") >= threshold
     kind, table, name, before, after, key, c = (F.col(x) for x in ("kind", "table_name", "object_name", "from_value", "to_value", "key", "col"))
     here, gone = render.qualify(schema, table), render.qualify(schema, F.col("old_table") if not strict else table)
@@ -103,7 +105,7 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
         )
         return F.when(default.isNotNull() & key.isNotNull(), F.concat(F.array(fill), steps)).otherwise(steps)
 
-    added = classify.add_column(c["default_expr"], strict)
+    added, typed = F.col("added"), F.col("typed")
     add_sql = alter(" ADD COLUMN ", render.column_clause(field))
     online_add = F.concat(
         F.array(
@@ -117,7 +119,6 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
     keyless_add = F.array(step("DDL", joined("Add column ", dotted, ", rewriting the table"), add_sql, added, group=dotted))
     adding = F.when((added["verdict"] == "REWRITE") & big, F.when(key.isNull(), keyless_add).otherwise(online_add)).otherwise(direct_add)
 
-    typed = classify.change_type(parse_type(before), parse_type(after))
     m = machinery(name, table)
     shadow, function = quote(m["shadow"]), render.qualify(schema, m["function"])
     cast = joined(column, "::", after)
@@ -196,7 +197,7 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
         body = F.when(F.col("what") == "CHECK", joined("CHECK (", render.bare(F.col("expression")), ")")).otherwise(joined(F.replace("what", F.lit("_"), F.lit(" ")), " (", render.column_list(F.col("column_ids"), F.col("names")), ")"))
         gather(some.select(place(9).alias("place"), F.posexplode(one(joined("Add constraint ", name), alter(" ADD CONSTRAINT ", column, " ", body), classify.set_not_null())).alias("sub", "s")))
     seq = F.row_number().over(W.orderBy("place", "sub")) - 1  # a plan has tens of steps
-    steps = out.withColumn("seq", seq).select("seq", "s.*").orderBy("seq")
+    steps = localised(out).withColumn("seq", seq).select("seq", "s.*").orderBy("seq")
 
     dropped = F.when(kind == "COLUMN_DROPPED", joined("Dropping ", dotted, " permanently discards the data in ", n, " rows.")).when(kind == "TABLE_DROPPED", joined("Dropping table ", name, " discards ", n, " rows."))
     online = (kind == "COLUMN_ADDED") & (added["verdict"] == "REWRITE") & big

@@ -32,11 +32,17 @@ BRANCHES = (
 _KINDS = {"tables": TABLES, "columns": COLUMNS, "constraints": CONSTRAINTS, "indexes": INDEXES, "unmanaged": UNMANAGED}
 
 
-def local_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+def local_frame(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
     """A small DataFrame of tuples that the optimiser knows as a local relation: no task reads it, and joins broadcast it."""
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(kind)
     plain = [dict(zip(kinds.names, r if isinstance(r, (tuple, list)) else (r,), strict=True)) for r in rows]
-    return spark.createDataFrame(pa.Table.from_pylist(plain, schema=kinds), StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist(plain, schema=kinds), kind)
+
+
+def localised(df: DataFrame) -> DataFrame:
+    """A few rows of metadata as a local relation, their plan cut off: what follows isn't optimised together with what made them."""
+    return local_frame(df.sparkSession, [tuple(r.asDict(recursive=True).values()) for r in df.collect()], df.schema)
 
 
 @dataclass(frozen=True)
