@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed hashes the words at a mask's ones and ignores those at its zeros, so that it survives substituted words there. Seeds of the
-benchmark's items are joined to those of the texts; around each hit item and text are laid over each other, and the stretch of
-words that agree best, substitutions included, decides.
+benchmark's items are joined to those of the texts; around each hit item and text are laid over each other, and of all stretches
+of words that agree at IDENTITY or more, substitutions included, that of most agreeing words decides.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from lakebranch.llm.textops import _PLACE, U, column_words, mix, ngrams
 MASKS = ("11111", "1101011", "11001011", "101100101")
 #: The least number of agreeing words, for shorter items a share of their words; and the least share within the stretch.
 LEAST_WORDS, LEAST_SHARE, IDENTITY = 12, 0.7, 0.7
-#: The score of a word that disagrees; one that agrees has 1.
-MISMATCH = -1.5
+#: Scores of a word that agrees and of one that doesn't, in percent: a stretch's sum is 0 or more just where its share is IDENTITY or more.
+AGREES = round(100 * (1 - IDENTITY))
+DIFFERS = AGREES - 100
 #: Benchmarks of more words than this are worked through in parts of about as many, each a pass over the texts.
 PART_WORDS = 1 << 20
 _SLOTS = 22
@@ -75,6 +76,20 @@ def index(ids: list, texts: list[str]) -> Index:
     return Index(ids, w.first, w.hashes, tables)
 
 
+def stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(begin, end, agreeing words) of the stretch of most agreeing words, and of those the shortest, with a share of IDENTITY or more."""
+    run = np.concatenate([[0], np.cumsum(np.where(same, AGREES, DIFFERS))])
+    agreed = np.concatenate([[0], np.cumsum(same)])
+    # for each end, the first place from which the sum is 0 or more: the first at which the least sum so far is no more than the end's
+    begin = np.searchsorted(-np.minimum.accumulate(run), -run)
+    got = agreed - agreed[begin]
+    ends = np.flatnonzero(got == got.max())
+    places = np.append(np.flatnonzero(same), len(same))
+    firsts = places[agreed[begin[ends]]]  # a stretch starts at its first agreeing word
+    k = int(np.argmin(ends - firsts))
+    return int(firsts[k]), int(ends[k]), int(got[ends[k]])
+
+
 def matches(ix: Index, first: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word in the text, stretch in words, agreeing words) of the best stretch of each text and item that has one."""
     found: list[np.ndarray] = []
@@ -97,12 +112,11 @@ def matches(ix: Index, first: np.ndarray, hashes: np.ndarray) -> list[tuple[int,
         a, b = ix.first[item], ix.first[item + 1]
         lo, hi = max(start, first[text]), min(start + b - a, first[text + 1])
         same = hashes[lo:hi] == ix.hashes[a + lo - start : a + hi - start]
-        run = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, MISMATCH))])
-        gain = run - np.minimum.accumulate(run)
-        end = int(np.argmax(gain))
-        begin = int(np.argmin(run[: end + 1]))
-        agree = int(same[begin:end].sum())
-        if agree >= min(LEAST_WORDS, np.ceil(LEAST_SHARE * (b - a))) and agree >= IDENTITY * (end - begin) and agree > best.get((text, item), (0, 0, 0))[2]:
+        least = max(min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * (b - a)))), best.get((text, item), (0, 0, 0))[2] + 1)
+        if np.count_nonzero(same) < least:
+            continue
+        begin, end, agree = stretch(same)
+        if agree >= least:
             best[text, item] = (int(lo + begin - first[text]), end - begin, agree)
     return [(*k, *v) for k, v in best.items()]
 

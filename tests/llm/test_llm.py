@@ -260,6 +260,43 @@ def test_overlaps_tolerate_substitutions(spark, odd, none):
     assert decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def brute_overlap(item, text):
+    """The most agreeing words, and the least stretch with them, over all diagonals with a seed and all stretches that meet the rule."""
+    best, least = (0, 0), min(12, -(-7 * len(item) // 10))
+    for start in range(1 - len(item), len(text)):
+        same = {i: item[i] == text[start + i] for i in range(len(item)) if 0 <= start + i < len(text)}
+        if not any(all(same.get(i + j, False) for j, bit in enumerate(m) if bit == "1") and i + len(m) - 1 in same for m in decontamination.MASKS for i in same):
+            continue
+        for i in same:
+            agree = 0
+            for j in range(i, max(same) + 1):
+                agree += same[j]
+                if agree >= least and 10 * agree >= 7 * (j + 1 - i):
+                    best = max(best, (agree, i - j - 1))
+    return (-best[1], best[0]) if best[0] else None
+
+
+def test_any_stretch_of_an_overlap_counts():
+    rng = np.random.default_rng(4)
+    cases = []
+    for rate in (0.2, 0.25, 0.3, 0.35):
+        for _ in range(100):
+            cases.append((rng.random(rng.integers(15, 60)) >= rate).tolist())
+    planned = [[5, 3, 5, 3, 5, 3, 5], [20, 13, 20, 13, 20]]
+    cases += [[k % 2 == 0 for k, n in enumerate(runs) for _ in range(n)] for runs in planned]
+    found = []
+    for same in cases:
+        item = [f"t{i}" for i in range(len(same))]
+        text = [f"f{i}" for i in range(9)] + [w if s else f"x{i}" for i, (w, s) in enumerate(zip(item, same, strict=True))] + ["f"] * 9
+        w = column_words(pa.array([" ".join(text)], pa.string()))
+        got = decontamination.matches(decontamination.index([0], [" ".join(item)]), w.first, w.hashes)
+        found.append(brute_overlap(item, text))
+        assert [g[3:] for g in got] == ([found[-1]] if found[-1] else [])
+        for _, _, start, n, agree in got:
+            assert sum(a in item for a in text[start : start + n]) == agree
+    assert found[-2:] == [(21, 15), (53, 40)] and None in found
+
+
 def test_extraction(spark, folder):
     from lakebranch.llm.page_labels import labelled_pages
 
