@@ -69,7 +69,7 @@ def preflight(tables: dict[str, DataFrame], target: Snapshot, merged: Snapshot,
     for table in sorted({r.table_name for r in wanted}):
         mine = [r for r in wanted if r.table_name == table]
         found = failing(tables[table], [(r.column_name, r.check, r.to_type) for r in mine], via_text)
-        has = F.create_map(*[F.lit(x) for r in mine for x in (r.column_name, r.has_default)])
+        has = F.create_map(*[F.lit(x) for pair in {r.column_name: r.has_default for r in mine}.items() for x in pair])
         found = found.select(F.lit(table).alias("table_name"), "column_name", "check", "to_type", "failing", F.element_at(has, F.col("column_name")).alias("has_default"))
         out = found if out is None else out.unionByName(found)
     schema = "table_name string, column_name string, check string, to_type string, failing long, has_default boolean"

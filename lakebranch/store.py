@@ -13,11 +13,11 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakebranch.functions.hashing import snapshot_hash
-from lakebranch.operators import dag, merge, ops, sample
-from lakebranch.plans import planner, render
+from lakebranch.operators import backfill, dag, merge, ops, preflight, sample
+from lakebranch.plans import classify, planner, render
 from lakebranch.snapshot import Snapshot, local_frame
 
 ATTEMPTS = 25
@@ -25,6 +25,10 @@ STATUSES = ("CREATING", "ACTIVE", "DRIFTED", "MERGED", "ABANDONED")
 _SPARK = {"smallint": "smallint", "integer": "int", "bigint": "bigint", "real": "float", "double precision": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "bytea": "binary"}
 
 
+# Functions of defaults that Spark calls otherwise.
+_CALLS = {"gen_random_uuid()": "uuid()", "uuid_generate_v4()": "uuid()", "clock_timestamp()": "now()"}
+
+
 class Conflict(RuntimeError):
     """Another writer was first, or the head isn't what the caller saw."""
 
@@ -34,6 +38,22 @@ def spark_type(sql: str) -> str:
     return f"decimal({rest[:-1]})" if base == "numeric" and rest else "decimal(38,18)" if base == "numeric" else _SPARK.get(base, "string")
 
 
+def default(expression: str | None) -> Column:
+    return F.lit(None) if expression is None else F.expr(_CALLS.get(expression.strip().lower(), expression))
+
+
+def converted(value: Column, type_sql: str) -> Column:
+    """The value by way of its text, as preflight.castable judges it; NULL where it can't be converted."""
+    base, _, rest = type_sql.partition("(")
+    text = value.cast("string")
+    if base == "boolean":
+        word = F.lower(F.trim(text))
+        return F.when(word.isin(*preflight.TRUE_FALSE[:6]), True).when(word.isin(*preflight.TRUE_FALSE[6:]), False)
+    if base in ("varchar", "char") and rest:
+        return F.substring(text, 1, int(rest[:-1]))
+    return text.try_cast(spark_type(type_sql))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -192,7 +212,7 @@ class Store:
         schema = ", ".join(f"`{c.name}` {spark_type(c.type_sql)}" for c in columns)
         if path is None:
             return self.spark.createDataFrame([], schema)
-        value = lambda c: F.col(c.column_id) if c.column_id in stored else F.expr(c.default_expr) if c.default_expr else F.lit(None)
+        value = lambda c: F.col(c.column_id) if c.column_id in stored else default(c.default_expr)
         return self.spark.read.parquet(path).select(*[value(c).try_cast(spark_type(c.type_sql)).alias(c.name) for c in columns])
 
     # operations, drift, merge
@@ -233,26 +253,105 @@ class Store:
         m = merge.merge(base, ours, theirs)
         keys = resolutions if resolutions is not None else local_frame(self.spark, [], "key string, choice string")
         final = merge.resolved(m, theirs, keys).local()
-        counts = local_frame(self.spark, [(t.name, self.table(target, t.name).count()) for t in ours.tables.collect()], "table_name string, rows long")
-        return {"merge": m, "final": final, "plan": planner.plan(ours, final, counts, threshold=threshold), "resolutions": keys, "head": heads[0], "source_head": heads[1]}
+        tables = {t.name: self.table(target, t.name) for t in ours.tables.collect()}
+        counts = local_frame(self.spark, [(n, df.count()) for n, df in tables.items()], "table_name string, rows long")
+        blockers = [r.message for r in preflight.blockers(preflight.preflight(tables, ours, final, counts)).collect()]
+        return {"merge": m, "ours": ours, "final": final, "plan": planner.plan(ours, final, counts, threshold=threshold), "blockers": blockers, "resolutions": keys, "head": heads[0], "source_head": heads[1]}
+
+    def _migrated(self, target: str, ours: Snapshot, final: Snapshot) -> tuple[dict[str, DataFrame], set[str]]:
+        """The target's tables as the merge leaves them, by table id, and the ids of columns whose stored values it changes: retyped
+        ones, ones that must no longer be NULL, which their default fills, and new ones whose default differs by row or that have none
+        but must not be NULL. Other changes are the manifest's alone. A value that can't be converted or filled stops the write."""
+        old = {c.column_id: c for c in ours.typed_columns().collect()}
+        names = {t.table_id: t.name for t in ours.tables.collect()}
+        columns = final.typed_columns().withColumn("volatile", classify.is_volatile(F.col("default_expr"))).orderBy("position").collect()
+        out, changed = {}, set()
+        for t in final.tables.collect():
+            mine = [c for c in columns if c.table_id == t.table_id]
+            if t.table_id not in names:
+                out[t.table_id] = self.spark.createDataFrame([], ", ".join(f"`{c.name}` {spark_type(c.type_sql)}" for c in mine))
+                continue
+            rows, values = self.table(target, names[t.table_id]), []
+            for c in mine:
+                was, where = old.get(c.column_id), f"{t.name}.{c.name}"
+                value = default(c.default_expr).cast(spark_type(c.type_sql)) if was is None else rows[f"`{was.name}`"]
+                if was is not None and was.type_sql != c.type_sql:
+                    new = converted(value, c.type_sql)
+                    value = F.when(value.isNotNull() & new.isNull(), F.raise_error(F.lit(f"{where} can't become {c.type_sql}"))).otherwise(new)
+                    changed.add(c.column_id)
+                if not c.nullable and (was is None or was.nullable):
+                    value = F.coalesce(value, default(c.default_expr).cast(spark_type(c.type_sql)), F.raise_error(F.lit(f"{where} must not be NULL")))
+                    if was is not None or c.default_expr is None:
+                        changed.add(c.column_id)
+                if was is None and c.volatile:
+                    changed.add(c.column_id)
+                values.append(value.alias(c.name))
+            out[t.table_id] = rows.select(*values)
+        return out, changed
+
+    def _broken(self, tables: dict[str, DataFrame], changed: set[str], ours: Snapshot, final: Snapshot) -> list[str]:
+        """Validation: keys, checks and unique indexes that are new, or hold changed columns, and that rows break."""
+        before, after = ours.rows(), final.rows()
+        named = {c["column_id"]: c["name"] for c in after["columns"]}
+        was = {c["column_id"]: c["name"] for c in before["columns"]}
+        known = [*before["constraints"], *before["indexes"]]
+        out = []
+        for k in [*after["constraints"], *(i for i in after["indexes"] if i["is_unique"])]:
+            ids = k["column_ids"] if "kind" in k else [c["column_id"] for c in k["columns"]]
+            if (k in known and not changed.intersection(ids)) or k["table_id"] not in tables:
+                continue
+            rows, keys = tables[k["table_id"]], [named[i] for i in ids]
+            kind = k.get("kind", "UNIQUE")
+            if kind == "FOREIGN_KEY":
+                bad = preflight.orphans(rows, tables[k["ref"]["table_id"]], list(zip(keys, [named[i] for i in k["ref"]["column_ids"]], strict=True))).first().orphans
+            else:
+                # checks and predicates may call columns as they were called before the merge
+                mine = [c["column_id"] for c in after["columns"] if c["table_id"] == k["table_id"]]
+                rows = rows.withColumns({was[i]: F.col(f"`{named[i]}`") for i in mine if i in was and was[i] not in rows.columns})
+                if kind == "CHECK":
+                    bad = rows.filter(~F.expr(k["expression"])).count()
+                else:
+                    rows = rows.filter(k["predicate"]) if k.get("predicate") else rows
+                    bad = sum(rows.filter(F.col(f"`{c}`").isNull()).count() for c in keys) if kind == "PRIMARY_KEY" else 0
+                    bad += rows.select(*[F.col(f"`{c}`") for c in keys]).dropna().groupBy(*[F.col(f"`{c}`") for c in keys]).count().filter("count > 1").count()
+            if bad:
+                out.append(f"{k['name']} would be broken: {bad} row(s) or key(s)")
+        return out
 
     def merge(self, source: str, target: str, resolutions: DataFrame | None = None, author: str = "user") -> str:
-        """Merges, or raises where conflicts are open or the target's head has moved; gives the new commit. All or nothing:
-        versions of changed tables are written first, then one manifest moves the head."""
+        """Merges, or raises where conflicts are open, rows block the merge or the target's head has moved; gives the new commit.
+        All or nothing: versions of changed tables are written first, then one manifest moves the head and points at them."""
         p = self.prepare(source, target, resolutions)
         n = p["plan"].steps.count()
-        if not merge.can_apply(p["merge"].conflicts, p["resolutions"], 0, n):
-            raise ops.InvalidOperation("conflicts are open, or there is nothing to do")
-        retyped = p["plan"].steps.filter("verdict = 'REWRITE'").select("op_group").distinct().collect()
-        run = {"run_id": uuid.uuid4().hex, "steps": n, "mode": p["plan"].mode().first().mode, "rewrites": [r.op_group for r in retyped], "status": "SUCCEEDED"}
-
-        def edit(state: dict) -> str:
-            if state["branches"][target]["head_commit_id"] != p["head"]:
-                raise Conflict("the target's head has moved")
-            key = self._commit(state, target, p["final"], f"Merge {state['branches'][source]['name']}", author, p["source_head"])
-            state["branches"][source]["status"] = "MERGED"
-            state["runs"][run["run_id"]] = run | {"commit_id": key}
-            return key
-
-        return self.change(edit)
-
+        if not merge.can_apply(p["merge"].conflicts, p["resolutions"], len(p["blockers"]), n):
+            raise ops.InvalidOperation(" ".join(p["blockers"]) or "conflicts are open, or there is nothing to do")
+        run = {"run_id": uuid.uuid4().hex, "steps": n, "mode": p["plan"].mode().first().mode}
+        final, data = p["final"], {}
+        try:
+            tables, changed = self._migrated(target, p["ours"], final)
+            broken = self._broken(tables, changed, p["ours"], final)
+            if broken:
+                raise ops.InvalidOperation(" ".join(broken))
+            stored = self.state()["branches"][target]["data"]
+            moved = {c.table_id for c in final.columns.collect() if c.column_id in changed}
+            for t in final.tables.collect():
+                if t.table_id in moved and t.table_id in stored:
+                    data |= self._write({t.name: tables[t.table_id]}, final)
+            run["rewrites"] = sorted(data)
+
+            def edit(state: dict) -> str:
+                if state["branches"][target]["head_commit_id"] != p["head"]:
+                    raise Conflict("the target's head has moved")
+                key = self._commit(state, target, final, f"Merge {state['branches'][source]['name']}", author, p["source_head"])
+                state["branches"][target]["data"] |= data
+                state["branches"][source]["status"] = "MERGED"
+                state["runs"][run["run_id"]] = run | {"status": "SUCCEEDED", "commit_id": key}
+                return key
+
+            return self.change(edit)
+        except Exception as e:
+            for path, _ in data.values():
+                self.files.delete(self.path(path), True)
+            error = local_frame(self.spark, [(str(e),)], "error string").select(backfill.truncated(F.col("error")).alias("error")).first().error
+            self.change(lambda state: state["runs"].update({run["run_id"]: run | {"status": "FAILED", "error": error}}))
+            raise

@@ -1,5 +1,7 @@
 """Branches, commits, merges and resumable fills in files."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,41 @@ def test_open_conflicts_stop_a_merge(spark, shop, folder):
     assert store.drifted(main, live) and store.refresh(main, live) and not store.refresh(main, live)
 
 
+def test_merge_runs_its_plan(spark, folder, tmp_path):
+    tables = X.tables(spark, folder)
+    few = tables["part"].limit(20)
+    even = F.col("p_partkey") % 2 == 0
+    part = few.withColumns({"p_name": F.when(even, F.col("p_partkey").cast("string")).otherwise("n/a"), "p_brand": F.when(even, "B" * 9), "p_type": F.lit("7")}).localCheckpoint()
+    store = Store(spark, f"file://{tmp_path}")
+    main = store.import_project("parts", tables | {"part": part, "orders": tables["orders"].limit(30), "lineitem": tables["lineitem"].limit(1)}, X.base(spark, folder))
+    of = lambda column: {"table_id": X.tid("part"), "column_id": X.cid("part", column)}
+    before = store.history(main)
+
+    bad = store.create_branch(main, "bad")
+    store.apply(bad, [{"op": "CHANGE_COLUMN_TYPE", **of("p_name"), "new_type": "integer"}, {"op": "SET_COLUMN_DEFAULT", **of("p_brand"), "default_expr": None}, {"op": "SET_COLUMN_NULLABLE", **of("p_brand"), "nullable": False}])
+    blockers = store.prepare(bad, main)["blockers"]
+    assert len(blockers) == 2 and any("p_name cannot become integer" in b for b in blockers) and any("p_brand cannot become NOT NULL" in b for b in blockers)
+    with pytest.raises(ops.InvalidOperation, match="p_name cannot become integer"):
+        store.merge(bad, main)
+    none = store.create_branch(main, "none")
+    store.apply(none, [{"op": "ADD_COLUMN", "table_id": X.tid("part"), "name": "must", "type": "text", "nullable": False, "default_expr": None}])
+    with pytest.raises(Exception, match="must not be NULL"):
+        store.merge(none, main)
+    assert store.history(main) == before and Counter(store.table(main, "part").collect()) == Counter(part.collect())
+
+    good = store.create_branch(main, "good")
+    edits = [{"op": "CHANGE_COLUMN_TYPE", **of("p_type"), "new_type": "integer"}, {"op": "CHANGE_COLUMN_TYPE", **of("p_brand"), "new_type": "varchar(3)"}, {"op": "SET_COLUMN_DEFAULT", **of("p_brand"), "default_expr": "'new'"}]
+    store.apply(good, [*edits, {"op": "SET_COLUMN_NULLABLE", **of("p_brand"), "nullable": False}, {"op": "ADD_COLUMN", "table_id": X.tid("part"), "name": "token", "type": "uuid", "nullable": False, "default_expr": "gen_random_uuid()"}])
+    store.merge(good, main)
+    rows = store.table(main, "part").collect()
+    assert Counter((r.p_partkey, r.p_brand, r.p_type) for r in rows) == Counter((r.p_partkey, "BBB" if r.p_partkey % 2 == 0 else "new", 7) for r in part.collect())
+    assert len({r.token for r in rows}) == 20 and Counter(rows) == Counter(store.table(main, "part").collect())
+    path, _ = store.state()["branches"][main]["data"][X.tid("part")]
+    written = spark.read.parquet(path)
+    assert dict(written.dtypes)[X.cid("part", "p_type")] == "int" and written.filter(F.col(X.cid("part", "p_brand")).isNull()).count() == 0
+    assert sorted(r["status"] for r in store.state()["runs"].values()) == ["FAILED", "SUCCEEDED"]
+
+
 def test_fill_resumes(spark, folder, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     rows = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_totalprice")
