@@ -19,10 +19,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by near-duplicate links, that of the least doc_id."""
-    groups = ngram_join.similar_groups(docs)
-    copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of documents joined by near-duplicate links one row, that of the least doc_id.
+
+    Of repeated rows of that doc_id the first one read stays; a null doc_id comes after all others, so such a row stays only where its
+    group has no other, again the first one read. Rows of one doc_id in two groups are apart; rows without words are no copies.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = shared.written(rows, "numbered")  # so that a row has the same number in both reads
+    key = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "n")
+    groups = ngram_join.similar_groups(rows.select(key.alias("doc_id"), F.col("row.text").alias("text")))
+    copies = groups.filter("component_id.n <> doc_id.n").select("doc_id.n")
+    return rows.join(copies, "n", "left_anti").select("row.*")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

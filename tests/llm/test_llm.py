@@ -335,3 +335,16 @@ def test_pipeline_keeps_clean_documents(spark, folder, docs):
     assert {r.doc_id for r in kept.collect()} == groups and kept.columns == docs.columns
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and 0 < out.count() <= len(groups)
+
+
+def test_one_row_of_each_group_stays(spark, odd, none):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a + " z"), (None, a), (None, b), (None, b + " z"), (3, b), (1, "c d"), (None, None), (None, ""), (4, "e f"), (None, "q r"), (None, "q r")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "row": F.lit(2), "last": F.lit(3)})
+    kept = corpus_pipeline.one_of_each_group(spark, made, "")
+    assert kept.columns == made.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (3, b), (1, "c d"), (None, None), (None, ""), (4, "e f"), (None, "q r")])
+    got = corpus_pipeline.one_of_each_group(spark, odd, "").collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 2, 3, None, 5, 6, 7, 8, 9])
+    assert corpus_pipeline.one_of_each_group(spark, none, "").count() == 0
