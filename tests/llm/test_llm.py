@@ -348,3 +348,54 @@ def test_one_row_of_each_group_stays(spark, odd, none):
     got = corpus_pipeline.one_of_each_group(spark, odd, "").collect()
     assert Counter(r.doc_id for r in got) == Counter([1, 2, 3, None, 5, 6, 7, 8, 9])
     assert corpus_pipeline.one_of_each_group(spark, none, "").count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    pool = [f"word{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(pool, n))
+    passage = text(40)
+    rows = []
+    for i in range(400):
+        lines = [text(10) for _ in range(3)]
+        rows.append((i, ". ".join(x + " you utter clodpate numbskull" if i % 4 == 0 else x for x in lines) + ".", f"s{i % 3}"))
+    long = [text(60) for _ in range(6)]
+    near = lambda t: t + " zz"
+    changed = " ".join("zz" if j % 5 == 4 else w for j, w in enumerate(passage.split()))
+    rows += [(1000, long[0], "s0"), (1000, long[0], "s0"), (1001, near(long[0]), "s1"), (None, long[0], "s0"), (None, long[1], None), (None, near(long[1]), None)]
+    rows += [(1002, f"{long[2]} {passage}", "s1"), (1003, f"{changed} {long[3]}", "s2"), (1004, f"{long[4]} {' '.join(passage.split()[:6])}", "s2"), (1005, None, "s0"), (1006, "", None), (None, None, "s1"), (1007, long[5], "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit(1), "n": F.lit(2), "score": F.lit(0.9)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, passage), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    clean = [r for r in rows if "clodpate" not in (r[1] or "")]
+    root = {}
+    for r in sorted(clean, key=lambda r: (r[0] is None, r[0] or 0)):  # the first of those in a group that it links to stays
+        s = sets([r[1]])[0]
+        if not s or not any(4 * len(s & o) >= 3 * len(s | o) for o, _ in root.values()):
+            root[len(root)] = (s, r)
+    kept = [r for _, r in root.values() if not brute_overlap(passage.split(), words(r[1]))]
+    assert len(kept) == 300 + 7 and len(clean) == len(rows) - 100
+    sizes = Counter()
+    for _, t, source in kept:
+        sizes[source] += len(words(t))
+    want = Counter((d, source, len(words(t)), sizes[source]) for d, t, source in kept)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.source_size) for r in got) == want
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken in [k * r.size for k in range(4)]
+    assert abs(sum({r.source: r.target for r in got}.values()) - sum(sizes.values())) < 1e-6
+    assert all(abs(taken[r.source] - r.target) <= max(x.size for x in got if x.source == r.source) / 2 + 1e-9 for r in got)
+
+    empty = f"{tmp_path}/empty"
+    df.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{table}.parquet").write.parquet(f"{empty}/{table}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, df, str(tmp_path)).columns == df.columns, name
