@@ -2,7 +2,7 @@
 
 A block is the text between two boundaries of block-level elements; inline elements, line breaks among them, don't end one.
 Character references are decoded and white space becomes single spaces. Scripts, styles, titles and the like, comments and
-declarations have no text.
+declarations have no text; what is in math, svg, object and media elements has, and one of those that isn't closed ends with its block.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 # Fixed values of the HTML standard: element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object video audio canvas".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
@@ -117,6 +117,13 @@ def parse(page: str) -> list[Node]:
                 closing = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = closing.end() if closing else end
             continue
+        if name == "xmp" and (closing := re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I).search(page, at)):
+            flush()
+            held.append(page[at : closing.start()])  # as it stands, without tags or references
+            linked = len(held[-1]) if links else 0
+            flush()
+            at = closing.end()
+            continue
         if name in BLOCK:
             flush()
             ends, within = ENDS.get(name, (frozenset(), frozenset()))
@@ -140,7 +147,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(name, parents[-1], attributes(m["attrs"] or m["attrs2"] or "")))
             parents.append(len(nodes) - 1)
             stack.append((name, 1))
-        else:
+        elif name == "a" or not (m["attrs"] or m["attrs2"] or "").endswith("/"):
             stack.append((name, 0))
             links += name == "a"
     flush()

@@ -313,6 +313,17 @@ def test_extraction(spark, folder):
     assert html_extract.extract(df).count() == 6 and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_only_hidden_elements_have_no_text():
+    blocks = lambda page: [n.text for n in parse(page) if n.text]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert blocks("<p>a</p><svg><path d='M0'/><text>label</text><style>b</style></svg><p>c</p>") == ["a", "label", "c"]
+    assert blocks("<p>a</p><xmp><b> &amp;</xmp><p>c</p>") == ["a", "<b> &amp;", "c"]
+    for tag in "svg math object video audio canvas xmp".split():
+        assert blocks(f"<article><p>a <{tag}> b</p><p>c</p></article><footer>d</footer>") == ["a b", "c", "d"]
+    for tag in "script style title textarea noscript template iframe noembed noframes".split():
+        assert blocks(f"<p>a</p><{tag}>b</{tag}><p>c</p>") == ["a", "c"]
+
+
 def test_marginals_by_enumeration():
     f = html_extract.forest([parse("<div><p>a</p><p>b</p></div>")])
     rng = np.random.default_rng(2)
