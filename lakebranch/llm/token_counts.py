@@ -19,7 +19,7 @@ from lakebranch.llm import shared
 
 #: Entries of the broadcast table, each of at most LONG characters: a few MB at any input size.
 TABLE, LONG = 1 << 16, 32
-#: The table's pre-tokens are counted in the first so many rows of each partition, and each partition gives so many.
+#: The table's pre-tokens are counted in so many rows of each partition on average, spread over all rows, and each partition gives so many.
 SAMPLE_ROWS, SAMPLE_KEPT = 64, 1 << 13
 #: Pre-tokens that a worker keeps; when full, the cache starts anew.
 CACHE = 1 << 18
@@ -107,7 +107,7 @@ def counter(path: str, key: int = 0, frequent: dict[str, int] | None = None) ->
 
 
 def frequent_table(texts: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of at most TABLE frequent pre-tokens of rows (text), from a bounded sample of each partition."""
+    """Token counts of at most TABLE frequent pre-tokens of rows (text), from a sample spread over all rows, of SAMPLE_ROWS a partition on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = counter(path), Counter()
@@ -119,8 +119,9 @@ def frequent_table(texts: DataFrame, path: str) -> dict[str, int]:
         kept = [(t, n) for t, n in seen.most_common(SAMPLE_KEPT) if n > 1 and not c.newer(t)]
         yield pa.RecordBatch.from_pylist([{"t": t, "n": n} for t, n in kept], pa.schema([("t", pa.string()), ("n", pa.int64())]))
 
-    first = texts.filter(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) < SAMPLE_ROWS)
-    top = first.mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(TABLE)
+    apart = max(1, texts.count() // (SAMPLE_ROWS * max(1, texts.rdd.getNumPartitions())))
+    some = texts.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(apart)) == 0)
+    top = some.mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(TABLE)
     found = [row.t for row in top.select("t").collect()]
     c = Counts(path)
     special = c.special.search if c.special else lambda t: None

@@ -243,6 +243,14 @@ def test_token_counts_are_the_librarys(spark, odd, none, docs):
         assert c.count(t) == count(t)
 
 
+def test_frequent_table_of_an_ordered_table(spark):
+    pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [("first words",)] * 100 + [("second lines",)] * 3_900
+    table = token_counts.frequent_table(spark.createDataFrame(rows, "text string").coalesce(1), path)
+    assert {"second", " lines"} <= set(table)
+
+
 def test_overlaps_tolerate_substitutions(spark, odd, none):
     rng = np.random.default_rng(1)
     pool = [f"t{i}" for i in range(5_000)]
