@@ -26,6 +26,8 @@ from lakebranch.llm import shared
 MAGIC, DICTIONARY_MAGIC = 0x184D2A5D, 0xEC30A437
 #: A dictionary's size, and how many bytes of records it is built from at most.
 DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 2 << 20
+#: Records are trained on in pieces of at most so many bytes.
+PIECE_BYTES = 1 << 16
 #: Uncompressed bytes after which an archive ends.
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 3
@@ -60,7 +62,7 @@ class Archive:
     """Writes records to a binary stream; the first are held back until they make a dictionary."""
 
     def __init__(self, stream):
-        self.stream, self.held, self.size, self.compressor, self.count = stream, [], 0, None, 0
+        self.stream, self.held, self.size, self.compressor, self.count, self.dictionary = stream, [], 0, None, 0, None
 
     def add(self, data: bytes) -> None:
         self.size += len(data)
@@ -73,15 +75,15 @@ class Archive:
             self.stream.write(self.compressor.compress(data))
 
     def start(self) -> None:
-        made = None
         try:
-            made = zstandard.train_dictionary(DICTIONARY_BYTES, [x[:65536] for x in self.held], d=8, k=256, steps=1)
-        except zstandard.ZstdError:
-            pass  # too few records, or too alike
-        if made is not None:
-            data = made.as_bytes()
-            self.stream.write(struct.pack("<II", MAGIC, len(data)) + data)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=made) if made else zstandard.ZstdCompressor(level=LEVEL)
+            made = zstandard.train_dictionary(DICTIONARY_BYTES, [x[i : i + PIECE_BYTES] for x in self.held for i in range(0, len(x), PIECE_BYTES)], d=8, k=256, steps=1)
+            data, self.dictionary = made.as_bytes(), "trained"
+        except zstandard.ZstdError:  # too few records, or too alike: their beginning is the dictionary, itself compressed
+            raw = b"".join(self.held)[:DICTIONARY_BYTES]
+            made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data, self.dictionary = zstandard.ZstdCompressor(level=LEVEL).compress(raw), "raw"
+        self.stream.write(struct.pack("<II", MAGIC, len(data)) + data)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=made)
         for x in self.held:
             self.stream.write(self.compressor.compress(x))
         self.held = []
@@ -144,7 +146,8 @@ def planned(df: DataFrame, id_column: str, url_column: str, payload_column: str,
 def write_archives(
     df: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 0
 ) -> DataFrame:
-    """Writes a record for each row to archives in folder; gives (path, records) of each archive.
+    """Writes a record for each row to archives in folder; gives (path, records, dictionary) of each archive; dictionary is trained, or raw where the
+    records are too few or too alike for that.
 
     A null payload is empty, a null url an empty URI; a null id is less than any other. Rows that share both id and payload are
     all responses if the id is the payload's greatest. An empty table makes no archive. Names hold the task attempt, so a task
@@ -169,9 +172,9 @@ def write_archives(
                     archive = None
         if archive is not None:
             archive.close()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([a.count for _, a in out], pa.int64())], ["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([a.count for _, a in out], pa.int64()), pa.array([a.dictionary for _, a in out], pa.string())], ["path", "records", "dictionary"])
 
-    return shared.written(plan.mapInArrow(run, "path string, records long"), "archives")
+    return shared.written(plan.mapInArrow(run, "path string, records long, dictionary string"), "archives")
 
 
 def read_archives(archives: DataFrame, id_type: str = "bigint", payloads: bool = False) -> DataFrame:

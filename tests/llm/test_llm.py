@@ -189,6 +189,21 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(df.limit(0), shared.new_path(spark, "warc")).count() == 0
 
 
+def test_every_archive_has_a_dictionary(spark, tmp_path):
+    page = lambda i: f"<html><body><p>page {i}</p>{''.join(f'<p>{hashlib.sha256(f'{i},{j}'.encode()).hexdigest()}</p>' for j in range(20))}</body></html>"
+    for kind, pages in (("raw", [page(0)]), ("raw", ["", ""]), ("raw", ["é" * 90_000]), ("trained", [page(i) for i in range(400)])):
+        path = tmp_path / "one.warc.zst"
+        archive = warc.Archive(path.open("wb"))
+        for i, p in enumerate(pages):
+            archive.add(warc.record(str(i), "u", p.encode(), "", "response", None))
+        archive.close()
+        assert archive.dictionary == kind and int.from_bytes(path.read_bytes()[:4], "little") == warc.MAGIC
+        with path.open("rb", buffering=0) as stream:
+            assert [payload.decode() for *_, payload in warc.read_archive(stream)] == pages
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    assert [(r.records, r.dictionary) for r in warc.write_archives(df, shared.new_path(spark, "warc")).collect()] == [(1, "raw")]
+
+
 def test_toxicity_learns_sentences(spark, odd, none):
     rng = np.random.default_rng(0)
     pool = [f"word{i}" for i in range(300)]
