@@ -1,32 +1,38 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed hashes the words at a mask's ones and ignores those at its zeros, so that it survives substituted words there. Seeds of the
-benchmark's items are joined to those of the texts; around each hit item and text are laid over each other, and of all stretches
-of words that agree at IDENTITY or more, substitutions included, that of most agreeing words decides.
+A seed hashes the words at a mask's ones and ignores those at its zeros, so that it survives substituted words there.
+
+1. The benchmark's seeds make a table (seed, item) and a bit filter of bounded size.
+2. One pass over the texts hashes their seeds; a text of which the filter lets one through keeps its words and those seeds.
+3. The two seed tables are joined, hot seeds salted, which gives the pairs of text and item that can overlap.
+4. Item and text of a pair are laid over each other along each diagonal on which a seed hits, and of all stretches of words that
+   agree at IDENTITY or more, substitutions included, that of most agreeing words decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakebranch.llm import shared
-from lakebranch.llm.textops import _PLACE, U, column_words, mix, ngrams
+from lakebranch.llm.textops import _PLACE, U, Words, column_words, mix, ngrams
 
 #: Ones are compared, zeros ignored; all start and end with a one.
 MASKS = ("11111", "1101011", "11001011", "101100101")
+#: Items and texts of fewer words than this have no seed but their whole sequence.
+SHORT = min(map(len, MASKS))
 #: The least number of agreeing words, for shorter items a share of their words; and the least share within the stretch.
 LEAST_WORDS, LEAST_SHARE, IDENTITY = 12, 0.7, 0.7
 #: Scores of a word that agrees and of one that doesn't, in percent: a stretch's sum is 0 or more just where its share is IDENTITY or more.
 AGREES = round(100 * (1 - IDENTITY))
 DIFFERS = AGREES - 100
-#: Benchmarks of more words than this are worked through in parts of about as many, each a pass over the texts.
-PART_WORDS = 1 << 20
-_SLOTS = 22
+#: The filter has FILTER_BITS bits for each seed, within the powers of two named by FILTER_RANGE (128 KB to 64 MB), in chunks of 2 ** CHUNK bits.
+FILTER_BITS, FILTER_RANGE, CHUNK = 32, (20, 29), 20
+#: Places of one seed in text and item are matched by convolution where their pairs are so many times the words of both.
+DENSE = 16
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -41,39 +47,31 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-@dataclass
-class Index:
-    """Words of benchmark items and, by mask, their seeds in order with the place of each. Items shorter than all masks are whole n-grams."""
+def text_seeds(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, seed) by mask of all places of a run of texts, then of the whole sequences of short texts."""
+    texts, counts = w.texts, w.counts
+    for mask in MASKS:
+        found = seeds(w.hashes, mask)
+        inside = np.flatnonzero(np.arange(len(found)) + len(mask) <= w.first[1:][texts[: len(found)]])
+        yield texts[inside], found[inside]
+    for n in range(1, SHORT):
+        some = np.flatnonzero(counts == n)
+        if len(some):
+            yield some, ngrams(w.hashes, n)[w.first[some]]
 
-    ids: list
-    first: np.ndarray
-    hashes: np.ndarray
-    tables: list[tuple[str | int, np.ndarray, np.ndarray, np.ndarray]]
 
+def probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a seed in a filter of 2 ** bits bits."""
+    return (seed >> U(64 - bits)).astype(np.int64), ((seed * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64)
 
-def index(ids: list, texts: list[str]) -> Index:
-    w = column_words(pa.array(texts, pa.large_string()))
-    counts, item = w.counts, w.texts
-    tables = []
-    place = np.arange(len(item))
 
-    def add(kind: str | int, at: np.ndarray, found: np.ndarray) -> None:
-        order = np.argsort(found)
-        slots = np.zeros(1 << _SLOTS, dtype=bool)
-        slots[found >> U(64 - _SLOTS)] = True
-        tables.append((kind, found[order], at[order], slots))
-
-    short = min(map(len, MASKS))
-    for mask in MASKS:
-        all_ = seeds(w.hashes, mask)
-        at = place[: len(all_)]
-        at = at[at + len(mask) <= w.first[1:][item[at]]]
-        if len(at):
-            add(mask, at, all_[at])
-    for n in sorted({int(c) for c in counts if 0 < c < short}):
-        at = w.first[:-1][counts == n]
-        add(n, at, ngrams(w.hashes, n)[at])
-    return Index(ids, w.first, w.hashes, tables)
+def passing(filter_: np.ndarray, seed: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the seeds that the filter lets through."""
+    out = np.arange(len(seed))
+    for i in range(2):
+        at = probes(seed[out], bits)[i]
+        out = out[filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+    return out
 
 
 def stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -90,94 +88,199 @@ def stretch(same: np.ndarray) -> tuple[int, int, int]:
     return int(firsts[k]), int(ends[k]), int(got[ends[k]])
 
 
-def matches(ix: Index, first: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word in the text, stretch in words, agreeing words) of the best stretch of each text and item that has one."""
-    found: list[np.ndarray] = []
-    for kind, known, at, slots in ix.tables:
-        got = seeds(hashes, kind) if isinstance(kind, str) else ngrams(hashes, kind)
-        span = len(kind) if isinstance(kind, str) else kind
-        maybe = np.flatnonzero(slots[got >> U(64 - _SLOTS)]) if len(got) else np.zeros(0, np.int64)
-        low, high = (np.searchsorted(known, got[maybe], side=s) for s in ("left", "right"))
-        n = high - low
-        text_at = np.repeat(maybe, n)
-        item_at = at[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        text = np.searchsorted(first, text_at, side="right") - 1
-        inside = text_at + span <= first[1:][text]
-        item = np.searchsorted(ix.first, item_at, side="right") - 1
-        found.append(np.stack([text, item, text_at - item_at + ix.first[item]], axis=1)[inside])
-    if not found:
-        return []
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for text, item, start in np.unique(np.concatenate(found), axis=0).tolist():
-        a, b = ix.first[item], ix.first[item + 1]
-        lo, hi = max(start, first[text]), min(start + b - a, first[text + 1])
-        same = hashes[lo:hi] == ix.hashes[a + lo - start : a + hi - start]
-        least = max(min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * (b - a)))), best.get((text, item), (0, 0, 0))[2] + 1)
-        if np.count_nonzero(same) < least:
+def diagonals(text: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Places of the text, in order, at which the item's first word lies where a seed of both hits; they can be under 0.
+
+    A seed that both repeat has as many hits as the product of its places: past DENSE times the words, a convolution of the places finds
+    the diagonals instead, in time near linear in the words.
+    """
+    length = len(text) + len(item)
+    hit = np.zeros(length + 1, dtype=bool)
+    for mask in MASKS:
+        own, theirs = seeds(text, mask), seeds(item, mask)
+        order = np.argsort(theirs, kind="stable")
+        known, first, often = np.unique(theirs[order], return_index=True, return_counts=True)
+        if not len(known) or not len(own):
             continue
-        begin, end, agree = stretch(same)
-        if agree >= least:
-            best[text, item] = (int(lo + begin - first[text]), end - begin, agree)
-    return [(*k, *v) for k, v in best.items()]
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = np.flatnonzero(known[place] == own)
+        place = place[at]
+        in_text = np.bincount(place, minlength=len(known))
+        dense = in_text * often > DENSE * length
+        for k in np.flatnonzero(dense):
+            size = 1 << int(length).bit_length()
+            one, two = np.zeros(size), np.zeros(size)
+            one[at[place == k]] = 1
+            two[len(item) - order[first[k] : first[k] + often[k]]] = 1
+            hit |= np.fft.irfft(np.fft.rfft(one) * np.fft.rfft(two), size)[: length + 1] > 0.5
+        at, place = at[~dense[place]], place[~dense[place]]
+        n = often[place]
+        upto = np.cumsum(n)
+        for i in range(0, int(upto[-1]) if len(n) else 0, 1 << 20):  # a bounded number of hits at once
+            nth = np.arange(i, min(i + (1 << 20), int(upto[-1])))
+            of = np.searchsorted(upto, nth, side="right")
+            hit[at[of] - order[first[place[of]] + nth - (upto[of] - n[of])] + len(item)] = True
+    return np.flatnonzero(hit) - len(item)
+
+
+def overlap(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+    """(first word in the text, words, agreeing words) of the best stretch: most agreeing words, then fewest words, then the first."""
+    if len(item) < SHORT:
+        return (0, len(item), len(item)) if len(item) and np.array_equal(text, item) else None
+    least = min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * len(item))))
+    starts = diagonals(text, item)
+    low, high = np.maximum(starts, 0), np.minimum(starts + len(item), len(text))
+    counts = np.array([np.count_nonzero(text[i:j] == item[i - s : j - s]) for s, i, j in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True)], np.int64)
+    best = None  # (-agreeing, words, start)
+    for k in np.lexsort((starts, -counts)):
+        if counts[k] < least or best and (counts[k] < -best[0] or counts[k] == best[1] and low[k] >= best[2]):
+            break
+        s, i, j = int(starts[k]), int(low[k]), int(high[k])
+        begin, end, agree = stretch(text[i:j] == item[i - s : j - s])
+        if agree >= least and (best is None or (-agree, end - begin, i + begin) < best):
+            best = (-agree, end - begin, i + begin)
+    return best and (best[2], best[1], -best[0])
+
+
+def as_bytes(w: Words) -> list[bytes]:
+    """The word hashes of each text."""
+    return [w.hashes[i:j].tobytes() for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+
+
+def benchmark(items: DataFrame, item_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item, words), (item, seed) and the filter's chunks of a benchmark, items numbered; written tables."""
+    rows = items.select(F.col(item_column).alias("name"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
+    kind = rows.schema["name"].dataType.simpleString()
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in shared.sliced(whole, "text"):
+                w = column_words(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(as_bytes(w), pa.binary())], ["name", "words"]).filter(pa.array(w.counts > 0))
+
+    known = shared.written(rows.mapInArrow(tokenised, f"name {kind}, words binary").withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                hashes = np.frombuffer(data, U)
+                w = Words(np.array([0, len(hashes)]), hashes, hashes, hashes, {})
+                found = np.unique(np.concatenate([h for _, h in text_seeds(w)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), item)), pa.array(found.view(np.int64))], ["item", "seed"])
+
+    table = shared.written(known.select("item", "words").mapInArrow(seeded, "item long, seed long"), "seeds")
+    bits = min(max(int(FILTER_BITS * table.count()).bit_length(), FILTER_RANGE[0]), FILTER_RANGE[1])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(probes(batch.column("seed").to_numpy().view(U), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> CHUNK), pa.array(at & (1 << CHUNK) - 1)], ["chunk", "at"])
+
+    def chunked(group: pa.Table) -> pa.Table:
+        one = np.zeros(1 << CHUNK, dtype=np.uint8)
+        one[group.column("at").to_numpy()] = 1
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "data": pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary()), "bits": pa.array([bits])})
+
+    chunks = table.select("seed").mapInArrow(placed, "chunk long, at long").distinct().groupBy("chunk").applyInArrow(chunked, "chunk long, data binary, bits long")
+    return known, table, chunks
+
+
+def spread(large: DataFrame, small: DataFrame, key: str, row: str) -> DataFrame:
+    """large joined to small on key. A key of more of large's rows than a partition's share is dealt over all partitions by row.
+
+    There are fewer such keys than partitions, so they are broadcast.
+    """
+    parts = shared.partitions(large.sparkSession)
+    share = max(1, large.count() // parts)
+    hot = F.broadcast(large.groupBy(key).count().filter(F.col("count") > share).select(key, F.lit(True).alias("hot")))
+    salted = large.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(row), F.lit(parts))).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(small.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot"), [key, "salt"]).drop("salt")
 
 
-def indexes(items: DataFrame, id_column: str, text_column: str) -> Iterator[Index]:
-    """Indexes of parts of the benchmark, each of about PART_WORDS words at most, or of one item."""
-    rows = items.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    words = rows.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # no text has more words than half of its bytes and one
-    parts = 1 + int(words // PART_WORDS)
-    for part in range(parts):
-        some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()
-        if some:
-            yield index([r.id for r in some], [r.text for r in some])
+def found(rows: DataFrame, items: DataFrame, item_column: str, text_column: str) -> DataFrame:
+    """(key, item, start_word, n_words, n_agreeing) of rows (key, text), one for each row and item that overlap."""
+    spark = rows.sparkSession
+    shared.limit_batches(spark)
+    key_kind, item_kind = rows.schema["key"].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
+    known, table, chunks = benchmark(items, item_column, text_column)
+    parts = chunks.collect()  # at most 2 ** (FILTER_RANGE[1] - CHUNK) chunks of 128 KB
+    if not parts:
+        return spark.createDataFrame([], f"key {key_kind}, item {item_kind}, start_word int, n_words int, n_agreeing int")
+    bits = parts[0].bits
+    filter_ = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for p in parts:
+        filter_[p.chunk << CHUNK - 3 : p.chunk + 1 << CHUNK - 3] = np.frombuffer(p.data, np.uint8)
+    sent = spark.sparkContext.broadcast(filter_)
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in shared.sliced(whole, "text"):
+                w = column_words(batch.column("text"))
+                got = [(texts[some], h[some]) for texts, h in text_seeds(w) for some in [passing(sent.value, h, bits)]]
+                texts, hashes = (np.concatenate([g[i] for g in got]) for i in range(2))
+                if not len(texts):
+                    continue
+                order = np.lexsort((hashes, texts))
+                texts, hashes = texts[order], hashes[order]
+                new = np.concatenate([[True], (texts[1:] != texts[:-1]) | (hashes[1:] != hashes[:-1])])
+                texts, hashes = texts[new], hashes[new]
+                some, at = np.unique(texts, return_index=True)
+                lists = pa.ListArray.from_arrays(np.append(at, len(texts)).astype(np.int32), pa.array(hashes.view(np.int64)))
+                data = [w.hashes[w.first[i] : w.first[i + 1]].tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(some)), pa.array(data, pa.binary()), lists], ["key", "words", "seeds"])
+
+    hits = rows.mapInArrow(hit, f"key {key_kind}, words binary, seeds array<long>").withColumn("n", F.monotonically_increasing_id())
+    hits = shared.written(hits, "hits")
+    pairs = shared.written(spread(hits.select("n", F.explode("seeds").alias("seed")), table, "seed", "n").select("n", "item").distinct(), "pairs")
+    asked = spread(pairs, known, "item", "n").select("n", F.lit(None).cast(key_kind).alias("key"), "words", F.col("name").alias("item"), F.lit(1).alias("side"))
+    own = hits.join(pairs.select("n").distinct(), "n", "left_semi").select("n", "key", "words", F.lit(None).cast(item_kind).alias("item"), F.lit(0).alias("side"))
+    met = own.unionByName(asked).repartition(shared.partitions(spark), "n").sortWithinPartitions("n", "side")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text = None, np.zeros(0, U)  # of the text that the rows of side 1 that follow ask of
+        for batch in batches:
+            sides, data = batch.column("side").to_pylist(), batch.column("words")
+            out, keys, rows_ = [], [], []
+            for i, side in enumerate(sides):
+                words = np.frombuffer(data[i].as_py(), U)
+                if side == 0:
+                    key, text = batch.column("key").slice(i, 1), words
+                elif best := overlap(text, words):
+                    keys.append(key)
+                    rows_.append(i)
+                    out.append(best)
+            if out:
+                values = [pa.array([x[i] for x in out], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), batch.column("item").take(pa.array(rows_)), *values], ["key", "item", "start_word", "n_words", "n_agreeing"])
+
+    out = shared.written(met.mapInArrow(verified, f"key {key_kind}, item {item_kind}, start_word int, n_words int, n_agreeing int"), "overlaps")
+    shared.removed(known, table, hits, pairs)
+    return out
 
 
 def overlaps(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """(id, item, start_word, n_words, n_agreeing) for each row and benchmark item that share a stretch of words.
 
-    Texts are read where they are; the benchmark's seeds go to them in parts of bounded size, one pass over the texts for each.
-    Null and empty texts and items share nothing; repeated rows each give their rows; an empty benchmark gives none.
+    An item of fewer than SHORT words has no seed; it overlaps only with texts of just the same words, so that a word or two found
+    anywhere flag nothing. Null and empty texts and items share nothing; repeated rows and repeated items each give their rows, null ids
+    too; an empty benchmark or table gives none. Other columns are left out. Ids can be of any type.
     """
-    spark = df.sparkSession
-    shared.limit_batches(spark)
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind, item_kind = rows.schema["id"].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
-    schema = f"id {kind}, item {item_kind}, start_word int, n_words int, n_agreeing int"
-    out = spark.createDataFrame([], schema)
-    for ix in indexes(items, item_column, "text"):
-        sent = spark.sparkContext.broadcast(ix)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in shared.sliced(whole, "text"):
-                    w = column_words(batch.column("text"))
-                    got = matches(sent.value, w.first, w.hashes)
-                    ids = batch.column("id").take(pa.array([g[0] for g in got], pa.int64()))
-                    item_ids = pa.array([sent.value.ids[g[1]] for g in got], type_of[item_kind])
-                    yield pa.RecordBatch.from_arrays([ids, item_ids, *(pa.array([g[i] for g in got], pa.int32()) for i in (2, 3, 4))], ["id", "item", "start_word", "n_words", "n_agreeing"])
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out.withColumnsRenamed({"id": id_column, "item": item_column})
-
-
-type_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    rows = df.select(F.struct(F.col(id_column).alias("id")).alias("key"), F.col(text_column).alias("text"))
+    got = found(rows, items, item_column, "text")
+    return got.select(F.col("key.id").alias(id_column), F.col("item").alias(item_column), "start_word", "n_words", "n_agreeing")
 
 
 def clean(df: DataFrame, items: DataFrame, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """The rows of df, all columns, that share no stretch with any item; no shuffle."""
-    spark = df.sparkSession
-    shared.limit_batches(spark)
-    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.col(text_column).alias("text"))
-    for ix in indexes(items, item_column, "text"):
-        sent = spark.sparkContext.broadcast(ix)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in shared.sliced(whole, "text"):
-                    w = column_words(batch.column("text"))
-                    keep = np.ones(batch.num_rows, dtype=bool)
-                    keep[[g[0] for g in matches(sent.value, w.first, w.hashes)]] = False
-                    yield batch.filter(pa.array(keep))
-
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.select("row.*")
+    """The rows of df, all columns, that share no stretch with any item.
+
+    Texts are told apart by their MD5, so that equal texts are decided alike. Rows with a null or empty text
+    stay, as do all where the benchmark is empty; repeated rows stay or go together.
+    """
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns])
+    rows = df.select(row.alias("row"), F.col(text_column).alias("text"))
+    got = found(rows.select(F.md5("text").alias("key"), "text"), items, item_column, "text")
+    salts = 16  # so that the copies of one text are not one task's
+    bad = got.select("key").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.select("row", F.md5("text").alias("key"), F.pmod(F.hash("row"), F.lit(salts)).alias("salt"))
+    return dealt.join(bad, ["key", "salt"], "left_anti").select("row.*")

@@ -117,6 +117,8 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         count = np.diff(np.append(lines, len(column)))
         held = np.repeat(count, count)
         column, holder, held = column[held > 1], holder[held > 1], held[held > 1]
+        if not len(column):
+            return
         bucket = (names % U(parts)).astype(np.int32)
         order = np.lexsort((holder, bucket[holder]))
         column, holder, held = column[order], holder[order], held[order]

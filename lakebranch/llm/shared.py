@@ -14,12 +14,16 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of our own is set in local mode, as in tests; a cluster's
+    nodes would each have their own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,7 +61,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows whose column holds about limit bytes."""
     from lakebranch.llm.textops import buffers
 

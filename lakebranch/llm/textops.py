@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes worked through at once.
+PIECE = 1 << 18
 #: Every ASCII byte but letters and digits.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
@@ -35,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses, at least n of each."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = n
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             out = np.full(size, base, dtype=U)
             out[0] = 1
@@ -60,17 +62,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of a run of texts: text i has words first[i]:first[i + 1]; starts and ends are byte offsets."""
+    """The words of a run of texts: text i has words first[i]:first[i + 1]; starts and ends are byte offsets.
+
+    heads: by n, the hash of each word's first n bytes, of the whole word where it has no more.
+    """
 
     first: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    sums: np.ndarray
-
-    def prefixes(self, n: int) -> np.ndarray:
-        """The hash of each word's first n bytes, of the whole word where it has no more."""
-        return span_hashes(self.sums, self.starts, np.minimum(self.ends, self.starts + n))
+    heads: dict[int, np.ndarray]
 
     @property
     def counts(self) -> np.ndarray:
@@ -82,35 +83,91 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans of bytes, off the prefix sums that words() makes."""
-    down = _powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+def finished(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of words, given their bytes' polynomials."""
+    return mix(sums + lengths.astype(U) * U(0xA0761D6478BD642F))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, longest: int = 0, gap: np.ndarray = _SPACE) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, longest: int = 0, gap: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> Words:
     """Words of each text; those of more than longest bytes are cut in pieces of that many (0: never).
 
-    gap marks the lower-cased bytes that part words.
+    gap marks the lower-cased bytes that part words. The bytes are worked through in pieces of PIECE, which end between two words, so
+    that a long text takes no more room than its words do; the hash of a word of more bytes than that is carried from piece to piece.
     """
-    low = _LOWER[data]
-    solid = ~gap[low]
-    edge = np.zeros(len(low) + 1, dtype=bool)  # a text begins here
-    edge[offsets] = True
-    begins, stops = solid.copy(), solid.copy()
-    begins[1:] &= ~solid[:-1] | edge[1:-1]
-    stops[:-1] &= ~solid[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    if longest and len(starts) and int((ends - starts).max()) > longest:
-        pieces = -(-(ends - starts) // longest)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + nth * longest
-        ends = np.minimum(starts + longest, np.repeat(ends, pieces))
-    first = np.searchsorted(starts, offsets)
-    up, _ = _powers(len(low) + 1)
-    sums = np.zeros(len(low) + 1, dtype=U)
-    np.cumsum((low.astype(U) + U(1)) * up[: len(low)], out=sums[1:])
-    return Words(first, span_hashes(sums, starts, ends), starts, ends, sums)
+    starts_, ends_, hashes_, heads_ = [], [], [], {n: [] for n in heads}
+    up, down = _powers(PIECE + 1)
+    at, size = 0, len(data)
+
+    def edges(i: int, j: int) -> np.ndarray:
+        """Where texts begin in i:j, from i."""
+        lo, hi = np.searchsorted(offsets, [i, j])
+        return offsets[lo:hi] - i
+
+    def unbroken(i: int) -> bool:
+        """Whether bytes i - 1 and i are of one word."""
+        return not gap[_LOWER[data[i - 1]]] and not gap[_LOWER[data[i]]] and not len(edges(i, i + 1))
+
+    def whole(low: np.ndarray) -> int:
+        """The polynomial of at most PIECE bytes."""
+        return int(np.sum((low.astype(U) + U(1)) * up[: len(low)], dtype=U))
+
+    while at < size:
+        end = min(at + PIECE, size)
+        low = _LOWER[data[at:end]]
+        solid = ~gap[low]
+        begins, stops = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        stops[:-1] &= ~solid[1:]
+        here = edges(at + 1, end) + 1
+        begins[here] = solid[here]
+        stops[here - 1] = solid[here - 1]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        if end < size and unbroken(end):
+            begin = int(starts[-1])
+            kept = (len(low) - begin) // longest * longest if longest else 0
+            if begin + kept:  # the word that goes on is left to the next piece, or what it has beyond its full cuts
+                end = at + begin + kept
+                starts, ends = (starts, ends) if kept else (starts[:-1], ends[:-1])
+                ends = np.minimum(ends, begin + kept)
+            else:  # one word of more than a piece
+                total, length, scale = 0, 0, 1
+                stop = at
+                while True:
+                    stop = min(stop + PIECE, size)
+                    part = _LOWER[data[at + length : stop]]
+                    inside = np.flatnonzero(gap[part])
+                    cut = min([len(part), *inside[:1].tolist(), *(edges(at + length + 1, at + length + len(part)) + 1)[:1].tolist()])
+                    part = part[:cut]
+                    total = (total + scale * whole(part)) % 2**64
+                    scale = scale * pow(_BASE, len(part), 2**64) % 2**64
+                    length += len(part)
+                    if at + length < stop or stop == size or not unbroken(at + length):
+                        break
+                starts_.append(np.array([at]))
+                ends_.append(np.array([at + length]))
+                hashes_.append(finished(np.array([total], dtype=U), np.array([length])))
+                for n in heads:
+                    heads_[n].append(finished(np.array([whole(_LOWER[data[at : at + n]])], dtype=U), np.array([n])))
+                at += length
+                continue
+        if longest and len(starts) and int((ends - starts).max()) > longest:
+            pieces = -(-(ends - starts) // longest)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            starts = np.repeat(starts, pieces) + nth * longest
+            ends = np.minimum(starts + longest, np.repeat(ends, pieces))
+        sums = np.zeros(len(low) + 1, dtype=U)
+        np.cumsum((low.astype(U) + U(1)) * up[: len(low)], out=sums[1:])
+        base = down[starts]
+        hashes_.append(finished((sums[ends] - sums[starts]) * base, ends - starts))
+        for n in heads:
+            to = np.minimum(ends, starts + n)
+            heads_[n].append(finished((sums[to] - sums[starts]) * base, to - starts))
+        starts_.append(starts + at)
+        ends_.append(ends + at)
+        at = end
+    joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    starts = joined(starts_, np.int64)
+    return Words(np.searchsorted(starts, offsets), joined(hashes_, U), starts, joined(ends_, np.int64), {n: joined(x, U) for n, x in heads_.items()})
 
 
 def column_words(column: pa.Array, longest: int = 0) -> Words:

@@ -48,19 +48,21 @@ class Bags:
 def bags(column: pa.Array) -> Bags:
     """Sentences end at . ! ? or a line's end; those without a word are left out. Features are distinct in a word, not in a sentence."""
     data, offsets = buffers(column)
-    w = words(data, offsets, gap=MARKS)
-    stops = np.concatenate([[0], np.cumsum(_STOPS[data])])
+    w = words(data, offsets, gap=MARKS, heads=PREFIXES)
+    stops = np.searchsorted(np.flatnonzero(_STOPS[data]), w.starts)
     text = w.texts
     if not len(text):
         none = np.zeros(0, np.int64)
         return Bags(np.zeros(len(column) + 1, np.int64), np.zeros(1, np.int64), none, none, none)
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (stops[w.starts[1:]] != stops[w.starts[:-1]])])
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (stops[1:] != stops[:-1])])
     lines = np.flatnonzero(new)
-    kinds = [w.hashes, *(np.where(w.ends - w.starts > n, w.prefixes(n) + U(n), w.hashes) for n in PREFIXES)]
-    features = np.stack([(mix(k) >> U(64 - BITS)).astype(np.int32) for k in kinds], axis=1).ravel()
-    at = np.append(lines, len(text)) * len(kinds)
+    features = np.empty((len(text), 1 + len(PREFIXES)), np.int32)
+    features[:, 0] = mix(w.hashes) >> U(64 - BITS)
+    for i, n in enumerate(PREFIXES, 1):
+        features[:, i] = mix(np.where(w.ends - w.starts > n, w.heads.pop(n) + U(n), w.hashes)) >> U(64 - BITS)
+    at = np.append(lines, len(text)) * (1 + len(PREFIXES))
     last = np.append(lines[1:], len(text)) - 1
-    return Bags(np.searchsorted(text[lines], np.arange(len(column) + 1)), at, features, w.starts[lines], w.ends[last])
+    return Bags(np.searchsorted(text[lines], np.arange(len(column) + 1)), at, features.ravel(), w.starts[lines], w.ends[last])
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,25 +267,10 @@ def test_frequent_table_of_an_ordered_table(spark):
     assert {"second", " lines"} <= set(table)
 
 
-def test_overlaps_tolerate_substitutions(spark, odd, none):
-    rng = np.random.default_rng(1)
-    pool = [f"t{i}" for i in range(5_000)]
-    items = [(i, " ".join(rng.choice(pool, n))) for i, n in enumerate([40, 20, 15, 4, 1])] + [(50, None), (51, "")]
-    changed = items[0][1].split()
-    for j in range(4, 40, 6):
-        changed[j] = "zz"
-    filler = lambda: " ".join(rng.choice(pool, 50))
-    rows = [(1, f"{filler()} {' '.join(changed)} {filler()}"), (2, f"{filler()} {items[1][1].upper()}"), (3, filler()), (4, f"x {items[3][1]} y"), (5, " ".join(items[0][1].split()[:6]) + " " + filler()), (6, None)]
-    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.n_words, r.n_agreeing) for r in decontamination.overlaps(df, bench).collect() if r.item_id != 4}
-    assert set(got) == {(1, 0), (2, 1), (4, 3)} and got[1, 0] == (40, 34)
-    assert {r.doc_id for r in decontamination.clean(df, bench.filter("item_id < 4")).collect()} == {3, 5, 6}
-    assert decontamination.clean(odd, bench).columns == odd.columns and decontamination.overlaps(none, bench).count() == 0
-    assert decontamination.overlaps(df, bench.limit(0)).count() == 0
-
-
 def brute_overlap(item, text):
     """The most agreeing words, and the least stretch with them, over all diagonals with a seed and all stretches that meet the rule."""
+    if len(item) < 5:
+        return (len(item), len(item)) if item and item == text else None
     best, least = (0, 0), min(12, -(-7 * len(item) // 10))
     for start in range(1 - len(item), len(text)):
         same = {i: item[i] == text[start + i] for i in range(len(item)) if 0 <= start + i < len(text)}
@@ -299,6 +285,44 @@ def brute_overlap(item, text):
     return (-best[1], best[0]) if best[0] else None
 
 
+def test_overlaps_by_brute_force(spark, odd, none):
+    rng = np.random.default_rng(1)
+    pool = [f"t{i}" for i in range(5_000)]
+    items = [(i, " ".join(rng.choice(pool, n))) for i, n in enumerate([40, 20, 15, 4, 1, 8])] + [(20, "word " * 30), (21, "b c d e f G h"), (22, "one"), (23, "x y z"), (None, "a b c d e f g i"), (24, "q r " * 9), (50, None), (51, ""), (2, "one")]
+    changed = items[0][1].split()
+    for j in range(4, 40, 6):
+        changed[j] = "zz"
+    filler = lambda: " ".join(rng.choice(pool, 50))
+    rows = [
+        (1, f"{filler()} {' '.join(changed)} {filler()}"), (2, f"{filler()} {items[1][1].upper()}"), (3, filler()), (4, f"x {items[3][1]} y"), (4, items[3][1]), (5, " ".join(items[0][1].split()[:6]) + " " + filler()),
+        (6, None), (7, items[4][1]), (8, "the " + items[4][1]), (9, "r q " * 20), (10, f"{items[5][1]} {items[1][1]}"), (11, "X y Z"), (None, items[1][1]), (12, "word " * 9), (13, " ".join(items[5][1].split()[:5])),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
+    small = spark.createDataFrame([r[:2] for r in ODD if len(r[1] or "") < 1_000], "doc_id long, text string")
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(5), small):
+        given = [(r.doc_id, r.text) for r in df.collect()]
+        want = Counter((d, i, *best) for d, t in given for i, x in items if (best := brute_overlap(words(x), words(t))))
+        got = decontamination.overlaps(df, bench).collect()
+        assert Counter((r.doc_id, r.item_id, r.n_words, r.n_agreeing) for r in got) == want and sum(want.values()) > 2
+        text_of = defaultdict(list)
+        for d, t in given:
+            text_of[d].append(words(t))
+        for r in got:
+            item = [set(words(x)) for i, x in items if i == r.item_id]
+            assert any(sum(w in s for w in t[r.start_word : r.start_word + r.n_words]) >= r.n_agreeing for t in text_of[r.doc_id] for s in item)
+        flagged = {t for _, t in given if any(brute_overlap(words(x), words(t)) for _, x in items)}
+        assert Counter(map(tuple, decontamination.clean(df, bench).collect())) == Counter(r for r in given if r[1] not in flagged)
+    assert decontamination.clean(odd, bench).columns == odd.columns and {r.doc_id for r in decontamination.overlaps(odd.filter("doc_id = 5"), bench).collect()} == {5}
+    assert decontamination.overlaps(none, bench).count() == 0 and decontamination.clean(none, bench).count() == 0
+    assert decontamination.overlaps(odd, bench.limit(0)).count() == 0 and decontamination.clean(odd, bench.limit(0)).count() == len(ODD)
+    named = spark.createDataFrame([("a", items[1][1])], "doc_id string, text string")
+    assert [tuple(r) for r in decontamination.overlaps(named, spark.createDataFrame([(7, items[1][1])], "item_id smallint, text string")).collect()] == [("a", 7, 0, 20, 20)]
+
+
+def as_words(text):
+    return column_words(pa.array([" ".join(text)], pa.string())).hashes
+
+
 def test_any_stretch_of_an_overlap_counts():
     rng = np.random.default_rng(4)
     cases = []
@@ -311,15 +335,29 @@ def test_any_stretch_of_an_overlap_counts():
     for same in cases:
         item = [f"t{i}" for i in range(len(same))]
         text = [f"f{i}" for i in range(9)] + [w if s else f"x{i}" for i, (w, s) in enumerate(zip(item, same, strict=True))] + ["f"] * 9
-        w = column_words(pa.array([" ".join(text)], pa.string()))
-        got = decontamination.matches(decontamination.index([0], [" ".join(item)]), w.first, w.hashes)
+        got = decontamination.overlap(as_words(text), as_words(item))
         found.append(brute_overlap(item, text))
-        assert [g[3:] for g in got] == ([found[-1]] if found[-1] else [])
-        for _, _, start, n, agree in got:
-            assert sum(a in item for a in text[start : start + n]) == agree
+        assert (got and got[1:]) == found[-1]
+        if got:
+            assert sum(a in item for a in text[got[0] : got[0] + got[1]]) == got[2]
     assert found[-2:] == [(21, 15), (53, 40)] and None in found
 
 
+def test_repeated_words_overlap_in_little_time():
+    rng = np.random.default_rng(5)
+    for _ in range(60):  # few different words, so that a seed hits on many diagonals; the dense way too
+        item, text = ([str(x) for x in rng.integers(0, 2, n)] for n in (rng.integers(5, 30), rng.integers(5, 60)))
+        for dense in (decontamination.DENSE, 0):
+            decontamination.DENSE, kept = dense, decontamination.DENSE
+            got = decontamination.overlap(as_words(text), as_words(item))
+            decontamination.DENSE = kept
+            assert (got and got[1:]) == brute_overlap(item, text)
+    began = time.time()
+    assert decontamination.overlap(as_words(["word"] * 30_000), as_words(["word"] * 1_000)) == (0, 1_000, 1_000)
+    assert decontamination.overlap(as_words(["a", "b"] * 15_000), as_words(["b", "a"] * 500)) == (1, 1_000, 1_000)
+    assert time.time() - began < 20
+
+
 def test_extraction(spark, folder):
     from lakebranch.llm.page_labels import labelled_pages
 
