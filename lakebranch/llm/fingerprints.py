@@ -9,12 +9,13 @@ weights (Ioffe 2010). A fingerprint is k such samples, 16 bits of each, in hex;
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lakebranch.llm import shared
 from lakebranch.llm.textops import U, column_words, distinct, mix, trailing_ngrams
@@ -23,6 +24,8 @@ SAMPLES = 64
 WORDS = 5
 #: Longer runs without white space count as several words, so that such texts have more than one term.
 LONGEST = 24
+#: Keys sampled for each partition to cut the rows in runs.
+SAMPLE = 32
 #: Rows of the (term, sample) matrix worked on at once.
 ROWS = 512
 _TABLE = (-np.log((np.arange(65536) + 0.5) / 65536)).astype(np.float32)
@@ -119,40 +122,62 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return rows.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_column)
 
 
-def fingerprint_likeness(a: Column, b: Column) -> Column:
-    """The share of agreeing samples of two fingerprints, in SQL functions."""
-    n = (F.length(a) / 4).cast("int")
-    same = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substr(a, i * 4 + 1, F.lit(4)) == F.substr(b, i * 4 + 1, F.lit(4)))
-    return F.size(same) / n
+def key_of(value: object, hashed: int) -> tuple:
+    """A row's place among all, ascending: by id, null first and NaN last, then by the hash of its text."""
+    if value is None:
+        return (0, 0, hashed)
+    return (2, 0, hashed) if value != value else (1, value, hashed)
+
+
+def cut_keys(keys: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 keys (id, h), in order, that cut all rows in runs of about equal length; from a sample of SAMPLE keys a part."""
+    share = min(1.0, SAMPLE * parts / max(1, keys.count()))
+    some = sorted(key_of(r.id, r.h) for r in (keys if share == 1 else keys.sample(share, seed=1)).collect())
+    return sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
 
 
 def with_followers(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
-    """Rows (bucket, extra, id, text), dealt out so that a bucket holds a run of ids and, marked extra, the run's follower.
+    """Rows (bucket, extra, id, h, text), dealt out so that a bucket holds a run of rows and, marked extra, the run's follower.
 
-    Ids are cut into as many runs of about equal length as there are shuffle partitions, from the greatest id down, nulls last;
-    rows of equal ids are told apart by their texts, the greatest first. The run after the last is the first. Only each run's
-    greatest id (one a partition) comes to the driver; a text is shuffled once.
+    Rows go from the greatest id down, nulls last, and rows of equal ids by a hash h of their texts. Keys of a bounded sample cut them
+    into as many runs of about equal length as there are shuffle partitions; a row's run is found by bisection. The run after the last is
+    the first. Only each run's greatest key (one a partition) comes to the driver; a text is shuffled once.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    m = shared.partitions(spark)
-    cuts = sorted(set(rows.approxQuantile("id", [i / m for i in range(1, m)], 1 / (8 * m))), reverse=True) if m > 1 else []
-    cut = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
-    bucket = F.when(F.col("id").isNull(), len(cuts)).otherwise(F.size(F.filter(cut, lambda x: x > F.col("id").cast("double"))))
-    heads = sorted(rows.select("id").groupBy(bucket.alias("b")).agg(F.max("id").alias("head")).collect())
-    if not heads:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("extra"), "id", "text"), m
-    before = {row.b: heads[i - 1].b for i, row in enumerate(heads)}
-    head_of = {row.b: row.head for row in heads}
-    known = range(len(cuts) + 1)
+    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    heads_at = F.array(*[F.lit(head_of.get(b)).cast(kind) for b in known])
-    befores = F.array(*[F.lit(before.get(b, -1)) for b in known])
-    place = lambda b, extra: F.struct(b.alias("bucket"), F.lit(extra).alias("extra"))
-    is_head = F.get(heads_at, F.col("b")).eqNullSafe(F.col("id"))
-    copies = F.when(is_head, F.array(place(F.col("b"), 0), place(F.get(befores, F.col("b")), 1))).otherwise(F.array(place(F.col("b"), 0)))
-    dealt = rows.withColumn("b", bucket).select(F.explode(copies).alias("p"), "id", "text").select("p.bucket", "p.extra", "id", "text")
-    return dealt, len(cuts) + 1
+    cuts = cut_keys(rows.select("id", "h"), shared.partitions(spark))
+    sent = spark.sparkContext.broadcast(cuts)  # one key a partition
+
+    def places(batch: pa.RecordBatch) -> list[tuple[int, tuple]]:
+        keys = [key_of(*x) for x in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+        return [(len(sent.value) - bisect.bisect_right(sent.value, k), k) for k in keys]
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[int, tuple[tuple, int]] = {}
+            for i, (b, key) in enumerate(places(batch)):
+                if b not in best or key > best[b][0]:
+                    best[b] = key, i
+            taken = batch.take(pa.array([i for _, i in best.values()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), *taken.columns], ["bucket", "id", "h"])
+
+    heads = rows.select("id", "h").mapInArrow(greatest, f"bucket int, id {kind}, h long").groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("head")).collect()
+    heads = sorted((r.bucket, key_of(r.head.id, r.head.h)) for r in heads)
+    before = spark.sparkContext.broadcast({key: heads[i - 1][0] for i, (_, key) in enumerate(heads)})
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            found = places(batch)
+            ahead = [i for i, (_, key) in enumerate(found) if key in before.value]
+            ahead = [i for i in ahead if found[i][1] not in done and not done.add(found[i][1])]
+            for at, extra, buckets in ((range(len(found)), 0, [b for b, _ in found]), (ahead, 1, [before.value[found[i][1]] for i in ahead])):
+                some = batch if not extra else batch.take(pa.array(at, pa.int64()))
+                if some.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([extra] * len(buckets), pa.int32()), *some.columns], ["bucket", "extra", "id", "h", "text"])
+
+    return rows.select("id", "h", "text").mapInArrow(dealt, f"bucket int, extra int, id {kind}, h long, text string"), len(cuts) + 1
 
 
 def edited_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SAMPLES) -> DataFrame:
@@ -160,15 +185,14 @@ def edited_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     The edited text has the last floor(n / 3) of its n code points replaced by the first as many (or all) of the next document
     in descending order of ids, nulls last; the first follows the last, so a sole document follows itself. A null text is
-    empty. Repeated ids are ordered by text, greatest first; each row gives one row. An empty table gives none.
+    empty. Rows of one id are ordered by a hash of their texts, greatest first; each row gives one row. An empty table gives none. Ids
+    can be of any type that has an order.
     """
     spark = df.sparkSession
     shared.limit_batches(spark)
     dealt, n = with_followers(df, id_column, text_column)
     kind = dealt.schema["id"].dataType.simpleString()
-    rows = dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions(
-        "bucket", "extra", F.col("id").desc_nulls_last(), F.col("text").desc()
-    )
+    rows = dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), F.col("h").desc())
 
     def work(ids: list, texts: list[str]) -> pa.RecordBatch:
         """Rows of all texts but the last, which only follows."""
@@ -179,7 +203,7 @@ def edited_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         own, changed = paired_signatures(base, other, n + 1, k)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[:n], out_kind),
+                pa.concat_arrays(ids[:n]),
                 pa.array([len(x) for x in texts[:n]], pa.int64()),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited], pa.string()),
                 pa.array(hexed(own[:n]), pa.string()),
@@ -190,18 +214,17 @@ def edited_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    out_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
         bucket, size = None, 0
         for whole in batches:
             for batch in shared.sliced(whole, "text"):
-                for b, extra, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = batch.column("id")
+                for i, (b, extra, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "extra", "text")), strict=True)):
                     if b != bucket:
                         ids, texts, bucket, size = [], [], b, 0
-                    ids.append(i)
+                    ids.append(names.slice(i, 1))
                     texts.append(text)
                     size += len(text)
                     if extra or size > 1 << 21:

@@ -20,8 +20,8 @@ from lakebranch.llm.textops import MARKS, U, buffers, mix, words
 BITS = 18
 #: Features of a word: the whole and prefixes of so many bytes.
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: At most so many labelled documents of each label are learned from, in order of a hash of their id.
-TRAIN_ROWS = 2048
+#: At most so many labelled documents of each label are learned from, in order of a hash of their id, and so many bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 2048, 64 << 20
 #: A feature counts if so many training documents have it, and toxic ones more often by so many standard errors.
 MIN_DOCUMENTS, ERRORS = 3, 3.0
 BIAS, RATE, BATCH, DECAY, SEED = -6.0, 0.1, 128, 1e-3, 7
@@ -82,86 +82,136 @@ class Model:
         return np.where(np.diff(b.first) > 0, -np.expm1(np.minimum(0, sums[b.first[1:]] - sums[b.first[:-1]])), 0.0)
 
 
-def train(labelled: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """Fits a model to (label, sentence offsets, features) of documents by Adam on mini-batches.
+@dataclass
+class Bag:
+    """A labelled document's different sentences: how often each occurs and where its features, numbered from 0, begin and end."""
+
+    label: int
+    often: np.ndarray
+    at: np.ndarray
+    features: np.ndarray
+
+
+def train(labelled: list[Bag], n: int) -> tuple[np.ndarray, float]:
+    """(weights of n features, bias) of documents, by Adam on mini-batches.
 
     Without documents of both labels all weights stay 0. Each label has half of the weight.
     """
-    weights, rng = np.zeros(1 << BITS), np.random.default_rng(SEED)
+    weights, rng = np.zeros(n), np.random.default_rng(SEED)
     bias = BIAS
-    y = np.array([d[0] for d in labelled], dtype=float)
+    y = np.array([d.label for d in labelled], dtype=float)
     if not len(y) or y.min() == y.max():
-        return Model(weights.astype(np.float32), bias)
-    seen = np.zeros((2, 1 << BITS))
-    for label, _, f in labelled:
-        seen[label, np.unique(f)] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
-    overall = seen.sum(axis=0) / n.sum()
-    error = np.sqrt(overall * (1 - overall) * (1 / n).sum()) + 1e-12
-    known = (seen.sum(axis=0) >= MIN_DOCUMENTS) & (seen[1] / n[1] - seen[0] / n[0] > ERRORS * error)
+        return weights, bias
     share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     bm = bv = step = 0.0
     for _ in range(max(EPOCHS, STEPS * BATCH // len(labelled))):
         order = rng.permutation(len(labelled))
         for i in range(0, len(order), BATCH):
-            some = [labelled[j] for j in order[i : i + BATCH] if len(labelled[j][2])]
-            if not some:
+            picked = [j for j in order[i : i + BATCH] if len(labelled[j].often)]
+            if not picked:
                 continue
-            label = np.array([d[0] for d in some], dtype=float)
-            part = share[[j for j in order[i : i + BATCH] if len(labelled[j][2])]]
-            features = np.concatenate([d[2] for d in some])
-            counts = np.concatenate([np.diff(d[1]) for d in some])
-            first = np.cumsum([0, *(len(d[1]) - 1 for d in some)])
-            at = np.cumsum(counts) - counts
-            z = bias + np.add.reduceat(np.where(known, weights, 0)[features], at)
-            logs = -np.logaddexp(0, z)
-            clean = np.add.reduceat(logs, first[:-1])
+            some = [labelled[j] for j in picked]
+            often = np.concatenate([d.often for d in some])
+            features = np.concatenate([d.features for d in some])
+            document = np.repeat(np.arange(len(some)), [len(d.often) for d in some])
+            sentence = np.repeat(np.arange(len(often)), np.concatenate([np.diff(d.at) for d in some]))
+            z = bias + np.bincount(sentence, weights[features], len(often))
+            clean = np.bincount(document, -np.logaddexp(0, z) * often, len(some))
             p = np.maximum(-np.expm1(clean), 1e-12)
-            pull = np.where(label == 1, np.exp(clean) / p, -1.0) * part
-            g = -np.repeat(pull, np.diff(first)) * np.exp(-np.logaddexp(0, -z)) / len(some)
-            grad = np.bincount(features, np.repeat(g, counts), minlength=1 << BITS) * known + DECAY * weights / len(some)
+            pull = np.where(y[picked] == 1, np.exp(clean) / p, -1.0) * share[picked]
+            g = -pull[document] * np.exp(-np.logaddexp(0, -z)) * often / len(some)
+            grad = np.bincount(features, g[sentence], n) + DECAY * weights / len(some)
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             bm, bv = 0.9 * bm + 0.1 * g.sum(), 0.999 * bv + 0.001 * g.sum() ** 2
             rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             weights -= rate * m / (np.sqrt(v) + 1e-8)
             bias -= rate * bm / (np.sqrt(bv) + 1e-8)
-    return Model((weights * known).astype(np.float32), float(bias))
-
+    return weights, float(bias)
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """A model of the documents that labels marks, at most rows of each label; only their features come to the driver.
 
-    A document labelled both ways counts as toxic; null labels and ids are passed over.
-    """
+def sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, rows: int, size: int) -> DataFrame:
+    """(place, y, text) of at most rows documents of each label, of at most size bytes in all, numbered in order of a hash of the id."""
     marks = labels.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
-    order = F.xxhash64("id")
-    picked = [marks.filter(F.col("y") == y).orderBy(order, "id").limit(rows) for y in (0, 1)]
-    few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows rows of two numbers
+    order = [F.xxhash64("id"), F.col("id")]
+    of = lambda df: [df.filter(F.col("y") == y).orderBy(*order, *[F.md5("text")][: "text" in df.columns]).limit(rows) for y in (0, 1)]
+    few = of(marks)
+    few = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * rows rows of two numbers
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(few, "id")
+    picked = of(texts)  # again, as ids can be repeated
+    picked = shared.written(picked[0].unionByName(picked[1]).withColumn("n", F.monotonically_increasing_id()), "labelled")
+    sizes = picked.select("n", F.col("y").cast("int").alias("y"), F.xxhash64("id").alias("o"), F.md5("text").alias("h"), F.octet_length("text").alias("size")).collect()
+    left, kept = {0: size, 1: size}, []
+    for r in sorted(sizes, key=lambda r: (r.y, r.o, r.h)):
+        left[r.y] -= r.size
+        if left[r.y] >= 0:
+            kept.append((r.n, len(kept)))
+    places = docs.sparkSession.createDataFrame(kept, "n long, place int")
+    return shared.written(picked.join(F.broadcast(places), "n").select("place", F.col("y").cast("int").alias("y"), "text"), "labelled")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES
+) -> Model:
+    """A model of the documents that labels marks, at most rows of each label and size bytes of their texts.
+
+    Which features count is found by an aggregate; then only those of each different sentence, and how often it occurs, come to the
+    driver. A document labelled both ways counts as toxic; null labels and ids are passed over; of repeated rows each counts.
+    """
+    shared.limit_batches(docs.sparkSession)
+    texts = sample(docs, labels, id_column, text_column, label_column, rows, size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        for whole in batches:
+            for batch in shared.sliced(whole, "text"):
+                b = bags(batch.column("text"))
+                for i, y in enumerate(batch.column("y").to_pylist()):
+                    seen[y, np.unique(b.features[b.at[b.first[i]] : b.at[b.first[i + 1]]])] += 1
+        found = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(seen[y][found]) for y in (0, 1))], ["feature", "clean", "toxic"])
+
+    n = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), BIAS)
+    total = n[0] + n[1]
+    sums = texts.select("y", "text").mapInArrow(counted, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    overall = (F.col("clean") + F.col("toxic")) / total
+    error = F.sqrt(overall * (1 - overall) * (1 / n[0] + 1 / n[1])) + 1e-12
+    known = sums.filter((F.col("clean") + F.col("toxic") >= MIN_DOCUMENTS) & (F.col("toxic") / n[1] - F.col("clean") / n[0] > ERRORS * error))
+    known = np.array(sorted(r.feature for r in known.select("feature").collect()), np.int64)  # at most 2 ** BITS
+    number = np.full(1 << BITS, -1, np.int32)
+    number[known] = np.arange(len(known))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in shared.sliced(whole, "text"):
                 b = bags(batch.column("text"))
                 out = []
-                for i, (key, y) in enumerate(zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                    at = b.at[b.first[i] : b.first[i + 1] + 1]
-                    features = b.features[at[0] : at[-1]] if len(at) > 1 else b.features[:0]
-                    out.append({"id": key, "y": int(y), "at": (at - at[:1]).astype(np.int32).tobytes() if len(at) else b"", "f": features.astype(np.int32).tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    kind = texts.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("y", pa.int32()), ("at", pa.binary()), ("f", pa.binary())])
-    got = sorted(texts.mapInArrow(run, f"id {kind}, y int, at binary, f binary").collect(), key=lambda r: (r.id, r.f))
-    return train([(r.y, np.frombuffer(r.at, np.int32), np.frombuffer(r.f, np.int32)) for r in got])
+                for i in range(batch.num_rows):
+                    different: dict[bytes, int] = {}
+                    for j in range(b.first[i], b.first[i + 1]):
+                        f = number[b.features[b.at[j] : b.at[j + 1]]]
+                        key = np.sort(f[f >= 0]).tobytes()
+                        different[key] = different.get(key, 0) + 1
+                    at = np.cumsum([0, *(len(k) // 4 for k in different)]).astype(np.int32)
+                    out.append((np.array(list(different.values()), np.int32).tobytes(), at.tobytes(), b"".join(different)))
+                yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("y"), *(pa.array([x[i] for x in out], pa.binary()) for i in range(3))], ["place", "y", "often", "at", "features"])
+
+    got = sorted(texts.mapInArrow(reduced, "place int, y int, often binary, at binary, features binary").collect())
+    weights, bias = train([Bag(r.y, *(np.frombuffer(x, np.int32) for x in (r.often, r.at, r.features))) for r in got], len(known))
+    shared.removed(texts)
+    full = np.zeros(1 << BITS, np.float32)
+    full[known] = weights
+    return Model(full, bias)
 
 
 def score(df: DataFrame, model: Model, text_column: str = "text", spans: bool = True) -> DataFrame:
     """(row, score, offending): df's row as a struct, its text's score, and its offending sentences as code point spans.
 
     Whole texts are scored where they are read. A null or empty text has score 0 and no sentences; spans=False leaves them out.
+    Repeated rows each give a row; an empty table gives none.
     """
     spark = df.sparkSession
     shared.limit_batches(spark)

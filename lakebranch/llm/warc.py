@@ -131,14 +131,17 @@ def read_archive(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], dict[st
 def planned(df: DataFrame, id_column: str, url_column: str, payload_column: str, least: int) -> DataFrame:
     """(id, url, payload, digest, record_type, refers_to): of equal payloads of least bytes or more, the greatest id is the response.
 
-    Only digests and ids are grouped; then the payloads meet their digest's greatest id in one shuffle.
+    Digests and ids are grouped without payloads. Payloads then meet their digest's greatest id in one shuffle, dealt by digest and id,
+    so that the copies of one payload are spread over all tasks however many they are.
     """
     rows = df.select(
         F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_column), F.lit("")), "UTF-8").alias("payload")
-    ).withColumn("digest", F.unhex(F.sha1("payload")))
-    heads = rows.select("digest", "id").groupBy("digest").agg(F.max("id").alias("head"))
+    ).withColumns({"digest": F.unhex(F.sha1("payload")), "salt": F.xxhash64("id", "url")})
+    heads = rows.groupBy("digest", "salt").agg(F.max("id").alias("head"))
+    greatest = heads.groupBy("digest").agg(F.max("head").alias("head"))
+    heads = heads.select("digest", "salt").join(greatest, "digest")
     revisit = (F.octet_length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("head"))
-    return rows.join(heads, "digest").select(
+    return rows.join(heads, ["digest", "salt"]).select(
         "id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("head")).alias("refers_to")
     )
 

@@ -1,6 +1,7 @@
 """The llm operators on small fixtures, against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakebranch.llm import chat, components, decontamination, fingerprints, html_extract, lm_score, mixing, ngram_join, queries, shared, token_counts, toxicity, warc
+from lakebranch.llm import chat, components, decontamination, fingerprints, html_extract, lm_score, mixing, ngram_join, queries, shared, textops, token_counts, toxicity, warc
 from lakebranch.llm.dom import parse
 from lakebranch.llm.textops import column_words, distinct, shingles
 
@@ -67,17 +68,47 @@ def test_fingerprints_estimate_weighted_jaccard():
     assert 0.3 < fingerprints.likeness(heavy[:1], heavy[1:2])[0] < 0.65
 
 
+def brute_likeness(a, b, k=fingerprints.SAMPLES):
+    """Consistent weighted sampling of two texts term by term, in plain Python but for the hashes that random values are read off."""
+    picks = []
+    for text in (a, b):
+        owner, term, weight = fingerprints.terms(pa.array([text]))
+        sample = []
+        for j in range(k):
+            least = None
+            for x, w in zip(term.tolist(), weight.tolist(), strict=True):
+                salted = np.array([x], np.uint64) ^ textops.mix(np.array([j + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                u = textops.mix(salted).view(np.uint16).astype(float)
+                beta = float((salted * np.uint64(0xD6E8FEB86659FD93))[0] >> np.uint64(40)) / 2**24
+                log = lambda i, u=u: -np.log((u[i] + 0.5) / 65536)
+                r, c = log(0) + log(1), log(2) + log(3)
+                t = np.floor(np.log(w) / r + beta)
+                value = c * np.exp(-r * (t + 1 - beta))
+                if least is None or value < least[0]:
+                    least = (value, x, t)
+            sample.append(least and least[1:])
+        picks.append(sample)
+    return np.mean([x == y for x, y in zip(*picks, strict=True)])
+
+
 def test_edited_pairs(spark, odd, none, docs):
-    for df in (docs, odd):
-        rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    strings = spark.createDataFrame([(x, f"t {x} " * 3) for x in "b a é c d".split()] + [("a", "q"), (None, "n")], "doc_id string, text string")
+    few = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(i + 5))) for i in range(12)] + [(12, ""), (13, None)], "doc_id smallint, text string")
+    for df in (docs, odd, strings, few, docs.limit(1), spark.createDataFrame([(float("nan"), "a b"), (1.5, "c"), (None, "d")], "doc_id double, text string")):
+        given = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+        rows = [(r.doc_id, r.text) for r in sorted(given, key=lambda r: fingerprints.key_of(r.doc_id, r.h), reverse=True)]
         want = Counter()
         for i, (d, x) in enumerate(rows):
             y, k = rows[(i + 1) % len(rows)][1], len(x) // 3
-            want[d, len(x), hashlib.sha256((x[: len(x) - k] + y[:k]).encode()).hexdigest()] += 1
+            want[str(d), len(x), hashlib.sha256((x[: len(x) - k] + y[:k]).encode()).hexdigest()] += 1
         got = fingerprints.edited_pairs(df).collect()
-        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        assert Counter((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        if df is few:
+            for i, (d, x) in enumerate(rows):
+                y = rows[(i + 1) % len(rows)][1]
+                (r,) = [r for r in got if r.doc_id == d]
+                assert abs(r.near_edited - brute_likeness(x, x[: len(x) - len(x) // 3] + y[: len(x) // 3])) < 0.02 and abs(r.near_next - brute_likeness(x, y)) < 0.02
     assert fingerprints.edited_pairs(none).count() == 0
     plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
     assert all(plain[r.doc_id] == r.fingerprint for r in fingerprints.edited_pairs(docs).collect())
@@ -122,6 +153,38 @@ def test_similar_groups(spark, odd, none, docs):
     assert ngram_join.similar_groups(none).count() == 0
 
 
+def test_groups_of_copies_in_several_partitions(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for rows in ([(1, text), (2, text)], [(3, text), (3, text), (None, text), (4, "one word"), (5, None)]):
+                df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+                got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect())
+                assert got == brute_groups(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_words_in_pieces(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["", "x" * 300, None, "A" * 64 + " " + "b" * 65, " " * 200, *("".join(rng.choice(list("abAB é\t."), rng.integers(1, 300))) for _ in range(80)), "y" * 700]
+    column = pa.array(texts)
+    for longest in (0, 7, 24):
+        for gap in (textops._SPACE, textops.MARKS):
+            whole = textops.words(*textops.buffers(column), longest, gap, (4, 9))
+            with monkeypatch.context() as m:
+                m.setattr(textops, "PIECE", 64)
+                cut = textops.words(*textops.buffers(column), longest, gap, (4, 9))
+            for name in ("first", "hashes", "starts", "ends"):
+                assert np.array_equal(getattr(whole, name), getattr(cut, name))
+            assert all(np.array_equal(whole.heads[n], cut.heads[n]) for n in (4, 9))
+    plain = textops.words(*textops.buffers(column))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", texts[5].encode())]
+    assert int(plain.counts[5]) == len(spans)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["class"]: r.root for r in components.roots(edges, spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 7_000]], "class long")).collect()}
@@ -205,6 +268,22 @@ def test_every_archive_has_a_dictionary(spark, tmp_path):
     assert [(r.records, r.dictionary) for r in warc.write_archives(df, shared.new_path(spark, "warc")).collect()] == [(1, "raw")]
 
 
+def word_features(word):
+    """The places of a word's weights: of the whole and of its beginnings, hashed in plain integers."""
+    base, mask = 0x9E3779B97F4A7C15 | 1, 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def hashed(b):
+        return mixed(sum((c + 1) * pow(base, i, 2**64) for i, c in enumerate(b)) + len(b) * 0xA0761D6478BD642F & mask)
+
+    data = word.lower().encode()
+    return [mixed(hashed(data)) >> 46, *(mixed((hashed(data[:n]) + n & mask) if len(data) > n else hashed(data)) >> 46 for n in toxicity.PREFIXES)]
+
+
 def test_toxicity_learns_sentences(spark, odd, none):
     rng = np.random.default_rng(0)
     pool = [f"word{i}" for i in range(300)]
@@ -225,6 +304,14 @@ def test_toxicity_learns_sentences(spark, odd, none):
     for r in got:
         for s in r.offending:
             assert re.search("clodpate|numbskull|utter|you", r.text[s.start : s.end])
+    for r in got[:50]:  # noisy-or of sentences, by the plain formula
+        product = 1.0
+        for line in re.split(r"[.!?\n\r]", r.text):
+            if found := re.findall(r"[A-Za-z0-9]+", line):
+                product *= 1 - 1 / (1 + math.exp(-model.bias - sum(float(model.weights[f]) for w in found for f in word_features(w))))
+        assert abs(r.score - (1 - product)) < 1e-5
+    small = toxicity.fit(df, labels, rows=100, size=3_000)
+    assert small.weights.any() and toxicity.fit(df.unionByName(df), labels, rows=10).weights.shape == small.weights.shape
     out = toxicity.score(odd, model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out) and toxicity.score(none, model).count() == 0
     assert toxicity.fit(none, labels).weights.any() == False  # noqa: E712
