@@ -115,7 +115,8 @@ def requests(rows: DataFrame, order: int, parts: int) -> DataFrame:
 def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
     """(batch, block, ids, data) of rows (id, text): a row of a batch's ids and words, block -1.
 
-    The rows are read a second time here; batches must be those of requests(), as they are when rows come from files; scored() checks that they are.
+    The rows are read a second time here; batches must be those of requests(), as they are when rows come from files; scored() checks that
+    they are by the sum of their n-grams' hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
-    """The rows of asked with counts summed over all batches."""
+    """The rows of asked with counts summed over all batches, then the sum of the hashes counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
@@ -152,18 +153,19 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
             for (name, _), mine in zip(rows, hashes, strict=True):
                 found = sums[np.searchsorted(known, mine)]
                 small = found.astype(np.uint32) if not len(found) or found.max() < 1 << 32 else found.astype(U)
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block], pa.int32()), pa.array([packed(small)], pa.binary())], ["batch", "block", "data"])
+                data = packed(small, np.sum(mine, dtype=U, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["batch", "block", "data"])
 
     return asked.repartitionById(parts, F.col("block")).mapInArrow(run, "batch long, block int, data binary")
 
 
-def scored(first: np.ndarray, hashes: np.ndarray, counts: np.ndarray, order: int, alpha: float) -> dict[str, np.ndarray]:
+def scored(first: np.ndarray, hashes: np.ndarray, counts: np.ndarray, check: int, order: int, alpha: float) -> dict[str, np.ndarray]:
     """By text: words, the sum of log probabilities but for N, and how many words were scored by each way."""
     n = len(first) - 1
     text = np.repeat(np.arange(n), np.diff(first))
     spans = grams(hashes, first, order)
     known, _ = counted(np.concatenate([h for _, h in spans]))
-    if len(known) != len(counts):
+    if len(known) != len(counts) or int(np.sum(known, dtype=U)) != check:
         raise ValueError("the rows came in other batches when they were read again; write them to a table first")
     others = []  # by length, the count in other texts of the n-gram that ends at each place; 0 where none does
     for at, h in spans:
@@ -210,9 +212,11 @@ def lm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     def work(ids: pa.Array, words: bytes, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         lengths, vocabulary, rank = unpacked(words)
-        counts = np.concatenate([unpacked(data)[0].astype(np.int64) for _, data in sorted(found)]) if found else np.zeros(0, np.int64)
+        got = [unpacked(data) for _, data in sorted(found)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(g[0].astype(np.int64) for g in got)])
+        check = sum(int(g[1][0]) for g in got) % 2**64
         first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        got = scored(first, vocabulary[rank] if len(rank) else np.zeros(0, U), counts, order, alpha)
+        got = scored(first, vocabulary[rank] if len(rank) else np.zeros(0, U), counts, check, order, alpha)
         names = ["n_words", "n_longest", "n_single", "n_unseen"]
         return pa.RecordBatch.from_arrays([ids, *(pa.array(got[x].astype(np.int64)) for x in names), pa.array(got["log_sum"])], ["id", *names, "log_sum"])
 
@@ -233,7 +237,9 @@ def lm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
             yield work(ids, words, found)
 
     answered = answers(requests(rows, order, parts), parts).withColumn("ids", F.lit(None).cast(f"array<{kind}>"))
-    met = batch_rows(rows, kind).unionByName(answered).repartition(parts, "batch").sortWithinPartitions("batch")
+    # consecutive places of the golden ratio's multiples: batches are spread evenly, not at random
+    to = F.pmod(F.floor((F.shiftright("batch", 20) * 0.6180339887498949 % 1) * parts) + F.col("batch").bitwiseAND((1 << 20) - 1), F.lit(parts)).cast("int")
+    met = batch_rows(rows, kind).unionByName(answered).repartitionById(parts, to).sortWithinPartitions("batch")
     schema = f"id {kind}, n_words long, n_longest long, n_single long, n_unseen long, log_sum double"
     sums = shared.written(met.mapInArrow(run, schema), "lm-sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
