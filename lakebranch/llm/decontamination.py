@@ -279,8 +279,6 @@ def clean(df: DataFrame, items: DataFrame, text_column: str = "text", item_colum
     """
     row = F.struct(*[df[f"`{c}`"] for c in df.columns])
     rows = df.select(row.alias("row"), F.col(text_column).alias("text"))
-    got = found(rows.select(F.md5("text").alias("key"), "text"), items, item_column, "text")
-    salts = 16  # so that the copies of one text are not one task's
-    bad = got.select("key").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.select("row", F.md5("text").alias("key"), F.pmod(F.hash("row"), F.lit(salts)).alias("salt"))
-    return dealt.join(bad, ["key", "salt"], "left_anti").select("row.*")
+    got = found(rows.select(F.unhex(F.md5("text")).alias("key"), "text"), items, item_column, "text")
+    bad = got.select("key").distinct()  # 16 bytes a text: Spark broadcasts them where they are few, and splits the shuffled copies of one text
+    return rows.select("row", F.unhex(F.md5("text")).alias("key")).join(bad, "key", "left_anti").select("row.*")
