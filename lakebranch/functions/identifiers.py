@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import Column, functions as F
 
+# The longest name in bytes, the prefix kept for machinery, and what a name looks like.
 MAX_BYTES = 63
 PREFIX = "__sv_"
 PATTERN = r"^[A-Za-z_][A-Za-z0-9_$]*$"

@@ -44,9 +44,6 @@ SPARK_TYPES = {
     "string": "text", "boolean": "boolean", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp", "binary": "bytea", "variant": "jsonb",
 }
 TYPE = "struct<base:string,length:int,precision:int,scale:int>"
-_PARAMETERS = r"^(.*?)\s*\((\d+)(?:\s*,\s*(\d+))?\)\s*$"
-_WITHIN = r"^(timestamp|time)\s*\((\d+)\)\s*(with(?:out)? time zone)$"
-_CAST = r"(?i)^(.*?)::\s*([a-z0-9_ ]+(?:\(\d+(?:,\d+)?\))?)\s*$"
 
 
 def lookup(values: dict[str, str], key: Column) -> Column:
@@ -60,22 +57,28 @@ def base_type(name: Column) -> Column:
 
 
 def parse_type(text: Column) -> Column:
-    """A1: struct(base, length, precision, scale). Arrays and unknown types stay as they are; null or blank gives null."""
+    """A1: struct(base, length, precision, scale). Arrays and unknown types stay as they are; null or blank gives null.
+
+    A type is a name, perhaps with one or two numbers in parentheses and words that follow them, which belong to the name.
+    """
     s = F.lower(F.trim(text))
-    number = lambda pattern, group: F.nullif(F.regexp_extract(s, pattern, group), F.lit("")).cast("int")
-    made = lambda base, length=None, precision=None, scale=None: F.struct(
-        base.alias("base"), *[(F.lit(None).cast("int") if v is None else v).alias(n) for n, v in (("length", length), ("precision", precision), ("scale", scale))]
-    )
-    inner = base_type(F.regexp_extract(s, _PARAMETERS, 1))
-    within = base_type(F.concat_ws(" ", F.regexp_extract(s, _WITHIN, 1), F.regexp_extract(s, _WITHIN, 3)))
-    first, second = number(_PARAMETERS, 2), number(_PARAMETERS, 3)
+    opened, closed = F.locate("(", s), F.locate(")", s)
+    has = (opened > 1) & (closed > opened)
+    before, after = F.substr(s, F.lit(1), opened - 1), F.substr(s, closed + 1)
+    inside = F.substr(s, opened + 1, closed - opened - 1)
+    numbers = F.transform(F.split(inside, ","), lambda x: F.trim(x).try_cast("int"))
+    digits = (F.trim(inside) == inside) & (F.translate(inside, "0123456789, ", "") == "") & (F.size(numbers) <= 2) & ~F.exists(numbers, lambda n: n.isNull())
+    zoned = F.trim(before).isin("time", "timestamp") & F.trim(after).isin("with time zone", "without time zone") & (F.size(numbers) == 1)
+    plain = has & digits & ((after == "") | zoned)
+    base = base_type(F.when(plain, F.concat_ws(" ", F.trim(before), F.nullif(F.trim(after), F.lit("")))).otherwise(s))
+    sized = base.isin("varchar", "char")
+    number = lambda n, when: F.when(plain & when, F.get(numbers, F.lit(n)))
+    made = lambda base, *sizes: F.struct(base.alias("base"), *[v.cast("int").alias(n) for n, v in zip(("length", "precision", "scale"), sizes, strict=True)])
+    none = F.lit(None)
     return (
-        F.when(F.coalesce(s, F.lit("")) == "", F.lit(None).cast(TYPE))
-        .when(s.endswith("[]"), made(s))
-        .when(s.rlike(_WITHIN), made(within, precision=number(_WITHIN, 2)))
-        .when(s.rlike(_PARAMETERS) & inner.isin("varchar", "char"), made(inner, length=first))
-        .when(s.rlike(_PARAMETERS), made(inner, precision=first, scale=second))
-        .otherwise(made(base_type(s)))
+        F.when(F.coalesce(s, F.lit("")) == "", none.cast(TYPE))
+        .when(s.endswith("[]"), made(s, none, none, none))
+        .otherwise(made(base, number(0, sized), number(0, ~sized), number(1, ~sized)))
     )
 
 
@@ -90,13 +93,18 @@ def type_sql(t: Column) -> Column:
 
 
 def canonical_default(text: Column, column_type: Column) -> Column:
-    """A3: null for blank and nextval defaults, one spelling for equal ones, without a trailing cast to the column's own base type."""
+    """A3: null for blank and nextval defaults, one spelling for equal ones, without a trailing cast to the column's own base type.
+
+    A trailing cast is what follows the last "::", where that reads as a type: letters, digits, spaces and sizes in parentheses.
+    """
     s = F.trim(text)
-    cast_base = parse_type(F.trim(F.regexp_extract(s, _CAST, 2)))["base"]
+    cast = F.substring_index(s, "::", -1)
+    value = F.substr(s, F.lit(1), F.length(s) - F.length(cast) - 2)
+    is_type = F.contains(s, F.lit("::")) & (F.translate(F.lower(cast), "abcdefghijklmnopqrstuvwxyz0123456789_ (,)", "") == "") & (F.trim(cast) != "")
     return (
         F.when(F.coalesce(s, F.lit("")) == "", F.lit(None).cast("string"))
         .when(F.lower(s).startswith("nextval("), F.lit(None).cast("string"))
         .when(lookup(DEFAULT_SPELLINGS, F.lower(s)).isNotNull(), lookup(DEFAULT_SPELLINGS, F.lower(s)))
-        .when(s.rlike(_CAST) & (cast_base == column_type["base"]), F.trim(F.regexp_extract(s, _CAST, 1)))
+        .when(is_type & (parse_type(cast)["base"] == column_type["base"]), F.trim(value))
         .otherwise(s)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Functions whose value differs from row to row.
 VOLATILE = ("random", "clock_timestamp", "gen_random_uuid", "uuid_generate_v4", "nextval", "timeofday")
+# Types whose precision can grow in place.
 _TIMES = ("timestamptz", "timestamp", "time", "timetz", "interval")
 
 

@@ -1,11 +1,13 @@
 """A migration plan as a DataFrame of steps.
 
-A plan is a function of two snapshots and row counts. Each phase is a projection of the diff to an array of steps, so expansions
-into several steps are one posexplode; phases are numbered, and seq counts through them.
+A plan is a function of two snapshots and row counts. What a change comes to is a small table of rules, by kind of change and by the
+way that the table's size and keys leave open: changes joined to rules are the steps, whose texts are the rules' with the change's
+names put in. Phases are numbered, and seq counts through them.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -15,11 +17,10 @@ from lakebranch.functions.types import parse_type
 from lakebranch.operators.diff import diff
 from lakebranch.plans import classify, render
 from lakebranch.plans.render import joined
-from lakebranch.snapshot import Snapshot, localised
+from lakebranch.snapshot import Snapshot, local_frame, localised
 
 #: Tables of at least so many rows are migrated online.
 THRESHOLD = 100_000
-_BACKFILL = "struct<table_name:string,key:string,target:string,source:string>"
 
 
 @dataclass(frozen=True)
@@ -54,13 +55,89 @@ def key_columns(s: Snapshot) -> DataFrame:
     return keys.join(s.columns, ["table_id", "column_id"]).groupBy("table_id").agg(F.min("name").alias("key"))
 
 
-def step(kind: str | Column, text: Column, sql: Column | None, cls: Column, transactional: bool | Column = True, final: bool | Column = False, group: Column | None = None, fill: list[Column] | None = None) -> Column:
-    as_column = lambda x: F.lit(x) if isinstance(x, (bool, str)) else x
-    filled = F.lit(None).cast(_BACKFILL) if fill is None else F.struct(*[c.alias(n) for c, n in zip(fill, ("table_name", "key", "target", "source"), strict=True)])
-    return F.struct(
-        (F.col("table_name") if group is None else group).alias("op_group"), as_column(kind).alias("kind"), text.alias("description"), (F.lit(None).cast("string") if sql is None else sql).alias("sql"),
-        cls["verdict"].alias("verdict"), cls["lock"].alias("lock"), cls["blocks"].alias("blocks"), as_column(transactional).alias("transactional"), as_column(final).alias("point_of_no_return"), filled.alias("backfill"),
-    )
+#: Verdict, lock, and what the lock blocks, by the name that rules use; "added" and "typed" are the change's own class.
+_CLASSES = {
+    "instant": ("INSTANT", "ACCESS_EXCLUSIVE", "READS_AND_WRITES"),
+    "scan": ("SCAN", "SHARE_UPDATE_EXCLUSIVE", "NOTHING"),
+    "check": ("SCAN", "ACCESS_EXCLUSIVE", "READS_AND_WRITES"),
+    "build": ("SCAN", "SHARE", "WRITES"),
+    "function": ("INSTANT", "NONE", "NOTHING"),
+    "trigger": ("INSTANT", "SHARE_ROW_EXCLUSIVE", "WRITES"),
+}
+_RULE = "phase int, of_kind string, of_way string, needs string, ord int, step string, class string, final boolean, op_group string, text array<string>, sql array<string>, fill array<string>"
+
+
+def _proven(kind: str, target: str, quoted: str, check: str, ord_: int, needs: str = "strict") -> list[tuple]:
+    """rules that make a column NOT NULL by way of a check that is validated without a lock."""
+    return [
+        (7, kind, "online", needs, ord_, "DDL", "instant", False, "dotted", f"Add an unvalidated check that {{{target}}} is not NULL", f"{{alter}} ADD CONSTRAINT {{{check}}} CHECK ({{{quoted}}} IS NOT NULL) NOT VALID", None),
+        (7, kind, "online", needs, ord_ + 1, "VALIDATE", "scan", False, "dotted", "Validate the check, blocking nothing", f"{{alter}} VALIDATE CONSTRAINT {{{check}}}", None),
+        (7, kind, "online", needs, ord_ + 2, "DDL", "instant", False, "dotted", f"Mark {{{target}}} NOT NULL, proven by the check", f"{{alter}} ALTER COLUMN {{{quoted}}} SET NOT NULL;\n{{alter}} DROP CONSTRAINT {{{check}}}", None),
+    ]
+
+
+def _in_phase(phase: int, rules: list[tuple]) -> list[tuple]:
+    return [(phase, *r[1:]) for r in rules]
+
+
+_FILL_NULLS = ("BACKFILL", "scan", False, "dotted", "Fill NULLs of {name} in batches", None, ("name", "default"))
+_DROP_INDEX = ("drop", "", 0, "DDL", "instant", False, "old_object", "Drop index {old_object}", "DROP INDEX {old_index}", None)
+#: Phase, kind of change and way to go; what the change needs for the step ("": nothing; strict: a column that isn't nullable; filled: that, with a
+#: default and a key to fill by); place; the step, its class, whether there is no way back, what groups it; description, statement and fill.
+#: Words in braces are variables of the change. The statements.
+RULES = [
+    (0, "INDEX_DROPPED", *_DROP_INDEX),
+    (1, "COLUMN_DROPPED", "drop", "", 0, "DDL", "instant", True, "table", "Drop column {dotted}", "ALTER TABLE {gone} DROP COLUMN {column}", None),
+    (2, "TABLE_DROPPED", "drop", "", 0, "DDL", "instant", True, "table", "Drop table {name}", "DROP TABLE {named}", None),
+    (3, "TABLE_ADDED", "add", "", 0, "DDL", "instant", False, "table", "Create table {name}", "{create}", None),
+    (4, "TABLE_RENAMED", "rename", "", 0, "DDL", "instant", False, "table", "Rename table {before} to {after}", "ALTER TABLE {old_here} RENAME TO {after_quoted}", None),
+    (5, "COLUMN_RENAMED", "rename", "", 0, "DDL", "instant", False, "table", "Rename {table}.{before} to {after}", "{alter} RENAME COLUMN {before_quoted} TO {after_quoted}", None),
+    (6, "COLUMN_ADDED", "direct", "", 0, "DDL", "added", False, "table", "Add column {dotted} {type}", "{alter} ADD COLUMN {clause}", None),
+    (6, "COLUMN_ADDED", "keyless", "", 0, "DDL", "added", False, "dotted", "Add column {dotted}, rewriting the table", "{alter} ADD COLUMN {clause}", None),
+    (6, "COLUMN_ADDED", "online", "", 0, "DDL", "instant", False, "dotted", "Add {dotted}, nullable", "{alter} ADD COLUMN {column} {type}", None),
+    (6, "COLUMN_ADDED", "online", "", 1, "DDL", "instant", False, "dotted", "Set the default of future rows", "{alter} ALTER COLUMN {column} SET DEFAULT {default}", None),
+    (6, "COLUMN_ADDED", "online", "", 2, "BACKFILL", "scan", False, "dotted", "Fill {name} of {n} rows in batches", None, ("name", "default")),
+    (6, "COLUMN_ADDED", "online", "filled", 3, *_FILL_NULLS),
+    *_in_phase(6, _proven("COLUMN_ADDED", "name", "column", "check", 4)),
+    (7, "COLUMN_TYPE_CHANGED", "direct", "", 0, "DDL", "typed", None, "table", "Change {dotted} from {before} to {after}", "{alter} ALTER COLUMN {column} TYPE {after} USING {cast}", None),
+    (7, "COLUMN_TYPE_CHANGED", "keyless", "", 0, "DDL", "typed", True, "dotted", "Change {dotted} to {after}, rewriting the table", "{alter} ALTER COLUMN {column} TYPE {after}", None),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 0, "DDL", "instant", False, "dotted", "Add a shadow column of type {after}", "{alter} ADD COLUMN {shadow_quoted} {after}", None),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 1, "DDL", "function", False, "dotted", "Create the sync function", "CREATE OR REPLACE FUNCTION {function}() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN NEW.{shadow_quoted} := NEW.{cast}; RETURN NEW; END $$", None),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 2, "DDL", "trigger", False, "dotted", "Attach the sync trigger", "CREATE TRIGGER {trigger} BEFORE INSERT OR UPDATE OF {column} ON {here} FOR EACH ROW EXECUTE FUNCTION {function}()", None),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 3, "BACKFILL", "scan", False, "dotted", "Convert {n} rows in batches", None, ("shadow", "cast")),
+    *_proven("COLUMN_TYPE_CHANGED", "shadow", "shadow_quoted", "shadow_check", 4),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 7, "DDL", "instant", True, "dotted", "Swap the shadow column in; there is no way back", "DROP TRIGGER {trigger} ON {here};\n{alter} DROP COLUMN {column};\n{alter} RENAME COLUMN {shadow_quoted} TO {column};\nDROP FUNCTION IF EXISTS {function}()", None),
+    (7, "COLUMN_TYPE_CHANGED", "online", "", 8, "ANALYZE", "scan", False, "dotted", "Refresh statistics of {table}", "ANALYZE {here}", None),
+    (7, "COLUMN_NULLABILITY_CHANGED", "drop", "", 0, "DDL", "instant", False, "table", "Allow NULL in {dotted}", "{alter} ALTER COLUMN {column} DROP NOT NULL", None),
+    (7, "COLUMN_NULLABILITY_CHANGED", "direct", "", 0, "DDL", "check", False, "table", "Require {dotted} not to be NULL", "{alter} ALTER COLUMN {column} SET NOT NULL", None),
+    (7, "COLUMN_NULLABILITY_CHANGED", "online", "filled", 0, *_FILL_NULLS),
+    *_proven("COLUMN_NULLABILITY_CHANGED", "name", "column", "check", 1),
+    (7, "COLUMN_DEFAULT_CHANGED", "drop", "", 0, "DDL", "instant", False, "table", "Remove the default of {dotted}", "{alter} ALTER COLUMN {column} DROP DEFAULT", None),
+    (7, "COLUMN_DEFAULT_CHANGED", "direct", "", 0, "DDL", "instant", False, "table", "Set the default of {dotted} to {after} for future rows", "{alter} ALTER COLUMN {column} SET DEFAULT {after}", None),
+    (8, "INDEX_ADDED", "direct", "", 0, "DDL", "build", False, "table", "Create index {name}", "{index}", None),
+    (8, "INDEX_ADDED", "online", "", 0, "INDEX_CONCURRENT", "scan", False, "table", "Build index {name} over {n} rows without blocking writes", "{index_online}", None),
+]
+#: Left out where plan() is strict.
+LOOSE_RULES = [
+    (0, "INDEX_CHANGED", *_DROP_INDEX),
+    *[(0, f"CONSTRAINT_{x}", "drop", "", 0, "DDL", "instant", False, "table", "Drop constraint {old_object}", "ALTER TABLE {gone} DROP CONSTRAINT {old_object_quoted}", None) for x in ("DROPPED", "CHANGED")],
+    (8, "INDEX_CHANGED", "direct", "", 0, "DDL", "build", False, "table", "Create index {name}", "{index}", None),
+    (8, "INDEX_CHANGED", "online", "", 0, "INDEX_CONCURRENT", "scan", False, "table", "Build index {name} over {n} rows without blocking writes", "{index_online}", None),
+    *[(9, f"CONSTRAINT_{x}", "key", "", 0, "DDL", "check", False, "table", "Add constraint {name}", "{alter} ADD CONSTRAINT {column} {body}", None) for x in ("ADDED", "CHANGED")],
+    *[(10, f"CONSTRAINT_{x}", "reference", "", 0, "DDL", "instant", False, "table", "Add foreign key {reference_name}", "{reference}", None) for x in ("ADDED", "CHANGED")],
+    (10, "TABLE_ADDED", "reference", "", 0, "DDL", "instant", False, "table", "Add foreign key {reference_name}", "{reference}", None),
+]
+
+
+def parts(template: str | None) -> list[str] | None:
+    """Text and variables by turns."""
+    return None if template is None else re.split(r"\{(\w+)\}", template)
+
+
+def filled_in(template: Column, values: Column) -> Column:
+    """A template's text with the variables' values; null where one of them is null."""
+    shown = F.transform(template, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.element_at(values, x)))
+    return F.when(~F.exists(shown, lambda x: x.isNull()), F.array_join(shown, ""))
 
 
 def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str = "main", threshold: int = THRESHOLD, strict: bool = False) -> Plan:
@@ -81,130 +158,65 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
     rows = changes.join(alias.distinct(), "object_id", "left").join(counts, "table_id", "left").join(key_columns(merged), "table_id", "left").join(col, F.col("object_id") == F.col("column_id"), "left")
     rows = rows.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("old_table", F.coalesce("old_table", "table_name"))
     added, typed = classify.add_column(F.col("col.default_expr"), strict), classify.change_type(parse_type(F.col("from_value")), parse_type(F.col("to_value")))
-    rows = localised(rows.withColumns({"added": F.when(F.col("kind") == "COLUMN_ADDED", added), "typed": F.when(F.col("kind") == "COLUMN_TYPE_CHANGED", typed)}))
     big = F.col("rows") >= threshold
     kind, table, name, before, after, key, c = (F.col(x) for x in ("kind", "table_name", "object_name", "from_value", "to_value", "key", "col"))
-    here, gone = render.qualify(schema, table), render.qualify(schema, F.col("old_table") if not strict else table)
-    alter = lambda *parts: joined("ALTER TABLE ", here, *parts)
-    dotted = F.concat_ws(".", table, name)
-    column = quote(name)
-    n = rows_text(F.col("rows"))
-    field = lambda x: c[x]
-    inst, scan = classify.instant(), classify.quiet_scan()
-    none = F.array().cast("array<struct<op_group:string,kind:string,description:string,sql:string,verdict:string,lock:string,blocks:string,transactional:boolean,point_of_no_return:boolean,backfill:" + _BACKFILL + ">>")
-
-    def not_null(target_column: Column, default: Column) -> Column:
-        """F17"""
-        m = machinery(target_column)
-        check, q = quote(m["not_null"]), quote(target_column)
-        fill = step("BACKFILL", joined("Fill NULLs of ", target_column, " in batches"), None, scan, group=dotted, fill=[table, key, target_column, default])
-        steps = F.array(
-            step("DDL", joined("Add an unvalidated check that ", target_column, " is not NULL"), alter(" ADD CONSTRAINT ", check, " CHECK (", q, " IS NOT NULL) NOT VALID"), inst, group=dotted),
-            step("VALIDATE", joined("Validate the check, blocking nothing"), alter(" VALIDATE CONSTRAINT ", check), scan, group=dotted),
-            step("DDL", joined("Mark ", target_column, " NOT NULL, proven by the check"), joined(alter(" ALTER COLUMN ", q, " SET NOT NULL"), ";\n", alter(" DROP CONSTRAINT ", check)), inst, group=dotted),
-        )
-        return F.when(default.isNotNull() & key.isNotNull(), F.concat(F.array(fill), steps)).otherwise(steps)
-
-    added, typed = F.col("added"), F.col("typed")
-    add_sql = alter(" ADD COLUMN ", render.column_clause(field))
-    online_add = F.concat(
-        F.array(
-            step("DDL", joined("Add ", dotted, ", nullable"), alter(" ADD COLUMN ", column, " ", c["type_sql"]), inst, group=dotted),
-            step("DDL", joined("Set the default of future rows"), alter(" ALTER COLUMN ", column, " SET DEFAULT ", c["default_expr"]), inst, group=dotted),
-            step("BACKFILL", joined("Fill ", name, " of ", n, " rows in batches"), None, scan, group=dotted, fill=[table, key, name, c["default_expr"]]),
-        ),
-        F.when(c["nullable"], none).otherwise(not_null(name, c["default_expr"])),
-    )
-    direct_add = F.array(step("DDL", joined("Add column ", dotted, " ", c["type_sql"]), add_sql, added))
-    keyless_add = F.array(step("DDL", joined("Add column ", dotted, ", rewriting the table"), add_sql, added, group=dotted))
-    adding = F.when((added["verdict"] == "REWRITE") & big, F.when(key.isNull(), keyless_add).otherwise(online_add)).otherwise(direct_add)
-
+    loose = F.lit(not strict)
+    for made, column in ((render.create_tables(merged, schema).select(F.col("table_id").alias("made_for"), F.col("sql").alias("create")), "create"), *[(render.create_indexes(merged, schema, F.lit(x)).select(F.col("index_id").alias("made_for"), F.col("sql").alias(n)), n) for x, n in ((False, "index"), (True, "index_online"))]):
+        rows = rows.join(made, F.col("object_id") == F.col("made_for"), "left").drop("made_for")
+    foreign = render.foreign_keys(merged, schema).select(F.col("name").alias("reference_name"), F.col("sql").alias("reference"), "constraint_id", F.col("table_id").alias("of_table"))
+    rows = rows.join(foreign, (F.col("object_id") == F.col("constraint_id")) | ((kind == "TABLE_ADDED") & (F.col("object_id") == F.col("of_table"))), "left").drop("constraint_id", "of_table")
+    others = merged.constraints.filter("kind <> 'FOREIGN_KEY'").join(render.names_by_table(merged).select("table_id", "names"), "table_id")
+    body = F.when(F.col("kind") == "CHECK", joined("CHECK (", render.bare(F.col("expression")), ")")).otherwise(joined(F.replace("kind", F.lit("_"), F.lit(" ")), " (", render.column_list(F.col("column_ids"), F.col("names")), ")"))
+    rows = rows.join(others.select(F.col("constraint_id").alias("key_id"), body.alias("body"), F.lit(True).alias("is_key")), F.col("object_id") == F.col("key_id"), "left")
+    rows = localised(rows)  # from here on expressions on local relations, which the optimiser works out without a job
+    added, typed = classify.add_column(c["default_expr"], strict), classify.change_type(parse_type(before), parse_type(after))
+    rows = rows.withColumn("own", F.when(kind == "COLUMN_ADDED", added).when(kind == "COLUMN_TYPE_CHANGED", typed))
+    rewritten = F.col("own")["verdict"] == "REWRITE"
+    here, named = render.qualify(schema, table), render.qualify(schema, name)
+    old_object, column = F.coalesce(before, name), quote(name)
     m = machinery(name, table)
-    shadow, function = quote(m["shadow"]), render.qualify(schema, m["function"])
     cast = joined(column, "::", after)
-    retype = F.concat(
-        F.array(
-            step("DDL", joined("Add a shadow column of type ", after), alter(" ADD COLUMN ", shadow, " ", after), inst, group=dotted),
-            step("DDL", joined("Create the sync function"), joined("CREATE OR REPLACE FUNCTION ", function, "() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN NEW.", shadow, " := NEW.", cast, "; RETURN NEW; END $$"), classify.classified("INSTANT", "NONE", "NOTHING"), group=dotted),
-            step("DDL", joined("Attach the sync trigger"), joined("CREATE TRIGGER ", quote(m["trigger"]), " BEFORE INSERT OR UPDATE OF ", column, " ON ", here, " FOR EACH ROW EXECUTE FUNCTION ", function, "()"), classify.classified("INSTANT", "SHARE_ROW_EXCLUSIVE", "WRITES"), group=dotted),
-            step("BACKFILL", joined("Convert ", n, " rows in batches"), None, scan, group=dotted, fill=[table, key, m["shadow"], cast]),
-        ),
-        F.when(c["nullable"], none).otherwise(not_null(m["shadow"], F.lit(None).cast("string"))),
-        F.array(
-            step("DDL", joined("Swap the shadow column in; there is no way back"), joined("DROP TRIGGER ", quote(m["trigger"]), " ON ", here, ";\n", alter(" DROP COLUMN ", column), ";\n", alter(" RENAME COLUMN ", shadow, " TO ", column), ";\nDROP FUNCTION IF EXISTS ", function, "()"), inst, final=True, group=dotted),
-            step("ANALYZE", joined("Refresh statistics of ", table), joined("ANALYZE ", here), scan, group=dotted),
-        ),
-    )
-    type_sql = alter(" ALTER COLUMN ", column, " TYPE ", after)
-    direct_type = F.array(step("DDL", joined("Change ", dotted, " from ", before, " to ", after), joined(type_sql, " USING ", cast), typed, final=typed["verdict"] == "REWRITE"))
-    keyless_type = F.array(step("DDL", joined("Change ", dotted, " to ", after, ", rewriting the table"), type_sql, typed, final=True, group=dotted))
-    typing = F.when((typed["verdict"] == "REWRITE") & big, F.when(key.isNull(), keyless_type).otherwise(retype)).otherwise(direct_type)
-
-    nulls = (
-        F.when(after == "nullable", F.array(step("DDL", joined("Allow NULL in ", dotted), alter(" ALTER COLUMN ", column, " DROP NOT NULL"), inst)))
-        .when(big, not_null(name, c["default_expr"]))
-        .otherwise(F.array(step("DDL", joined("Require ", dotted, " not to be NULL"), alter(" ALTER COLUMN ", column, " SET NOT NULL"), classify.set_not_null())))
+    values = {
+        "table": table, "name": name, "dotted": F.concat_ws(".", table, name), "here": here, "alter": joined("ALTER TABLE ", here), "named": named,
+        "gone": here if strict else render.qualify(schema, F.col("old_table")), "column": column, "before": before, "after": after, "before_quoted": quote(before), "after_quoted": quote(after),
+        "old_here": render.qualify(schema, before), "old_object": old_object, "old_object_quoted": quote(old_object), "old_index": render.qualify(schema, old_object), "n": rows_text(F.col("rows")),
+        "type": c["type_sql"], "default": c["default_expr"], "clause": F.when(c.isNotNull(), render.column_clause(lambda x: c[x])), "shadow": m["shadow"], "shadow_quoted": quote(m["shadow"]), "trigger": quote(m["trigger"]),
+        "function": render.qualify(schema, m["function"]), "check": quote(m["not_null"]), "shadow_check": quote(machinery(m["shadow"])["not_null"]), "cast": cast, "key": key,
+        **{x: F.col(x) for x in ("create", "index", "index_online", "reference", "reference_name", "body")},
+    }
+    way = (
+        F.when(kind.isin("COLUMN_ADDED", "COLUMN_TYPE_CHANGED"), F.when(rewritten & big, F.when(key.isNull(), "keyless").otherwise("online")).otherwise("direct"))
+        .when(kind == "COLUMN_NULLABILITY_CHANGED", F.when(after == "nullable", "drop").when(big, "online").otherwise("direct"))
+        .when(kind == "COLUMN_DEFAULT_CHANGED", F.when(after.isNull(), "drop").otherwise("direct"))
+        .when(kind.endswith("RENAMED"), "rename")
     )
-    default = F.when(after.isNull(), F.array(step("DDL", joined("Remove the default of ", dotted), alter(" ALTER COLUMN ", column, " DROP DEFAULT"), inst))).otherwise(
-        F.array(step("DDL", joined("Set the default of ", dotted, " to ", after, " for future rows"), alter(" ALTER COLUMN ", column, " SET DEFAULT ", after), inst))
-    )
-    one = lambda *args, **more: F.array(step("DDL", *args, **more))
-    drop_index = one(joined("Drop index ", F.coalesce(before, name)), joined("DROP INDEX ", render.qualify(schema, F.coalesce(before, name))), inst, group=F.coalesce(before, name))
-    phases = [
-        (0, kind == "INDEX_DROPPED", drop_index),
-        (1, kind == "COLUMN_DROPPED", one(joined("Drop column ", dotted), joined("ALTER TABLE ", gone, " DROP COLUMN ", column), inst, final=True)),
-        (2, kind == "TABLE_DROPPED", one(joined("Drop table ", name), joined("DROP TABLE ", render.qualify(schema, name)), inst, final=True)),
-        (4, kind == "TABLE_RENAMED", one(joined("Rename table ", before, " to ", after), joined("ALTER TABLE ", render.qualify(schema, before), " RENAME TO ", quote(after)), inst)),
-        (5, kind == "COLUMN_RENAMED", one(joined("Rename ", table, ".", before, " to ", after), alter(" RENAME COLUMN ", quote(before), " TO ", quote(after)), inst)),
-        (6, kind == "COLUMN_ADDED", adding),
-        (7, kind == "COLUMN_TYPE_CHANGED", typing),
-        (7, kind == "COLUMN_NULLABILITY_CHANGED", nulls),
-        (7, kind == "COLUMN_DEFAULT_CHANGED", default),
-    ]
-    if not strict:
-        phases += [
-            (0, kind == "INDEX_CHANGED", drop_index),
-            (0, kind.isin("CONSTRAINT_DROPPED", "CONSTRAINT_CHANGED"), one(joined("Drop constraint ", F.coalesce(before, name)), joined("ALTER TABLE ", gone, " DROP CONSTRAINT ", quote(F.coalesce(before, name))), inst)),
-        ]
-    place = lambda phase: F.struct(F.lit(phase).alias("phase"), "table_name", F.coalesce(c["position"], F.lit(0)).alias("position"), "object_id", "kind")
-    out = None
-
-    def gather(more: DataFrame) -> None:
-        nonlocal out
-        out = more if out is None else out.unionByName(more)
-
-    for phase, when, steps in phases:
-        gather(rows.filter(when).select(place(phase).alias("place"), F.posexplode(steps).alias("sub", "s")))
-    made = rows.filter("kind = 'TABLE_ADDED'").join(render.create_tables(merged, schema).select("table_id", F.col("sql").alias("made")), "table_id")
-    gather(made.select(place(3).alias("place"), F.posexplode(one(joined("Create table ", name), F.col("made"), inst)).alias("sub", "s")))
-    wanted = kind.isin("INDEX_ADDED") if strict else kind.isin("INDEX_ADDED", "INDEX_CHANGED")
-    flags = rows.filter(wanted).withColumn("big", big)
-    built = [render.create_indexes(merged, schema, F.lit(x)).select("index_id", F.col("sql").alias(f"sql_{int(x)}")) for x in (False, True)]
-    flags = flags.join(built[0].join(built[1], "index_id"), F.col("object_id") == F.col("index_id"))
-    made = F.when(F.col("big"), joined("Build index ", name, " over ", n, " rows without blocking writes")).otherwise(joined("Create index ", name))
-    cls = F.when(F.col("big"), scan).otherwise(classify.create_index())
-    index_step = F.array(step(F.when(F.col("big"), "INDEX_CONCURRENT").otherwise("DDL"), made, F.when(F.col("big"), F.col("sql_1")).otherwise(F.col("sql_0")), cls, ~F.col("big")))
-    gather(flags.select(place(8).alias("place"), F.posexplode(index_step).alias("sub", "s")))
-    if not strict:
-        foreign = render.foreign_keys(merged, schema).select("constraint_id", "table_id", F.col("name").alias("fk"), F.col("sql").alias("fk_sql"))
-        fresh = rows.filter("kind = 'TABLE_ADDED'").join(foreign.drop("constraint_id"), "table_id").withColumn("kind", F.concat(F.lit("FK "), "fk"))
-        changed = rows.filter(kind.isin("CONSTRAINT_ADDED", "CONSTRAINT_CHANGED")).drop("table_id").join(foreign, F.col("object_id") == F.col("constraint_id"))
-        for some in (fresh, changed):
-            gather(some.select(place(10).alias("place"), F.posexplode(one(joined("Add foreign key ", F.col("fk")), F.col("fk_sql"), inst)).alias("sub", "s")))
-        owner = render.names_by_table(merged).drop("table_name")
-        others = merged.constraints.filter("kind <> 'FOREIGN_KEY'").select(F.col("constraint_id"), F.col("kind").alias("what"), "column_ids", "expression", F.col("table_id").alias("tid"))
-        some = rows.filter(kind.isin("CONSTRAINT_ADDED", "CONSTRAINT_CHANGED")).join(others, F.col("object_id") == F.col("constraint_id")).join(owner.withColumnRenamed("table_id", "tid2"), F.col("tid") == F.col("tid2"))
-        body = F.when(F.col("what") == "CHECK", joined("CHECK (", render.bare(F.col("expression")), ")")).otherwise(joined(F.replace("what", F.lit("_"), F.lit(" ")), " (", render.column_list(F.col("column_ids"), F.col("names")), ")"))
-        gather(some.select(place(9).alias("place"), F.posexplode(one(joined("Add constraint ", name), alter(" ADD CONSTRAINT ", column, " ", body), classify.set_not_null())).alias("sub", "s")))
-    seq = F.row_number().over(W.orderBy("place", "sub")) - 1  # a plan has tens of steps
-    steps = localised(out).withColumn("seq", seq).select("seq", "s.*").orderBy("seq")
-
-    dropped = F.when(kind == "COLUMN_DROPPED", joined("Dropping ", dotted, " permanently discards the data in ", n, " rows.")).when(kind == "TABLE_DROPPED", joined("Dropping table ", name, " discards ", n, " rows."))
-    online = (kind == "COLUMN_ADDED") & (added["verdict"] == "REWRITE") & big
-    retyped = (kind == "COLUMN_TYPE_CHANGED") & (typed["verdict"] == "REWRITE") & big
+    ways = F.array_compact(F.array(
+        way, F.when(kind.endswith("DROPPED") | kind.isin("INDEX_CHANGED", "CONSTRAINT_CHANGED"), "drop"), F.when(kind == "TABLE_ADDED", "add"), F.when(F.col("index").isNotNull(), F.when(big, "online").otherwise("direct")),
+        F.when(F.col("is_key"), "key"), F.when(F.col("reference_name").isNotNull() & loose, "reference"),
+    ))
+    rows = localised(rows.select(
+        "kind", table, "object_id", F.coalesce(c["position"], F.lit(0)).alias("position"), "rows", "own", "reference_name", ways.alias("ways"), (~F.coalesce(c["nullable"], F.lit(True))).alias("required"),
+        (c["default_expr"].isNotNull() & key.isNotNull()).alias("fillable"), F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]).alias("values"), (rewritten & big & key.isNull()).alias("keyless"), (rewritten & big).alias("long"),
+    ))
+    chosen = RULES if strict else RULES + LOOSE_RULES
+    rules = local_frame(target.tables.sparkSession, [(*r[:9], parts(r[9]), parts(r[10]), list(r[11]) if r[11] else None) for r in chosen], _RULE)
+    met = rows.join(F.broadcast(rules), (F.col("of_kind") == F.col("kind")) & F.array_contains("ways", F.col("of_way")))
+    met = met.filter((F.col("needs") == "") | (F.col("required") & ((F.col("needs") == "strict") | F.col("fillable"))))
+    classes = F.create_map(*[x for n, v in _CLASSES.items() for x in (F.lit(n), F.struct(*[F.lit(y).alias(f) for f, y in zip(("verdict", "lock", "blocks"), v, strict=True)]))])
+    cls = F.coalesce(F.element_at(classes, F.col("class")), F.struct(*[F.col(f"own.{f}") for f in ("verdict", "lock", "blocks")]))
+    get = lambda x: F.element_at("values", x)
+    fill = F.when(F.col("fill").isNotNull(), F.struct(table.alias("table_name"), get(F.lit("key")).alias("key"), get(F.element_at("fill", 1)).alias("target"), get(F.element_at("fill", 2)).alias("source")))
+    place = F.struct("phase", "table_name", "position", "object_id", F.when(F.col("of_way") == "reference", F.concat(F.lit("FK "), F.coalesce("reference_name", F.lit("")))).otherwise(kind), "ord")
+    seq = F.row_number().over(W.orderBy(place)) - 1  # a plan has tens of steps
+    steps = met.select(
+        seq.alias("seq"), get(F.col("op_group")).alias("op_group"), F.col("step").alias("kind"), filled_in(F.col("text"), F.col("values")).alias("description"), filled_in(F.col("sql"), F.col("values")).alias("sql"),
+        cls["verdict"].alias("verdict"), cls["lock"].alias("lock"), cls["blocks"].alias("blocks"), (F.col("step") != "INDEX_CONCURRENT").alias("transactional"), F.coalesce("final", cls["verdict"] == "REWRITE").alias("point_of_no_return"), fill.alias("backfill"),
+    ).orderBy("seq")
+    n, dotted = get(F.lit("n")), get(F.lit("dotted"))
     text = (
-        F.when((F.col("rows") > 0) & dropped.isNotNull(), dropped)
-        .when((online | retyped) & key.isNull(), joined("Table ", table, " has no single-column primary key: ", name, " can't be changed in batches, and the table is rewritten."))
-        .when(retyped, joined("Retyping ", dotted, " rewrites ", n, " rows and needs disk for the new column."))
+        F.when((F.col("rows") > 0) & (kind == "COLUMN_DROPPED"), joined("Dropping ", dotted, " permanently discards the data in ", n, " rows."))
+        .when((F.col("rows") > 0) & (kind == "TABLE_DROPPED"), joined("Dropping table ", get(F.lit("name")), " discards ", n, " rows."))
+        .when(F.col("keyless"), joined("Table ", table, " has no single-column primary key: ", get(F.lit("name")), " can't be changed in batches, and the table is rewritten."))
+        .when((kind == "COLUMN_TYPE_CHANGED") & F.col("long"), joined("Retyping ", dotted, " rewrites ", n, " rows and needs disk for the new column."))
     )
     return Plan(steps, rows.select(text.alias("warning")).filter("warning IS NOT NULL"))
