@@ -110,6 +110,31 @@ THEIRS = [
 ]
 
 
+#: What a live schema differs in from what is recorded.
+DRIFT = [{"op": "ADD_COLUMN", "table_id": tid("nation"), "id": "col_drift", "name": "added_by_hand", "type": "text", "nullable": True}, {"op": "SET_COLUMN_NULLABLE", **_of("part", "p_name"), "nullable": False}]
+#: Changes that no operation makes: a renamed table, and a dropped one beside it; a lost, a new, a renamed and a changed constraint.
+RESHAPE = [{"op": "DROP_TABLE", "table_id": tid("events")}]
+RENAMED_TABLE = ("region", "area")
+RENAMED_KEY = ("nation_region_fkey", "nation_area_fkey")
+RECHECKED = ("part_size_check", "p_size > 0", "p_size >= 0")
+LOST_KEY = "nation_name_key"
+NEW_KEY = ("con_new_supplier", "supplier_name_key")
+
+
+def reshaped(spark: SparkSession, folder: str) -> tuple[Snapshot, Snapshot]:
+    """The base and what the changes above make of it."""
+    b = base(spark, folder)
+    rows = ops.apply_all(b, RESHAPE)[0].rows()
+    for t in rows["tables"]:
+        t["name"] = RENAMED_TABLE[1] if t["name"] == RENAMED_TABLE[0] else t["name"]
+    rows["constraints"] = [k for k in rows["constraints"] if k["name"] != LOST_KEY]
+    for k in rows["constraints"]:
+        k["name"] = RENAMED_KEY[1] if k["name"] == RENAMED_KEY[0] else k["name"]
+        k["expression"] = RECHECKED[2] if k["name"] == RECHECKED[0] else k["expression"]
+    rows["constraints"].append({"table_id": tid("supplier"), "constraint_id": NEW_KEY[0], "name": NEW_KEY[1], "kind": "UNIQUE", "column_ids": [cid("supplier", "s_name")], "ref": None, "expression": None})
+    return b, Snapshot.of(spark, **{n: [tuple(r.values()) for r in found] for n, found in rows.items()})
+
+
 def ours(spark: SparkSession, folder: str) -> Snapshot:
     return ops.apply_all(base(spark, folder), OURS)[0]
 
@@ -144,7 +169,9 @@ def edited_rows(rows: list[dict], edits: list[dict]) -> list[dict]:
     rows = [dict(r) for r in rows]
     for e in edits:
         mine = [r for r in rows if r["column_id"] == e.get("column_id")]
-        if e["op"] == "DROP_COLUMN":
+        if e["op"] == "DROP_TABLE":
+            rows = [r for r in rows if r["table_id"] != e["table_id"]]
+        elif e["op"] == "DROP_COLUMN":
             rows = [r for r in rows if r["column_id"] != e["column_id"]]
         elif e["op"] == "RENAME_COLUMN":
             mine[0]["name"] = e["new_name"]

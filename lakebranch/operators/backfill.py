@@ -30,6 +30,27 @@ def ranked(df: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("rank", nth + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("part"))).drop("part")
 
 
+def percentiles(df: DataFrame, group: str, value: str, shares: list[float], bins: int = 1_024) -> DataFrame:
+    """K5: (group, p50, ...): of each group's n sorted values those at places min(n - 1, floor(n * share)), exactly.
+
+    Equal values are counted first. Bins between the least and the greatest value, and the counts of the bins before, tell where a value
+    lies, so that no task sorts a whole group. Null values are left out.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    low, high = rows.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
+    width = (high - low) / bins if low is not None and high > low else 1.0
+    bin_ = F.floor((F.col("v").cast("double") - (low or 0.0)) / width)
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("k")).withColumn("bin", bin_)
+    sums = counts.groupBy("g", "bin").agg(F.sum("k").alias("k"))
+    whole = sums.withColumns({"before": F.sum("k").over(W.partitionBy("g").orderBy("bin")) - F.col("k"), "n": F.sum("k").over(W.partitionBy("g"))}).drop("k")
+    known = counts.withColumnRenamed("g", "h").withColumnRenamed("bin", "at").join(whole, F.col("h").eqNullSafe(F.col("g")) & (F.col("at") == F.col("bin")))
+    upto = F.col("before") + F.sum("k").over(W.partitionBy("g", "bin").orderBy("v"))
+    placed = known.select("g", "v", "n", (upto - F.col("k")).alias("first"), upto.alias("end"))
+    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    at = [F.max(F.when((F.col("first") <= place(p)) & (place(p) < F.col("end")), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares]
+    return placed.groupBy(F.col("g").alias(group)).agg(*at)
+
+
 def differs(target: Column, value: Column) -> Column:
     return ~target.eqNullSafe(value)
 

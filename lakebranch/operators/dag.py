@@ -7,24 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from lakebranch.snapshot import local_frame
 
 
-def edges(commits: DataFrame) -> DataFrame:
-    """(child, parent) of commits with up to two parents."""
-    parents = F.explode(F.filter(F.array("parent_id", "second_parent_id"), lambda p: p.isNotNull()))
-    return commits.select(F.col("commit_id").alias("child"), parents.alias("parent"))
-
-
 def ancestors(commits: DataFrame, head: str | None) -> DataFrame:
-    """(commit_id) of the head and all it comes from. Each round goes one generation back and drops what was seen, so a diamond of
-    merges costs its commits, not its paths. Commits are metadata: a round's frontier is a few ids."""
-    spark = commits.sparkSession
-    known = {r[0] for r in commits.filter(F.col("commit_id") == head).select("commit_id").collect()}
-    frontier, links = set(known), edges(commits).persist()
-    while frontier:
-        front = local_frame(spark, [(x,) for x in sorted(frontier)], "child string")
-        frontier = {r[0] for r in links.join(F.broadcast(front), "child").select("parent").distinct().collect()} - known
-        known |= frontier
-    links.unpersist()
-    return local_frame(spark, [(x,) for x in sorted(known)], "commit_id string")
+    """(commit_id) of the head and all it comes from. Commits are metadata: their links are read once, and followed on the driver, each
+    commit once, so that neither a long history nor a diamond of merges costs more than its commits."""
+    parents = {r.commit_id: [p for p in (r.parent_id, r.second_parent_id) if p is not None] for r in commits.select("commit_id", "parent_id", "second_parent_id").collect()}
+    known, left = set(), [head] if head in parents else []
+    while left:
+        one = left.pop()
+        if one not in known:
+            known.add(one)
+            left += parents.get(one, [])
+    return local_frame(commits.sparkSession, [(x,) for x in sorted(known)], "commit_id string")
 
 
 def merge_base(commits: DataFrame, a: str | None, b: str | None) -> DataFrame:

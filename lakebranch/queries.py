@@ -10,7 +10,7 @@ from lakebranch import fixtures as X
 from lakebranch.functions import hashing, identifiers, types
 from lakebranch.operators import backfill, dag, diff, merge, ops, preflight, sample
 from lakebranch.plans import classify, planner, render
-from lakebranch.snapshot import local_frame
+from lakebranch.snapshot import local_frame, localised
 from lakebranch.sources import demo, introspect, url
 
 TYPES = [
@@ -26,6 +26,13 @@ TYPE_CHANGES = [
     ("varchar(50)", "varchar(100)"), ("varchar(50)", "text"), ("varchar(50)", "varchar"), ("numeric(10,2)", "numeric(14,2)"), ("timestamp(3)", "timestamp(6)"), ("varchar(100)", "varchar(50)"), ("text", "varchar(50)"),
     ("numeric(14,2)", "numeric(10,2)"), ("numeric(14,2)", "numeric(14,4)"), ("integer", "bigint"), ("integer", "numeric(14,2)"), ("text", "integer"), ("numeric", "numeric(10,2)"), ("char(4)", "text"), ("uuid", "uuid"),
 ]
+URLS = [
+    "postgres://user:p%40ss+1@db.example.com/app?sslmode=require&x=1", "postgresql://u:a:b@h:6000/x", "jdbc:postgresql://h/x", "postgres://h/db", "mysql://u:p@h/db", "postgres://only@host.example:1/p%20q", "postgresql://a%3Ab:c%2Fd@10.0.0.1/z?x=1",
+]
+DEFAULT_TEXTS = [None, "0", "pending", "now()", "CURRENT_TIMESTAMP", "transaction_timestamp()", "random()", "gen_random_uuid()", "clock_timestamp()", "nextval('s')", "my_random(1)", "1 + RANDOM()", "timeofday()", "'random'", "uuid_generate_v4()", "lower(random()::text)"]
+#: Which conflicts are answered, how many rows of the target block the merge, and how many steps there are to do.
+APPLY_CASES = [("none", 0, 9), ("some", 0, 9), ("all", 0, 9), ("all", 2, 9), ("all", 0, 0), ("none", 1, 0)]
+RESOLUTIONS = [(X.cid("customer", "c_acctbal") + ":type", "THEIRS"), (X.cid("supplier", "s_name"), "THEIRS"), (X.cid("events", "value"), "OURS")]
 NAMES = ["orders", "Order", "_x$1", "1abc", "with space", "", None, "a" * 63, "a" * 64, "__sv_x", "__SV_y", "select", "GROUP", "naïve", "é" * 32, 'say "hi"']
 #: The base commit's children: two branches that merge into each other twice.
 COMMITS = [
@@ -120,7 +127,7 @@ def table_stats(spark, d):
 
 
 def database_url_parse(spark, d):
-    rows = local_frame(spark, [("postgres://user:p%40ss+1@db.example.com/app?sslmode=require&x=1",), ("postgresql://u:a:b@h:6000/x",), ("jdbc:postgresql://h/x",), ("postgres://h/db",)], "url string")
+    rows = local_frame(spark, [(u,) for u in URLS], "url string")
     return rows.withColumn("p", url.parse_database_url(F.col("url"))).select("url", "p.jdbc_url", "p.username", "p.password")
 
 
@@ -171,7 +178,7 @@ def diff_columns(spark, d):
 
 
 def diff_tables(spark, d):
-    return diff.diff_tables(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
+    return diff.diff_tables(*X.reshaped(spark, d)).select(_FIELDS)
 
 
 def diff_indexes(spark, d):
@@ -179,7 +186,7 @@ def diff_indexes(spark, d):
 
 
 def diff_constraints(spark, d):
-    return diff.diff_constraints(*X.pair(spark, d, X.THEIRS)).select(_FIELDS)
+    return diff.diff_constraints(*X.reshaped(spark, d)).select(_FIELDS)
 
 
 def diff_destructive(spark, d):
@@ -204,10 +211,13 @@ def branch_diff(spark, d):
 
 
 def drift_check(spark, d):
-    """H8"""
-    recorded, live = X.base(spark, d), introspect.introspect(spark, X.tables(spark, d), X.sidecar())
-    both = hashing.snapshot_hash(recorded).unionByName(hashing.snapshot_hash(live))
-    return both.agg((F.count_distinct("hash") > 1).alias("drifted"))
+    """H8: against a live schema that is as recorded, and against one that was edited by hand."""
+    recorded = X.base(spark, d)
+    out, old = None, hashing.snapshot_hash(recorded).select(F.col("hash").alias("recorded"))
+    for name, live in (("same", introspect.introspect(spark, X.tables(spark, d), X.sidecar())), ("edited", ops.apply_all(recorded, X.DRIFT)[0])):
+        one = hashing.snapshot_hash(live).join(old, how="cross").select(F.lit(name).alias("live"), (F.col("hash") != F.col("recorded")).alias("drifted"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def commit_ancestors(spark, d):
@@ -260,8 +270,7 @@ def merge_name_collisions(spark, d):
 
 
 def _resolutions(spark) -> DataFrame:
-    keys = [(X.cid("customer", "c_acctbal") + ":type", "THEIRS"), (X.cid("supplier", "s_name"), "THEIRS"), (X.cid("events", "value"), "OURS")]
-    return local_frame(spark, keys, "key string, choice string")
+    return local_frame(spark, RESOLUTIONS, "key string, choice string")
 
 
 def merge_resolved(spark, d):
@@ -271,9 +280,14 @@ def merge_resolved(spark, d):
 
 
 def merge_can_apply(spark, d):
-    m = _merged(spark, d)
-    open_ = merge.answered(m.unresolved(), _resolutions(spark)).filter("choice IS NULL")
-    return open_.agg(F.count("*").alias("open"), (F.count("*") == 0).alias("can_apply"))
+    """In each of APPLY_CASES, how many conflicts are open and whether the merge can be applied."""
+    conflicts = localised(_merged(spark, d).conflicts)
+    everything = local_frame(spark, [(r.stable_id, "OURS") for r in conflicts.collect()], "key string, choice string")
+    answers, out = {"none": everything.limit(0), "some": _resolutions(spark), "all": everything}, []
+    for n, (which, blockers, steps) in enumerate(APPLY_CASES):
+        open_ = merge.answered(conflicts.filter("severity <> 'AUTO'"), answers[which]).filter("choice IS NULL").count()
+        out.append((n, open_, merge.can_apply(conflicts, answers[which], blockers, steps)))
+    return local_frame(spark, out, "n int, open long, can_apply boolean")
 
 
 def merge_target(spark, d):
@@ -284,8 +298,7 @@ def merge_target(spark, d):
 
 
 def classify_default(spark, d):
-    texts = [None, "0", "pending", "now()", "CURRENT_TIMESTAMP", "transaction_timestamp()", "random()", "gen_random_uuid()", "clock_timestamp()", "nextval('s')", "my_random(1)"]
-    rows = local_frame(spark, [(i, t) for i, t in enumerate(texts)], "n int, text string")
+    rows = local_frame(spark, list(enumerate(DEFAULT_TEXTS)), "n int, text string")
     return rows.select("n", classify.add_column(F.col("text"))["verdict"].alias("verdict"))
 
 
@@ -307,6 +320,14 @@ def plan_steps(spark, d):
     return _plan(spark, d).steps.select("seq", "op_group", "kind", "verdict", "lock", "blocks", "transactional", "point_of_no_return", "sql")
 
 
+_STEP = ["seq", "op_group", "kind", "verdict", "lock", "blocks", "transactional", "point_of_no_return", "sql"]
+
+
+def plan_drops(spark, d):
+    """The plan of the target's own edits, with dropped columns and a constraint that goes with one."""
+    return planner.plan(*X.pair(spark, d, X.OURS), X.row_counts(spark, d), "main", 1_000).steps.select(_STEP)
+
+
 def plan_mode(spark, d):
     return _plan(spark, d).mode()
 
@@ -346,7 +367,7 @@ def table_topo_order(spark, d):
 
 
 def materialise_script(spark, d):
-    return render.materialise(X.base(spark, d), "main").groupBy("phase").agg(F.count("*").alias("statements"))
+    return render.materialise(X.base(spark, d), "main").select("phase", "name", "sql")
 
 
 def statement_split(spark, d):
@@ -389,7 +410,8 @@ def orphan_check(spark, d):
     out = None
     for child, position, parent in X.REFERENCES:
         keys = [(X.COLUMNS[child][position - 1][0], X.COLUMNS[parent][0][0])]
-        one = preflight.orphans(t[child], t[parent], keys).select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "orphans")
+        known = t[parent].filter(F.col(keys[0][1]) % 7 != 0)  # so that some rows are orphans
+        one = preflight.orphans(t[child], known, keys).select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "orphans")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -492,9 +514,7 @@ def run_status(spark, d):
 
 def latency_percentiles(spark, d):
     """K5: the value at place min(n - 1, floor(n * p)) of the sorted prices, by priority."""
-    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", "o_totalprice")
-    at = lambda p: F.element_at("v", F.least(F.size("v"), F.floor(F.size("v") * p).cast("int") + 1)).alias(f"p{int(p * 100)}")
-    return rows.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_totalprice")).alias("v")).select("o_orderpriority", at(0.5), at(0.95), at(0.99))
+    return backfill.percentiles(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", [0.5, 0.95, 0.99])
 
 
 def demo_customers(spark, d):
@@ -506,7 +526,7 @@ def demo_products(spark, d):
 
 
 def demo_orders(spark, d):
-    return demo.orders(spark, 20_000).groupBy("status").agg(F.count("*").alias("orders"), F.count("notes").alias("noted"))
+    return demo.orders(spark, 20_000).groupBy("status").agg(F.count("*").alias("orders"), F.count("notes").alias("noted"), F.sum("customer_id").alias("customers"), F.sum(F.col("amount").cast("long")).alias("amount"))
 
 
 def edit_to_ops(spark, d):
@@ -520,7 +540,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         type_canonicalize, type_render, default_canonicalize, introspect_tables, introspect_columns, introspect_constraints, introspect_indexes, introspect_unmanaged, identity_carry_forward, snapshot_hash,
         constraint_fingerprint, index_fingerprint, object_count, schema_view, schema_search, table_stats, database_url_parse, identifier_validation, identifier_quote, op_sequence, op_drop_table, diff_columns,
         diff_tables, diff_indexes, diff_constraints, diff_destructive, diff_describe, diff_empty, branch_diff, drift_check, commit_ancestors, merge_base, merge_attribute, merge_columns, merge_tables, merge_indexes,
-        merge_constraints, merge_conflicts, merge_name_collisions, merge_resolved, merge_can_apply, merge_target, classify_default, classify_type_change, classify_change, plan_steps, plan_mode, plan_warnings,
+        merge_constraints, merge_conflicts, merge_name_collisions, merge_resolved, merge_can_apply, merge_target, classify_default, classify_type_change, classify_change, plan_steps, plan_drops, plan_mode, plan_warnings,
         plan_key_column, render_create_table, render_foreign_key, render_index, table_topo_order, materialise_script, statement_split, merge_preview, preflight_candidates, preflight_uncastable, preflight_nulls,
         preflight_blockers, orphan_check, identity_next_value, keyset_page, backfill_batch_stats, backfill_result, backfill_failures, batch_adaptation, backfill_progress, backoff_ceiling, list_branches,
         commit_history, commit_next_seq, head_snapshot, snapshot_dedupe, run_status, latency_percentiles, demo_customers, demo_products, demo_orders, edit_to_ops,
