@@ -2,7 +2,8 @@
 
 A block is the text between two boundaries of block-level elements; inline elements, line breaks among them, don't end one.
 Character references are decoded and white space becomes single spaces. Scripts, styles, titles and the like, comments and
-declarations have no text; what is in math, svg, object and media elements has, and one of those that isn't closed ends with its block.
+declarations have no text; what is in math, svg, object, noscript and media elements has, and one of those that isn't closed ends with
+its block. A noscript is a block of its own but inside a paragraph or heading.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field
 
 # Fixed values of the HTML standard: element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
@@ -105,7 +106,7 @@ def parse(page: str) -> list[Node]:
             for depth in range(len(stack) - 1, 0, -1):
                 tag = stack[depth][0]
                 if tag == name:
-                    if name in BLOCK:
+                    if name in BLOCK or stack[depth][1]:
                         flush()
                     close(depth)
                     break
@@ -124,6 +125,12 @@ def parse(page: str) -> list[Node]:
             flush()
             at = closing.end()
             continue
+        if name == "noscript" and not any(tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") for tag, is_node in stack if is_node):
+            flush()
+            nodes.append(Node(name, parents[-1]))
+            parents.append(len(nodes) - 1)
+            stack.append((name, 1))
+            continue
         if name in BLOCK:
             flush()
             ends, within = ENDS.get(name, (frozenset(), frozenset()))

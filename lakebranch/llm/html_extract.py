@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from lakebranch.llm import shared
 from lakebranch.llm.dom import Node, parse
 
-KINDS = ("", "article", "main", "section", "div", "p", "h", "list", "li", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "body", "hidden", "other")
+KINDS = ("", "article", "main", "section", "div", "p", "h", "list", "li", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "body", "hidden", "noscript", "details", "other")
 _KIND_OF = {
     **{f"h{i}": "h" for i in range(1, 7)}, **dict.fromkeys(("ul", "ol", "dl", "menu", "dir"), "list"), **dict.fromkeys(("li", "dt", "dd"), "li"),
     **dict.fromkeys(("button", "select", "fieldset", "option", "legend", "optgroup", "search", "dialog"), "form"),
     **dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot", "caption"), "table"), **dict.fromkeys(("blockquote", "pre"), "quote"),
-    **dict.fromkeys(("figcaption",), "figure"), "address": "footer",
+    **dict.fromkeys(("figcaption",), "figure"), "address": "footer", "summary": "h",
 }
 #: Words of class, id and role attributes, by what they tell of an element.
 HINTS = {
@@ -149,7 +149,7 @@ def by_level(depth: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
 
 
-def fit(f: Forest, labels: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Model:
+def fit(f: Forest, labels: np.ndarray, steps: int = 250, rate: float = 0.15, decay: float = 2e-4) -> Model:
     """A model of labelled nodes (1: content), by Adam on the mean log-likelihood of the pages' labellings."""
     model = Model(np.zeros(N_FEATURES), np.zeros((len(KINDS), 2, 2)))
     y, child = labels.astype(int), np.flatnonzero(f.parent >= 0)
@@ -179,8 +179,8 @@ def trained() -> Model:
 
     pages, labels = [], []
     for page, content in labelled_pages():
-        nodes = parse(page)
-        mark = [bool(node.text) and node.text in content for node in nodes]
+        nodes, kept = parse(page), set(content)
+        mark = [bool(node.text) and node.text in kept for node in nodes]
         for i in range(len(nodes) - 1, 0, -1):  # an element is content if more of its text is than not
             if nodes[i].tag:
                 mine = [j for j in range(i + 1, len(nodes)) if nodes[j].parent == i]

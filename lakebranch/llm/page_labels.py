@@ -10,13 +10,13 @@ import html
 import random
 from collections.abc import Iterator
 
-PAGES, SEED = 480, 11
+PAGES, SEED = 600, 11
 _PARTS = "ba be bi do du fa go ka ke lo ma mi na no pe ra ri sa so ta te ti to va ve vo zu".split()
 
 
 class Maker:
     def __init__(self, rng: random.Random):
-        self.rng, self.content = rng, set()
+        self.rng, self.blocks = rng, []
 
     def words(self, low: int, high: int) -> str:
         r = self.rng
@@ -42,7 +42,7 @@ class Maker:
 
     def kept(self, text: str) -> str:
         """Marks a block as content and escapes it."""
-        self.content.add(" ".join(text.split()))
+        self.blocks.append(" ".join(text.split()))
         return html.escape(text, quote=self.rng.random() < 0.5)
 
     def named(self, tag: str, names: str, inner: str, chance: float = 0.8) -> str:
@@ -84,7 +84,12 @@ class Maker:
                 out.append(f"<blockquote><p>{self.kept(self.prose())}</p></blockquote>")
             elif kind < 0.93:
                 out.append("<table>" + "".join(f"<tr><td>{self.kept(self.words(1, 4))}</td><td>{self.kept(self.words(1, 4))}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.945:
+                out.append(f"<details{r.choice(['', ' open'])}><summary>{self.kept(self.words(1, 6))}</summary>" + "".join(f"<p>{self.kept(self.prose())}</p>" for _ in range(r.randint(1, 2))) + "</details>")
+            elif kind < 0.955:
+                tag, inner = r.choice(["object", "noscript", "noscript"]), f"<p>{self.kept(self.prose())}</p>"
+                out.append(f"<{tag}>{inner}</{tag}>")
+            elif kind < 0.975:
                 out.append(f"<figure><img src=x><figcaption>{self.kept(self.sentence())}</figcaption></figure>")
             else:
                 out.append(f"<pre>{self.kept(self.sentence())}</pre>")
@@ -102,6 +107,8 @@ class Maker:
         return html.escape(self.prose()) if r < 0.5 else f"<p>{html.escape(self.prose())}</p>" if r < 0.8 else self.links(1, 4)
 
     def notice(self) -> str:
+        if self.rng.random() < 0.15:
+            return f"<noscript>{self.rng.choice(['', '<p>'])}{html.escape(self.sentence(3, 12))}</noscript>"
         return self.named(self.rng.choice(["div", "div", "section", "aside"]), "cookie consent notice alert popup newsletter subscribe gdpr modal", self.text_or_links() + self.rng.choice(["", "<button>ok</button>"]), 1)
 
     def menu(self) -> str:
@@ -128,12 +135,27 @@ class Maker:
         one = lambda: self.named(self.rng.choice(["div", "li", "p"]), "comment reply comment-body", f"<b>{self.words(1, 2)}</b> " + self.rng.choice([html.escape(self.prose()), f"<p>{html.escape(self.prose())}</p>"]), 0.6)
         return self.named(self.rng.choice(["div", "section", "ul", "ol"]), "comments discussion responses reader-comments replies", self.rng.choice(["", f"<h2>{self.words(1, 3)}</h2>"]) + "".join(one() for _ in range(self.rng.randint(1, 5))), 1)
 
-    def page(self) -> str:
+    def page(self, layout: str = "") -> str:
+        """layout: one of LAYOUTS; by default that of most pages, with the frame's elements around the article."""
         r = self.rng
         some = lambda chance, make: make() if r.random() < chance else ""
         title = self.words(2, 9)
-        head = r.choice([f"<h1>{self.kept(title)}</h1>", f"<h1>{self.kept(title)}</h1>", f"<h2>{self.kept(title)}</h2>", ""])
+        level = r.choice([1, 1, 2, 0]) if layout != "bare" or r.random() < 0.4 else 0
+        head = f"<h{level}>{self.kept(title)}</h{level}>" if level else ""
         inside = head + some(0.08, self.advert) + self.paragraphs() + some(0.06, self.comments) + some(0.05, self.side) + some(0.04, self.form)
+        top = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>p{{}}</style></head><body>'
+        if layout == "bare":  # an article and nothing else
+            return r.choice([top, "", "<html><body>"]) + (inside if r.random() < 0.7 else f"<div>{inside}</div>")
+        if layout == "table":  # rows of a table: the frame's in cells of their own
+            left = f"<td>{self.menu()}{some(0.5, self.side)}</td>"
+            return f"{top}<table><tr><td colspan=2>{self.header()}</td></tr><tr>{left}<td>{inside}</td></tr><tr><td colspan=2>{self.footer()}</td></tr></table></body></html>"
+        if layout == "roles":  # nothing but divs, told apart by role
+            role = lambda name, inner: f'<div role="{name}">{inner}</div>'
+            return top + role("banner", self.links(1, 2)) + role("navigation", self.links()) + role("main", inside) + some(0.5, lambda: role("complementary", self.side())) + role("contentinfo", f"&copy; {html.escape(self.prose())}")
+        if layout == "deep":  # the article at the bottom of divs without names
+            for _ in range(r.randint(3, 6)):
+                inside = f"<div>{inside}</div>"
+            return f"{top}{self.header()}<div><div>{self.menu()}</div>{inside}</div>{self.footer()}"
         style = r.random()
         if style < 0.5:
             body = f"<article>{inside}</article>"
@@ -148,13 +170,16 @@ class Maker:
         before = [some(0.5, self.header), some(0.8, self.menu), some(0.5, self.advert), some(0.25, self.notice), some(0.2, self.form), some(0.15, self.side)]
         after = [some(0.3, self.side), some(0.3, self.comments), some(0.25, self.advert), some(0.15, self.notice), some(0.15, self.form), some(0.85, self.footer)]
         r.shuffle(before)
-        top = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>p{{}}</style></head><body>'
         return top + "".join(before) + "<script>var a = '<p>';</script>" + body + "".join(after) + r.choice(["", "</body></html>"])
 
 
-def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, set[str]]]:
-    """(page, the texts of its content blocks)."""
+#: Layouts that are trained on, the first for most pages; and ones held out whole.
+LAYOUTS, HELD_OUT = ("",) * 9 + ("bare",), ("table", "roles", "deep")
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED, layouts: tuple[str, ...] = LAYOUTS) -> Iterator[tuple[str, list[str]]]:
+    """(page, its content blocks in page order)."""
     for i in range(n):
         maker = Maker(random.Random(seed * 1_000_003 + i))
-        page = maker.page()
-        yield page, maker.content
+        page = maker.page(layouts[i % len(layouts)])
+        yield page, maker.blocks
