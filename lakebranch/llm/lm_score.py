@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lakebranch.llm import shared
-from lakebranch.llm.textops import U, column_words, ngrams
+from lakebranch.llm.textops import U, column_words, mix, ngrams
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a batch: more save shuffled bytes, fewer save memory.
@@ -75,6 +75,23 @@ def counted(hashes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return hashes[new], np.diff(np.append(new, len(hashes))) if weights is None else np.add.reduceat(weights, new)
 
 
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """(for each hash its place among the distinct ones in order, how many there are)."""
+    order = np.argsort(hashes)
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, int(np.count_nonzero(new))
+
+
+def firsts(place: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n places occurs, any one occurrence."""
+    out = np.empty(n, np.int64)
+    out[place] = np.arange(len(place))
+    return out
+
+
 def batch_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(words of each text, hashes of all words) of a batch, worked out in parts."""
     parts = [column_words(x.column("text")) for x in shared.sliced(batch, "text", 2 << 20)]
@@ -164,18 +181,18 @@ def scored(first: np.ndarray, hashes: np.ndarray, counts: np.ndarray, check: int
     n = len(first) - 1
     text = np.repeat(np.arange(n), np.diff(first))
     spans = grams(hashes, first, order)
-    known, _ = counted(np.concatenate([h for _, h in spans]))
-    if len(known) != len(counts) or int(np.sum(known, dtype=U)) != check:
+    whole = np.concatenate([h for _, h in spans])
+    place, distinct = grouped(whole)
+    if distinct != len(counts) or int(np.sum(whole[firsts(place, distinct)], dtype=U)) != check:
         raise ValueError("the rows came in other batches when they were read again; write them to a table first")
-    others = []  # by length, the count in other texts of the n-gram that ends at each place; 0 where none does
+    # an n-gram of one text: equal only where both are, but for one chance in 2 ** 64
+    mine, n_mine = grouped(mix(whole ^ (np.concatenate([text[at] for at, _ in spans]).astype(U) + U(1)) * U(0x9E3779B97F4A7C15)))
+    rest = counts[place] - np.bincount(mine, minlength=n_mine)[mine]
+    others, upto = [], 0  # by length, the count in other texts of the n-gram that ends at each place; 0 where none does
     for at, h in spans:
-        own = np.empty(len(at), np.int64)
-        by = np.lexsort((h, text[at]))
-        t, s = text[at][by], h[by]
-        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])) if len(at) else []
-        own[by] = np.repeat(np.diff(np.append(new, len(at))), np.diff(np.append(new, len(at)))) if len(at) else 0
         full = np.zeros(len(hashes), np.int64)
-        full[at] = counts[np.searchsorted(known, h)].astype(np.int64) - own
+        full[at] = rest[upto : upto + len(h)]
+        upto += len(h)
         others.append(full)
     nth = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
     left = np.ones(len(hashes), dtype=bool)
