@@ -110,7 +110,7 @@ def parse(page: str) -> list[Node]:
                         flush()
                     close(depth)
                     break
-                if name not in BLOCK and tag in BLOCK:
+                if name not in BLOCK and name != "noscript" and tag in BLOCK:
                     break  # an inline element's end doesn't reach out of its block
             continue
         if name in RAW:

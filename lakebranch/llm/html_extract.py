@@ -149,7 +149,7 @@ def by_level(depth: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
 
 
-def fit(f: Forest, labels: np.ndarray, steps: int = 250, rate: float = 0.15, decay: float = 2e-4) -> Model:
+def fit(f: Forest, labels: np.ndarray, steps: int = 250, rate: float = 0.15, decay: float = 1e-3) -> Model:
     """A model of labelled nodes (1: content), by Adam on the mean log-likelihood of the pages' labellings."""
     model = Model(np.zeros(N_FEATURES), np.zeros((len(KINDS), 2, 2)))
     y, child = labels.astype(int), np.flatnonzero(f.parent >= 0)
