@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lakebranch.functions.hashing import constraint_fingerprint, index_fingerprint
 from lakebranch.functions.types import parse_type, type_sql
-from lakebranch.snapshot import Snapshot
+from lakebranch.snapshot import Snapshot, localised
 
 CONFLICT = (
     "type string, severity string, object_kind string, stable_id string, table_name string, object_name string, attribute string, "
@@ -189,10 +189,10 @@ def name_collisions(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def merge(base: Snapshot, ours: Snapshot, theirs: Snapshot, strict: bool = False) -> Merge:
-    """The merged snapshot, ours wherever sides disagree, and all conflicts."""
-    decisions = table_decisions(base, ours, theirs)
+    """The merged snapshot, ours wherever sides disagree, and all conflicts; a few KB, so that each part is worked out once and cut off."""
+    decisions = localised(table_decisions(base, ours, theirs))
     tables, conflicts = merge_tables(decisions)
-    merging = decisions.filter("decision = 'merge'").select("table_id", F.col("o.name").alias("table_name"))
+    merging = localised(decisions.filter("decision = 'merge'").select("table_id", F.col("o.name").alias("table_name")))
     columns, more = merge_columns(base, ours, theirs, merging)
     conflicts = conflicts.unionByName(more)
     taken = {side: decisions.filter(F.col("decision") == side).select("table_id") for side in ("ours", "theirs")}
@@ -201,14 +201,14 @@ def merge(base: Snapshot, ours: Snapshot, theirs: Snapshot, strict: bool = False
     for relation, kind in (("constraints", "CONSTRAINT"), ("indexes", "INDEX")):
         rows, more = merge_parts(base, ours, theirs, merging, kind, strict)
         conflicts = conflicts.unionByName(more)
-        parts[relation] = rows.unionByName(whole(relation))
-    columns = columns.unionByName(whole("columns"))
+        parts[relation] = localised(rows.unionByName(whole(relation)))
+    tables, columns = localised(tables), localised(columns.unionByName(whole("columns")))
     if not strict:  # what holds a column that is gone goes with it
         alive = columns.groupBy("table_id").agg(F.collect_set("column_id").alias("alive"))
         left = lambda ids: F.size(F.array_except(ids, F.coalesce("alive", F.array().cast("array<string>")))) == 0
         parts["constraints"] = parts["constraints"].join(alive, "table_id", "left").filter(left(F.col("column_ids"))).drop("alive")
         parts["indexes"] = parts["indexes"].join(alive, "table_id", "left").filter(left(F.col("columns.column_id"))).drop("alive")
-    conflicts = conflicts.unionByName(name_collisions(tables, columns))
+    conflicts = localised(conflicts.unionByName(name_collisions(tables, columns)))
     return Merge(Snapshot(tables, columns, parts["constraints"], parts["indexes"], ours.unmanaged), conflicts)
 
 
@@ -221,27 +221,54 @@ def answered(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
     return rows.withColumn("choice", F.coalesce("c1", "c2")).drop("k1", "k2", "c1", "c2")
 
 
-def resolved(m: Merge, theirs: Snapshot, resolutions: DataFrame, strict: bool = False) -> Snapshot:
+def resolved(m: Merge, theirs: Snapshot, resolutions: DataFrame, strict: bool = False, ours: Snapshot | None = None) -> Snapshot:
     """THEIRS takes their value of the attribute, where both they and the merge have the column; other choices keep ours.
 
-    Unless strict, THEIRS also takes their table name, and their drop of a column.
+    Unless strict, every conflict can be settled: THEIRS also takes their table name, and either side's drop of a column or table can be
+    taken, or their change kept instead. Of two tables or columns that would share a name THEIRS keeps the one that the conflict names and
+    OURS the others; of two indexes THEIRS takes theirs in place of ours. What holds a column that is gone goes with it.
     """
-    chosen = answered(m.conflicts, resolutions).filter("choice = 'THEIRS'")
-    marks = chosen.filter("object_kind = 'COLUMN'").groupBy(F.col("stable_id").alias("column_id")).agg(
-        F.collect_set(F.coalesce("attribute", F.lit("*"))).alias("take"), F.max(F.col("theirs") == "dropped").alias("gone")
-    )
+    chosen = answered(m.conflicts, resolutions).filter("choice IN ('OURS', 'THEIRS')")
+    by_them = chosen.filter("choice = 'THEIRS'")
+    marks = by_them.filter("object_kind = 'COLUMN' AND type <> 'ADD_ADD_NAME_COLLISION'").groupBy(F.col("stable_id").alias("column_id")).agg(F.collect_set(F.coalesce("attribute", F.lit("*"))).alias("take"))
     their = theirs.columns.select("column_id", F.struct("*").alias("t"))
     rows = m.merged.columns.join(F.broadcast(marks), "column_id", "left").join(their, "column_id", "left")
     takes = lambda a: F.coalesce(F.array_contains("take", a) & F.col("t").isNotNull(), F.lit(False))
     value = lambda n, a: F.when(takes(a), F.col("t")[n]).otherwise(F.col(n)).alias(n)
-    if not strict:
-        rows = rows.filter(~F.coalesce(F.array_contains("take", "*") & F.col("gone"), F.lit(False)))
     columns = rows.select("table_id", "column_id", value("name", "name"), "position", value("type", "type"), value("nullable", "nullable"), value("default_expr", "default"), "identity")
-    tables = m.merged.tables
-    if not strict:
-        names = chosen.filter("object_kind = 'TABLE' AND type = 'BOTH_RENAMED'").select(F.col("stable_id").alias("table_id"), F.col("theirs").alias("new_name"))
-        tables = tables.join(names, "table_id", "left").select("table_id", F.coalesce("new_name", "name").alias("name"))
-    return m.merged.with_(tables=tables, columns=columns)
+    if strict:
+        return m.merged.with_(columns=columns)
+    side = F.when(F.col("choice") == "THEIRS", F.col("theirs")).otherwise(F.col("ours"))
+    lost = chosen.filter((F.col("type").endswith("MODIFIED_AND_DROPPED")) & (side == "dropped")).select("object_kind", F.col("stable_id").alias("id"))
+    names = by_them.filter("object_kind = 'TABLE' AND type = 'BOTH_RENAMED'").select(F.col("stable_id").alias("table_id"), F.col("theirs").alias("new_name"))
+    tables = m.merged.tables.join(names, "table_id", "left").select("table_id", F.coalesce("new_name", "name").alias("name"))
+    # of what shares a name: the object that a conflict names, or all others
+    clash = chosen.filter("type = 'ADD_ADD_NAME_COLLISION'").select("object_kind", F.col("stable_id").alias("id"), "choice", "table_name", "object_name")
+    own = clash.filter("choice = 'OURS'").select("object_kind", "id")
+    here = columns.join(tables.select("table_id", F.col("name").alias("table_name")), "table_id").select("column_id", "table_name", F.col("name").alias("object_name"))
+    kept = clash.filter("choice = 'THEIRS'")
+    rivals = here.join(kept.filter("object_kind = 'COLUMN'"), ["table_name", "object_name"]).filter("column_id <> id").select("object_kind", F.col("column_id").alias("id"))
+    rivals = rivals.unionByName(tables.join(kept.filter("object_kind = 'TABLE'"), F.col("name") == F.col("object_name")).filter("table_id <> id").select("object_kind", F.col("table_id").alias("id")))
+    lost = localised(lost.unionByName(own).unionByName(rivals).distinct())
+    of = lambda kind: lost.filter(F.col("object_kind") == kind).select("id")
+    # tables that the target changed and the branch dropped come back where that is the choice
+    back = chosen.filter("type = 'TABLE_MODIFIED_AND_DROPPED' AND choice = 'OURS' AND theirs = 'dropped'").select(F.col("stable_id").alias("table_id"))
+    relations = {"tables": tables, "columns": columns, "constraints": m.merged.constraints, "indexes": m.merged.indexes}
+    for name, rows in relations.items():
+        if ours is not None:
+            there = rows.select("table_id").distinct()
+            rows = rows.unionByName(getattr(ours, name).join(back, "table_id", "left_semi").join(there, "table_id", "left_anti").select(rows.columns))
+        relations[name] = rows.join(of("TABLE"), F.col("table_id") == F.col("id"), "left_anti")
+    relations["columns"] = relations["columns"].join(of("COLUMN"), F.col("column_id") == F.col("id"), "left_anti")
+    taken = by_them.filter("type = 'INDEX_NAME_COLLISION'").select(F.col("stable_id").alias("index_id"))
+    new = theirs.indexes.join(taken, "index_id", "left_semi").select(relations["indexes"].columns)
+    old = relations["indexes"].join(new.select("table_id", "name"), ["table_id", "name"], "left_anti").select(new.columns)
+    relations["indexes"] = old.unionByName(new)
+    alive = relations["columns"].groupBy("table_id").agg(F.collect_set("column_id").alias("alive"))
+    for name, ids in (("constraints", F.col("column_ids")), ("indexes", F.col("columns.column_id"))):
+        gone = F.size(F.array_except(ids, F.coalesce("alive", F.array().cast("array<string>")))) > 0
+        relations[name] = relations[name].join(alive, "table_id", "left").filter(~gone).drop("alive")
+    return m.merged.with_(**relations)
 
 
 def can_apply(conflicts: DataFrame, resolutions: DataFrame, n_blockers: int, n_steps: int) -> bool:

@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakebranch.snapshot import Snapshot, local_frame
 
 # Text that a boolean is read from.
-TRUE_FALSE = ("t", "true", "y", "yes", "on", "1", "f", "false", "n", "no", "off", "0")
+TRUE = ("t", "tr", "tru", "true", "y", "ye", "yes", "on", "1")
+FALSE = ("f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0")
+#: Digits before the point that a number without a precision may have; and what a number looks like.
+_WHOLE = 131_072
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?\s*$"
 _SPARK = {"real": "float", "double precision": "double", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
 _BOUNDS = {"smallint": 15, "integer": 31, "bigint": 63}
 _UUID = r"^\{?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\}?$"
@@ -25,10 +29,16 @@ def castable(value: Column, type_sql: str, via_text: bool = True, check_length:
         shaped = text.rlike(r"^\s*[+-]?[0-9]+\s*$") if via_text else F.lit(True)
         return F.coalesce(shaped & number.between(-top, top - 1), F.lit(False))
     if base == "numeric":
-        kind = f"decimal({args[0]},{args[1] if len(args) > 1 else 0})" if args and args[0] <= 38 else "decimal(38,18)"
-        return text.try_cast(kind).isNotNull() | (F.lower(F.trim(text)) == "nan")
+        nan = F.lower(F.trim(text)) == "nan"
+        if args and args[0] <= 38:
+            return text.try_cast(f"decimal({args[0]},{args[1] if len(args) > 1 else 0})").isNotNull() | nan
+        # wider than a decimal can be: by the places of its digits
+        whole = F.length(F.ltrim(F.regexp_extract(F.trim(text), r"^[+-]?([0-9]*)", 1), F.lit("0")))
+        power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\s*$", 1).try_cast("int"), F.lit(0))
+        most = args[0] - (args[1] if len(args) > 1 else 0) if args else _WHOLE
+        return (text.rlike(_NUMBER) & (whole + power <= most)) | nan | (F.lit(not args) & F.lower(F.trim(text)).isin("infinity", "-infinity", "inf", "-inf"))
     if base == "boolean":
-        return F.lower(F.trim(text)).isin(*TRUE_FALSE)
+        return F.lower(F.trim(text)).isin(*TRUE, *FALSE)
     if base in _SPARK:
         return text.try_cast(_SPARK[base]).isNotNull()
     if base == "uuid":

@@ -127,14 +127,17 @@ def _orphans() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _samples() -> dict[str, str]:
-    ctes = (
+def sample_ctes() -> str:
+    return (
         "region_s AS (SELECT * FROM region ORDER BY r_regionkey LIMIT 100), nation_s AS (SELECT * FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region_s) ORDER BY n_nationkey LIMIT 100), "
         "customer_s AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation_s) ORDER BY c_custkey LIMIT 100), supplier_s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation_s) ORDER BY s_suppkey LIMIT 100), "
         "part_s AS (SELECT * FROM part ORDER BY p_partkey LIMIT 100), orders_s AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer_s) ORDER BY o_orderkey LIMIT 100), "
         "lineitem_s AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders_s) AND l_partkey IN (SELECT p_partkey FROM part_s) AND l_suppkey IN (SELECT s_suppkey FROM supplier_s) ORDER BY ALL LIMIT 100)"
     )
-    return {f"branch_sample_{n}": f"WITH {ctes} SELECT * FROM {n}_s" for n in ("customer", "supplier", "orders", "lineitem")}
+
+
+def _samples() -> dict[str, str]:
+    return {f"branch_sample_{n}": f"WITH {sample_ctes()} SELECT * FROM {n}_s" for n in ("customer", "supplier", "orders", "lineitem")}
 
 
 _MIXED = "CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE o_custkey::VARCHAR END"

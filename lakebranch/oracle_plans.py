@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lakebranch import fixtures as X
 from lakebranch import queries as Q
-from lakebranch.oracle import DIFF_COLUMNS, MERGE_COLUMNS, MERGE_CONFLICTS, _SIDES, _pick, lit, snapshot, statements_of, values
+from lakebranch.oracle import _ANCESTORS, DIFF_COLUMNS, MERGE_COLUMNS, MERGE_CONFLICTS, _SIDES, _pick, lit, sample_ctes, snapshot, statements_of, values
 
 _ACTION = {"c": "CASCADE", "a": "NO ACTION"}
 _KEY = ["constraint_id", "table_id", "table_name", "name", "kind", "place", "column_id", "column_name", "ref_table_id", "ref_table", "ref_column_id", "ref_column", "on_delete", "on_update", "expression"]
@@ -240,16 +240,16 @@ def resolved_columns() -> str:
     takes = {}
     for key, choice in Q.RESOLUTIONS:
         stable, _, attribute = key.partition(":")
-        if choice == "THEIRS":
+        if choice == "THEIRS" and stable.startswith("col_") and stable != "col_their_status":
             takes.setdefault({"type": "type_sql", "": "name"}[attribute], []).append(stable)
-    body = MERGE_COLUMNS
+    body, lost = MERGE_COLUMNS, [X.cid("part", "p_size"), "col_ours_status"]  # a drop that is kept, and the other of two columns of one name
     for field, ids in takes.items():
         body = body.replace(f"ELSE {_pick(field)} END AS {field}", f"WHEN ids.column_id IN ({', '.join(map(lit, ids))}) THEN t.{field} ELSE {_pick(field)} END AS {field}")
-    return f"SELECT column_id, name, type_sql, default_expr FROM ({body})"
+    return f"SELECT column_id, name, type_sql, default_expr FROM ({body}) WHERE column_id NOT IN ({', '.join(map(lit, lost))})"
 
 
 def can_apply() -> str:
-    keys = [k for k, _ in Q.RESOLUTIONS]
+    keys = [k for k, _ in Q.RESOLUTIONS[:3]]
     answered = f"coalesce(stable_id || ':' || attribute, stable_id) IN ({', '.join(map(lit, keys))}) OR stable_id IN ({', '.join(map(lit, keys))})"
     every = "TRUE"
     rows = [(n, which, b, s) for n, (which, b, s) in enumerate(Q.APPLY_CASES)]
@@ -285,7 +285,15 @@ def oracle_sql() -> dict[str, str]:
         "merge_indexes": merged_parts("INDEX"),
         "merge_constraints": merged_parts("CONSTRAINT"),
         "merge_resolved": resolved_columns(),
+        "merge_resolved_indexes": f"SELECT CASE index_id WHEN 'idx_ours_clash' THEN 'idx_their_clash' ELSE index_id END AS index_id, name FROM ({merged_parts('INDEX')})",
         "merge_can_apply": can_apply(),
+        "run_plan": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice::DECIMAL(12,2) AS p_retailprice, 7::INT AS grade FROM part",
+        "run_steps": f"WITH {plan_ctes(Q.RUN_EDITS, 100_000)} SELECT seq, kind, 'SUCCEEDED' AS status, 'SUCCEEDED' AS run_status, (SELECT CASE WHEN bool_or(kind IN ('BACKFILL', 'INDEX_CONCURRENT', 'VALIDATE') OR NOT transactional) THEN 'ONLINE' ELSE 'ATOMIC' END FROM steps) AS mode FROM steps",
+        "branch_lifecycle": f"WITH {sample_ctes()}, m(n, event, live, n_rows) AS (VALUES (0, 'import', 'main:ACTIVE', 1), (1, 'create', 'main:ACTIVE,one:ACTIVE', 2), (6, 'name taken', 'main:ACTIVE,one:ACTIVE', 2), (7, 'delete', 'main:ACTIVE', 2), (8, 'create again', 'main:ACTIVE,one:ACTIVE', 3)) SELECT n::INT AS n, event, live, n_rows::BIGINT AS n_rows FROM m UNION ALL "
+        + " UNION ALL ".join(f"SELECT {i}, 'rows of {t}', 'shop', (SELECT count(*) FROM {t}_s)" for i, t in enumerate(("region", "nation", "customer", "supplier"), 2)),
+        "drift_refresh": f"WITH {hash_sql('a')}, {hash_sql('b', X.DRIFT)}, e AS (SELECT (SELECT hash FROM h_a) <> (SELECT hash FROM h_b) AS differs) SELECT * FROM (SELECT 'as recorded' AS event, FALSE AS answer, 'ACTIVE' AS status, 0::INT AS commits UNION ALL SELECT 'edited', differs, CASE WHEN differs THEN 'DRIFTED' ELSE 'ACTIVE' END, 0 FROM e UNION ALL SELECT 'refresh', differs, 'ACTIVE', 1 FROM e UNION ALL SELECT 'refresh again', NOT differs, 'ACTIVE', 1 FROM e)",
+        "snapshot_roundtrip": f"WITH {hash_sql('a')} SELECT hash, (SELECT count(*) FROM s_a) AS columns FROM h_a",
+        "base_fallback": f"{_ANCESTORS}, {values('f', 'a, b, fallback', Q.FALLBACKS)} SELECT f.a, f.b, f.fallback, 's_' || coalesce((SELECT max_by(x.commit_id, c.seq) FROM a x JOIN a y ON x.commit_id = y.commit_id JOIN c ON c.commit_id = x.commit_id WHERE x.head = f.a AND y.head = f.b), f.fallback) AS snapshot_id FROM f",
         "classify_change": f"WITH {theirs} SELECT object_id, kind, {_classes()} FROM d WHERE kind NOT IN ('COLUMN_ADDED', 'COLUMN_TYPE_CHANGED')",
         "plan_steps": f"WITH {plan} SELECT * FROM steps",
         "plan_drops": f"WITH {plan_ctes(X.OURS, 1_000)} SELECT * FROM steps",

@@ -12,6 +12,7 @@ from lakebranch.operators import backfill, dag, diff, merge, ops, preflight, sam
 from lakebranch.plans import classify, planner, render
 from lakebranch.snapshot import local_frame, localised
 from lakebranch.sources import demo, introspect, url
+from lakebranch.store import Conflict, Store, scratch
 
 TYPES = [
     "character varying(32)", "character varying", "timestamp with time zone", "timestamp without time zone", "time with time zone", "time without time zone", "integer", "bigint",
@@ -32,13 +33,14 @@ URLS = [
 DEFAULT_TEXTS = [None, "0", "pending", "now()", "CURRENT_TIMESTAMP", "transaction_timestamp()", "random()", "gen_random_uuid()", "clock_timestamp()", "nextval('s')", "my_random(1)", "1 + RANDOM()", "timeofday()", "'random'", "uuid_generate_v4()", "lower(random()::text)"]
 #: Which conflicts are answered, how many rows of the target block the merge, and how many steps there are to do.
 APPLY_CASES = [("none", 0, 9), ("some", 0, 9), ("all", 0, 9), ("all", 2, 9), ("all", 0, 0), ("none", 1, 0)]
-RESOLUTIONS = [(X.cid("customer", "c_acctbal") + ":type", "THEIRS"), (X.cid("supplier", "s_name"), "THEIRS"), (X.cid("events", "value"), "OURS")]
+RESOLUTIONS = [(X.cid("customer", "c_acctbal") + ":type", "THEIRS"), (X.cid("supplier", "s_name"), "THEIRS"), (X.cid("events", "value"), "OURS"), (X.cid("part", "p_size"), "OURS"), ("col_their_status", "THEIRS"), ("idx_their_clash", "THEIRS")]
 NAMES = ["orders", "Order", "_x$1", "1abc", "with space", "", None, "a" * 63, "a" * 64, "__sv_x", "__SV_y", "select", "GROUP", "naïve", "é" * 32, 'say "hi"']
 #: The base commit's children: two branches that merge into each other twice.
 COMMITS = [
     ("c1", None, None, 1), ("c2", "c1", None, 2), ("c3", "c1", None, 3), ("c4", "c2", "c3", 4), ("c5", "c3", "c2", 5), ("c6", "c4", None, 6), ("c7", "c5", "c4", 7), ("d1", None, None, 8), ("d2", "d1", None, 9),
 ]
 BRANCHES = [("b1", "main", "ACTIVE", 1, "c6", None), ("b2", "feature", "ACTIVE", 3, "c7", "b1"), ("b3", "old", "ABANDONED", 2, "c3", "b1"), ("b4", "alpha", "MERGED", 2, "c5", "b2")]
+FALLBACKS = [("c6", "c7", "c1"), ("c6", "d2", "c3"), ("c6", "d2", None), ("d2", "d1", "c1")]
 OPLOG = [("c2", 1, "ADD_COLUMN"), ("c2", 0, "RENAME_COLUMN"), ("c3", 0, "DROP_INDEX"), ("c6", 0, "ADD_INDEX"), ("c6", 1, "ADD_INDEX"), ("c6", 2, "DROP_COLUMN")]
 
 
@@ -279,11 +281,16 @@ def merge_resolved(spark, d):
     return s.typed_columns().select("column_id", "name", "type_sql", "default_expr")
 
 
+def merge_resolved_indexes(spark, d):
+    sides = X.three(spark, d)
+    return merge.resolved(merge.merge(*sides), sides[2], _resolutions(spark)).indexes.select("index_id", "name")
+
+
 def merge_can_apply(spark, d):
     """In each of APPLY_CASES, how many conflicts are open and whether the merge can be applied."""
     conflicts = localised(_merged(spark, d).conflicts)
     everything = local_frame(spark, [(r.stable_id, "OURS") for r in conflicts.collect()], "key string, choice string")
-    answers, out = {"none": everything.limit(0), "some": _resolutions(spark), "all": everything}, []
+    answers, out = {"none": everything.limit(0), "some": local_frame(spark, RESOLUTIONS[:3], "key string, choice string"), "all": everything}, []
     for n, (which, blockers, steps) in enumerate(APPLY_CASES):
         open_ = merge.answered(conflicts.filter("severity <> 'AUTO'"), answers[which]).filter("choice IS NULL").count()
         out.append((n, open_, merge.can_apply(conflicts, answers[which], blockers, steps)))
@@ -512,6 +519,94 @@ def run_status(spark, d):
     return rows.select("seq", "kind", "status", F.length(backfill.truncated(F.col("error"))).alias("error_length"), F.when(F.col("done").isNotNull(), backfill.progress(F.col("done"), F.col("estimated"))).alias("share"))
 
 
+#: What a branch changes for run_plan: a retype of stored values, a default, NOT NULL, a column and an index.
+RUN_EDITS = [
+    {"op": "CHANGE_COLUMN_TYPE", **X._of("part", "p_retailprice"), "new_type": "numeric(12,2)"}, {"op": "ADD_COLUMN", "table_id": X.tid("part"), "id": "col_run_grade", "name": "grade", "type": "integer", "nullable": False, "default_expr": "7"},
+    {"op": "SET_COLUMN_NULLABLE", **X._of("part", "p_type"), "nullable": False}, {"op": "ADD_INDEX", "table_id": X.tid("part"), "id": "idx_run_type", "name": "part_run_idx", "column_ids": [X.cid("part", "p_type")]},
+]
+
+
+def _shop(spark, d, names: list[str]) -> tuple[Store, str]:
+    store = Store(spark, scratch(spark))
+    tables = X.tables(spark, d)
+    return store, store.import_project("shop", {n: tables[n] for n in names}, X.base(spark, d))
+
+
+def _merged_shop(spark, d) -> tuple[Store, str]:
+    store, main = _shop(spark, d, ["part"])
+    branch = store.create_branch(main, "prices")
+    store.apply(branch, RUN_EDITS)
+    store.merge(branch, main)
+    return store, main
+
+
+def run_plan(spark, d):
+    """A table of the target after a branch was merged into it."""
+    store, main = _merged_shop(spark, d)
+    return store.table(main, "part")
+
+
+def run_steps(spark, d):
+    """The steps of that merge's run."""
+    store, _ = _merged_shop(spark, d)
+    (run,) = store.state()["runs"].values()
+    return local_frame(spark, [(s["seq"], s["kind"], s["status"], run["status"], run["mode"]) for s in run["steps"]], "seq int, kind string, status string, run_status string, mode string")
+
+
+def branch_lifecycle(spark, d):
+    """A project's branches as they are made, edited, deleted and made again; rows of a branch's sampled tables."""
+    names = ["region", "nation", "customer", "supplier"]
+    store, main = _shop(spark, d, names)
+    out = []
+
+    def note(what: str) -> None:
+        out.append((len(out), what, ",".join(f"{b['name']}:{b['status']}" for b in store.list_branches()), store.health()["branches"]))
+
+    note("import")
+    one = store.create_branch(main, "one", 100)
+    note("create")
+    store.apply(one, [{"op": "DROP_COLUMN", **X._of("customer", "c_mktsegment")}])
+    out += [(len(out) + i, f"rows of {n}", store.list_projects()[0]["name"], store.table(one, n).count()) for i, n in enumerate(names)]
+    try:
+        store.create_branch(main, "one")
+    except Conflict:
+        note("name taken")
+    store.delete_branch(one)
+    note("delete")
+    store.create_branch(main, "one")
+    note("create again")
+    return local_frame(spark, out, "n int, event string, live string, n_rows long")
+
+
+def drift_refresh(spark, d):
+    """H8, H9: a branch's status and number of commits as its live schema is edited by hand and recorded."""
+    store, main = _shop(spark, d, ["region"])
+    branch, out = store.create_branch(main, "live"), []
+    live = ops.apply_all(X.base(spark, d), X.DRIFT)[0]
+
+    def note(what: str, answer: bool) -> None:
+        out.append((what, answer, store.state()["branches"][branch]["status"], len(store.history(branch))))
+
+    note("as recorded", store.drifted(branch, X.base(spark, d)))
+    note("edited", store.drifted(branch, live))
+    note("refresh", store.refresh(branch, live))
+    note("refresh again", store.refresh(branch, live))
+    return local_frame(spark, out, "event string, answer boolean, status string, commits int")
+
+
+def snapshot_roundtrip(spark, d):
+    """The content hash and columns of a snapshot that was stored and loaded."""
+    store, main = _shop(spark, d, ["region"])
+    loaded = store.head(main)
+    return hashing.snapshot_hash(loaded).join(loaded.columns.agg(F.count("*").alias("columns")), how="cross")
+
+
+def base_fallback(spark, d):
+    """The snapshot that a merge starts from: the common ancestor's, else that of the branch's first commit, else none."""
+    rows = [(a, b, f, dag.base_snapshot(commits(spark), a, b, f)) for a, b, f in FALLBACKS]
+    return local_frame(spark, rows, "a string, b string, fallback string, snapshot_id string")
+
+
 def latency_percentiles(spark, d):
     """K5: the value at place min(n - 1, floor(n * p)) of the sorted prices, by priority."""
     return backfill.percentiles(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_totalprice", [0.5, 0.95, 0.99])
@@ -540,10 +635,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         type_canonicalize, type_render, default_canonicalize, introspect_tables, introspect_columns, introspect_constraints, introspect_indexes, introspect_unmanaged, identity_carry_forward, snapshot_hash,
         constraint_fingerprint, index_fingerprint, object_count, schema_view, schema_search, table_stats, database_url_parse, identifier_validation, identifier_quote, op_sequence, op_drop_table, diff_columns,
         diff_tables, diff_indexes, diff_constraints, diff_destructive, diff_describe, diff_empty, branch_diff, drift_check, commit_ancestors, merge_base, merge_attribute, merge_columns, merge_tables, merge_indexes,
-        merge_constraints, merge_conflicts, merge_name_collisions, merge_resolved, merge_can_apply, merge_target, classify_default, classify_type_change, classify_change, plan_steps, plan_drops, plan_mode, plan_warnings,
+        merge_constraints, merge_conflicts, merge_name_collisions, merge_resolved, merge_resolved_indexes, merge_can_apply, merge_target, classify_default, classify_type_change, classify_change, plan_steps, plan_drops, plan_mode, plan_warnings,
         plan_key_column, render_create_table, render_foreign_key, render_index, table_topo_order, materialise_script, statement_split, merge_preview, preflight_candidates, preflight_uncastable, preflight_nulls,
         preflight_blockers, orphan_check, identity_next_value, keyset_page, backfill_batch_stats, backfill_result, backfill_failures, batch_adaptation, backfill_progress, backoff_ceiling, list_branches,
-        commit_history, commit_next_seq, head_snapshot, snapshot_dedupe, run_status, latency_percentiles, demo_customers, demo_products, demo_orders, edit_to_ops,
+        commit_history, commit_next_seq, head_snapshot, snapshot_dedupe, run_status, run_plan, run_steps, branch_lifecycle, drift_refresh, snapshot_roundtrip, base_fallback, latency_percentiles, demo_customers, demo_products, demo_orders, edit_to_ops,
     ]
     out = {f.__name__: f for f in named}
     out |= {"op_rename_column": _op(_O[:1]), "op_change_type": _op(_O[1:2]), "op_drop_column": _op(_O[2:4]), "op_add_column": _op(_T[4:7]), "op_set_nullable": _op(_T[11:12]), "op_set_default": _op(_O[8:9]), "op_create_table": _op(_T[14:15])}

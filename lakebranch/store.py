@@ -2,13 +2,16 @@
 
 A manifest is a numbered JSON file that is never changed. A change reads the newest one, and creates the next; creating fails if
 another writer was first, and the change is then tried again on what that writer left, so a branch's head never moves past one that
-the caller hasn't seen. Data are immutable Parquet versions whose columns are called by their stable ids: a rename, a drop or a new
+the caller hasn't seen. That needs a file system that refuses to rename onto a file that is there, as HDFS does; on local disks the
+file is linked to its name instead. Snapshots are files of their own, called after their content; a manifest holds their names. Data are immutable Parquet versions whose columns are called by their stable ids: a rename, a drop or a new
 default is a change of the manifest alone, and a reader gives columns the names, types and defaults that the branch's head has.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -18,10 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lakebranch.functions.hashing import snapshot_hash
 from lakebranch.operators import backfill, dag, merge, ops, preflight, sample
 from lakebranch.plans import classify, planner, render
-from lakebranch.snapshot import Snapshot, local_frame
+from lakebranch.snapshot import Snapshot, local_frame, localised
 
 ATTEMPTS = 25
+#: The states of a branch, of a run and of a run's steps.
 STATUSES = ("CREATING", "ACTIVE", "DRIFTED", "MERGED", "ABANDONED")
+RUN_STATUSES = ("RUNNING", "SUCCEEDED", "FAILED")
+STEP_STATUSES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "SKIPPED")
 _SPARK = {"smallint": "smallint", "integer": "int", "bigint": "bigint", "real": "float", "double precision": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "bytea": "binary"}
 
 
@@ -29,10 +35,31 @@ _SPARK = {"smallint": "smallint", "integer": "int", "bigint": "bigint", "real":
 _CALLS = {"gen_random_uuid()": "uuid()", "uuid_generate_v4()": "uuid()", "clock_timestamp()": "now()"}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names, which all nodes share; where that is unset, a local one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = got.get() if got.isDefined() else None
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        found = "file://" + tempfile.mkdtemp(prefix="store-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 class Conflict(RuntimeError):
     """Another writer was first, or the head isn't what the caller saw."""
 
 
+def status(value: str, domain: tuple[str, ...] = STATUSES) -> str:
+    """The value, which must be one of the domain's."""
+    if value not in domain:
+        raise ValueError(f"{value!r} is none of {', '.join(domain)}")
+    return value
+
+
 def spark_type(sql: str) -> str:
     base, _, rest = sql.partition("(")
     return f"decimal({rest[:-1]})" if base == "numeric" and rest else "decimal(38,18)" if base == "numeric" else _SPARK.get(base, "string")
@@ -48,7 +75,7 @@ def converted(value: Column, type_sql: str) -> Column:
     text = value.cast("string")
     if base == "boolean":
         word = F.lower(F.trim(text))
-        return F.when(word.isin(*preflight.TRUE_FALSE[:6]), True).when(word.isin(*preflight.TRUE_FALSE[6:]), False)
+        return F.when(word.isin(*preflight.TRUE), True).when(word.isin(*preflight.FALSE), False)
     if base in ("varchar", "char") and rest:
         return F.substring(text, 1, int(rest[:-1]))
     return text.try_cast(spark_type(type_sql))
@@ -68,26 +95,45 @@ class Store:
         found = self.files.listStatus(folder) if self.files.exists(folder) else []
         names = sorted(f.getPath().getName() for f in found if f.getPath().getName().endswith(".json"))
         if not names:
-            return {"version": 0, "projects": {}, "branches": {}, "commits": {}, "snapshots": {}, "runs": {}}
-        stream = self.files.open(self.path(f"{self.root}/manifests/{names[-1]}"))
+            return {"version": 0, "projects": {}, "branches": {}, "commits": {}, "runs": {}}
+        return self._read(f"manifests/{names[-1]}")
+
+    def _read(self, name: str) -> dict:
+        stream = self.files.open(self.path(f"{self.root}/{name}"))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
         finally:
             stream.close()
 
+    def _create(self, name: str, content: dict) -> bool:
+        """Writes a file whole under a name that no file has yet; False where one has."""
+        done, draft = (self.path(f"{self.root}/{n}") for n in (name, f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"))
+        stream = self.files.create(draft, False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        if self.files.getUri().getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), done.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self.files.delete(draft, False)
+        if not self.files.exists(done) and self.files.rename(draft, done):
+            return True
+        self.files.delete(draft, False)
+        return False
+
     def change(self, edit: Callable[[dict], object]) -> object:
         """Applies edit to the newest manifest and writes the next, again if another writer was first."""
         for _ in range(ATTEMPTS):
             state = self.state()
             out = edit(state)
             state["version"] += 1
-            done, draft = (self.path(f"{self.root}/manifests/{n}") for n in (f"{state['version']:012d}.json", f".{uuid.uuid4().hex}.tmp"))
-            stream = self.files.create(draft, False)
-            stream.write(bytearray(json.dumps(state).encode()))
-            stream.close()
-            if not self.files.exists(done) and self.files.rename(draft, done):
+            for b in state["branches"].values():
+                status(b["status"])
+            if self._create(f"manifests/{state['version']:012d}.json", state):
                 return out
-            self.files.delete(draft, False)
         raise Conflict(f"{ATTEMPTS} other writers were first")
 
     # snapshots and commits
@@ -97,12 +143,13 @@ class Store:
         rows = s.rows()
         ids = sorted([*(t["table_id"] for t in rows["tables"]), *(c["column_id"] for c in rows["columns"])])
         key = f"{snapshot_hash(s).first().hash[:32]}-{uuid.uuid5(uuid.NAMESPACE_OID, ','.join(ids)).hex[:8]}"
-        state["snapshots"].setdefault(key, rows)
+        if not self.files.exists(self.path(f"{self.root}/snapshots/{key}.json")):
+            self._create(f"snapshots/{key}.json", rows)
         return key
 
     def snapshot(self, key: str | None, state: dict | None = None) -> Snapshot:
         """J2; an empty one for None."""
-        rows = (state or self.state())["snapshots"][key] if key else {}
+        rows = self._read(f"snapshots/{key}.json") if key else {}
         return Snapshot.of(self.spark, **{n: [tuple(r.values()) for r in found] for n, found in rows.items()})
 
     def _commit(self, state: dict, branch: str, s: Snapshot, message: str, author: str, second: str | None = None, log: list[dict] = ()) -> str:
@@ -133,6 +180,19 @@ class Store:
 
     # projects and branches
 
+    def list_projects(self) -> list[dict]:
+        """By name."""
+        return sorted(self.state()["projects"].values(), key=lambda p: p["name"])
+
+    def find_project(self, name: str) -> dict | None:
+        """J3"""
+        return next((p for p in self.list_projects() if p["name"] == name), None)
+
+    def health(self) -> dict:
+        """The manifest's number and how many branches there are."""
+        state = self.state()
+        return {"version": state["version"], "branches": len(state["branches"])}
+
     def import_project(self, name: str, tables: dict[str, DataFrame], s: Snapshot) -> str:
         """H6: a project with branch main, a first commit, and each table written under its columns' ids; gives the branch's id."""
         branch, data = uuid.uuid4().hex, self._write(tables, s)
@@ -225,12 +285,28 @@ class Store:
             if b["name"] == "main" or b["status"] != "ACTIVE":
                 raise ops.InvalidOperation("only an active branch other than main can be edited")
             s, statements = ops.apply_all(self.head(branch, state), operations)
+            b["data"] = b["data"] | self._with_volatile(branch, state, s)
             kinds = {o["op"] for o in operations}
             text = message or (operations[0]["op"] if len(kinds) == 1 and len(operations) == 1 else f"{len(operations)} schema changes")
             return self._commit(state, branch, s, text, author, log=[{"ordinal": i, "op": o["op"], "payload": o} for i, o in enumerate(operations)])
 
         return self.change(edit)
 
+    def _with_volatile(self, branch: str, state: dict, s: Snapshot) -> dict:
+        """new versions of tables that hold rows and get columns whose default differs by row, which must be worked out once."""
+        before = self.head(branch, state)
+        known = {c.column_id for c in before.columns.collect()}
+        fresh = [c for c in s.columns.withColumn("volatile", classify.is_volatile(F.col("default_expr"))).collect() if c.volatile and c.column_id not in known]
+        names, old = ({t.table_id: t.name for t in x.tables.collect()} for x in (s, before))
+        out: dict = {}
+        for t in {c.table_id for c in fresh} & set(state["branches"][branch]["data"]) & set(old):
+            columns = s.typed_columns().filter(F.col("table_id") == t).orderBy("position").collect()
+            had = {c.column_id: c.name for c in before.columns.collect()}
+            rows = self.table(branch, old[t])
+            values = [(F.col(f"`{had[c.column_id]}`") if c.column_id in had else default(c.default_expr)).try_cast(spark_type(c.type_sql)).alias(c.name) for c in columns]
+            out |= self._write({names[t]: rows.select(*values)}, s)
+        return out
+
     def drifted(self, branch: str, live: Snapshot) -> bool:
         """H8: whether the live schema differs from what is recorded; the branch's status follows."""
         differs = snapshot_hash(live).first() != snapshot_hash(self.head(branch)).first()
@@ -251,12 +327,14 @@ class Store:
         base = self.snapshot(dag.base_snapshot(self.commits(state), *heads, state["branches"][source]["base_commit_id"]), state)
         ours, theirs = self.head(target, state), self.head(source, state)
         m = merge.merge(base, ours, theirs)
+        m = merge.Merge(m.merged.local(), m.conflicts)
         keys = resolutions if resolutions is not None else local_frame(self.spark, [], "key string, choice string")
-        final = merge.resolved(m, theirs, keys).local()
+        final = merge.resolved(m, theirs, keys, ours=ours).local()
         tables = {t.name: self.table(target, t.name) for t in ours.tables.collect()}
         counts = local_frame(self.spark, [(n, df.count()) for n, df in tables.items()], "table_name string, rows long")
+        plan = planner.plan(ours, final, counts, threshold=threshold)
         blockers = [r.message for r in preflight.blockers(preflight.preflight(tables, ours, final, counts)).collect()]
-        return {"merge": m, "ours": ours, "final": final, "plan": planner.plan(ours, final, counts, threshold=threshold), "blockers": blockers, "resolutions": keys, "head": heads[0], "source_head": heads[1]}
+        return {"merge": m, "ours": ours, "final": final, "plan": planner.Plan(localised(plan.steps), localised(plan.warnings)), "blockers": blockers, "resolutions": keys, "head": heads[0], "source_head": heads[1]}
 
     def _migrated(self, target: str, ours: Snapshot, final: Snapshot) -> tuple[dict[str, DataFrame], set[str]]:
         """The target's tables as the merge leaves them, by table id, and the ids of columns whose stored values it changes: retyped
@@ -289,8 +367,8 @@ class Store:
             out[t.table_id] = rows.select(*values)
         return out, changed
 
-    def _broken(self, tables: dict[str, DataFrame], changed: set[str], ours: Snapshot, final: Snapshot) -> list[str]:
-        """Validation: keys, checks and unique indexes that are new, or hold changed columns, and that rows break."""
+    def _broken(self, tables: dict[str, DataFrame], changed: set[str], ours: Snapshot, final: Snapshot, only: str | None = None) -> list[str]:
+        """Validation, of one table or all: keys, checks and unique indexes that are new, or hold changed columns, and that rows break."""
         before, after = ours.rows(), final.rows()
         named = {c["column_id"]: c["name"] for c in after["columns"]}
         was = {c["column_id"]: c["name"] for c in before["columns"]}
@@ -298,7 +376,7 @@ class Store:
         out = []
         for k in [*after["constraints"], *(i for i in after["indexes"] if i["is_unique"])]:
             ids = k["column_ids"] if "kind" in k else [c["column_id"] for c in k["columns"]]
-            if (k in known and not changed.intersection(ids)) or k["table_id"] not in tables:
+            if (k in known and not changed.intersection(ids)) or k["table_id"] not in tables or only not in (None, k["table_id"]):
                 continue
             rows, keys = tables[k["table_id"]], [named[i] for i in ids]
             kind = k.get("kind", "UNIQUE")
@@ -322,36 +400,77 @@ class Store:
         """Merges, or raises where conflicts are open, rows block the merge or the target's head has moved; gives the new commit.
         All or nothing: versions of changed tables are written first, then one manifest moves the head and points at them."""
         p = self.prepare(source, target, resolutions)
-        n = p["plan"].steps.count()
-        if not merge.can_apply(p["merge"].conflicts, p["resolutions"], len(p["blockers"]), n):
+        if not merge.can_apply(p["merge"].conflicts, p["resolutions"], len(p["blockers"]), p["plan"].steps.count()):
             raise ops.InvalidOperation(" ".join(p["blockers"]) or "conflicts are open, or there is nothing to do")
-        run = {"run_id": uuid.uuid4().hex, "steps": n, "mode": p["plan"].mode().first().mode}
-        final, data = p["final"], {}
+        steps = [{"seq": r.seq, "op_group": r.op_group, "kind": r.kind, "verdict": r.verdict, "status": "PENDING", "error": None} for r in p["plan"].steps.collect()]
+        run = {"run_id": uuid.uuid4().hex, "mode": p["plan"].mode().first().mode, "status": "RUNNING", "steps": steps}
+        self.change(lambda state: state["runs"].update({run["run_id"]: run}))
+        data: dict = {}
         try:
-            tables, changed = self._migrated(target, p["ours"], final)
-            broken = self._broken(tables, changed, p["ours"], final)
-            if broken:
-                raise ops.InvalidOperation(" ".join(broken))
-            stored = self.state()["branches"][target]["data"]
-            moved = {c.table_id for c in final.columns.collect() if c.column_id in changed}
-            for t in final.tables.collect():
-                if t.table_id in moved and t.table_id in stored:
-                    data |= self._write({t.name: tables[t.table_id]}, final)
+            self._execute(run, p, target, data)
             run["rewrites"] = sorted(data)
 
             def edit(state: dict) -> str:
                 if state["branches"][target]["head_commit_id"] != p["head"]:
                     raise Conflict("the target's head has moved")
-                key = self._commit(state, target, final, f"Merge {state['branches'][source]['name']}", author, p["source_head"])
+                key = self._commit(state, target, p["final"], f"Merge {state['branches'][source]['name']}", author, p["source_head"])
                 state["branches"][target]["data"] |= data
                 state["branches"][source]["status"] = "MERGED"
-                state["runs"][run["run_id"]] = run | {"status": "SUCCEEDED", "commit_id": key}
+                state["runs"][run["run_id"]] = run | {"status": status("SUCCEEDED", RUN_STATUSES), "commit_id": key}
                 return key
 
             return self.change(edit)
         except Exception as e:
             for path, _ in data.values():
                 self.files.delete(self.path(path), True)
-            error = local_frame(self.spark, [(str(e),)], "error string").select(backfill.truncated(F.col("error")).alias("error")).first().error
-            self.change(lambda state: state["runs"].update({run["run_id"]: run | {"status": "FAILED", "error": error}}))
+            failed = run | {"status": status("FAILED", RUN_STATUSES), "error": self._short(e)}
+            self.change(lambda state: state["runs"].update({run["run_id"]: failed}))
             raise
+
+    def _short(self, e: Exception) -> str:
+        return local_frame(self.spark, [(str(e),)], "error string").select(backfill.truncated(F.col("error")).alias("error")).first().error
+
+    def _execute(self, run: dict, p: dict, target: str, data: dict) -> None:
+        """The run's steps in order. The first of a table whose stored values change writes its new version; steps that
+        validate, and indexes, hold the new rows against the table's keys; what is left is the manifest's alone. A step that fails leaves those after it
+        skipped, and stops the run."""
+        final = p["final"]
+        tables, changed = self._migrated(target, p["ours"], final)
+        stored = self.state()["branches"][target]["data"]
+        moved = {c.table_id for c in final.columns.collect() if c.column_id in changed}
+        ids, old = ({t.name: t.table_id for t in s.tables.collect()} for s in (final, p["ours"]))
+
+        def write(table: str | None) -> None:
+            if table in moved and table in stored and table not in data:
+                name = next(n for n, t in ids.items() if t == table)
+                data.update(self._write({name: tables[table]}, final))
+                tables[table] = self.spark.read.parquet(data[table][0]).toDF(*tables[table].columns)
+
+        def checked(table: str | None) -> None:
+            write(table)
+            broken = self._broken(tables, changed, p["ours"], final, table)
+            if broken:
+                raise ops.InvalidOperation(" ".join(broken))
+
+        does = {"BACKFILL": write, "VALIDATE": checked, "INDEX_CONCURRENT": checked, "ANALYZE": lambda table: None}
+        for i, step in enumerate(run["steps"]):
+            name = step["op_group"].split(".")[0]
+            table = ids.get(name, old.get(name))
+            step["status"] = status("RUNNING", STEP_STATUSES)
+            try:
+                does.get(step["kind"], checked if step["verdict"] == "SCAN" else write if step["verdict"] == "REWRITE" else lambda table: None)(table)
+                step["status"] = status("SUCCEEDED", STEP_STATUSES)
+            except Exception as e:
+                step |= {"status": status("FAILED", STEP_STATUSES), "error": self._short(e)}
+                for later in run["steps"][i + 1 :]:
+                    later["status"] = status("SKIPPED", STEP_STATUSES)
+                raise
+        for table in moved:  # those that no step has written, as columns that must not be NULL on a table of no size
+            write(table)
+        broken = self._broken(tables, changed, p["ours"], final)
+        if broken:
+            raise ops.InvalidOperation(" ".join(broken))
+
+    def run(self, run_id: str) -> dict:
+        """J11"""
+        return self.state()["runs"][run_id]

@@ -69,7 +69,7 @@ def test_merge_runs_its_plan(spark, folder, tmp_path):
     tables = X.tables(spark, folder)
     few = tables["part"].limit(20)
     even = F.col("p_partkey") % 2 == 0
-    part = few.withColumns({"p_name": F.when(even, F.col("p_partkey").cast("string")).otherwise("n/a"), "p_brand": F.when(even, "B" * 9), "p_type": F.lit("7")}).localCheckpoint()
+    part = few.withColumns({"p_name": F.when(even, F.col("p_partkey").cast("string")).otherwise("n/a"), "p_brand": F.when(even, "B" * 9), "p_type": F.lit("7")}).cache()
     store = Store(spark, f"file://{tmp_path}")
     main = store.import_project("parts", tables | {"part": part, "orders": tables["orders"].limit(30), "lineitem": tables["lineitem"].limit(1)}, X.base(spark, folder))
     of = lambda column: {"table_id": X.tid("part"), "column_id": X.cid("part", column)}
