@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lakebranch import scratch
+
 FIRST, LEAST, MOST, TARGET_MS = 1_000, 100, 50_000, 250
 
 
@@ -13,21 +15,14 @@ def keyset_page(df: DataFrame, key: str, cursor: object, size: int) -> DataFrame
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:
-    """Adds rank, from 0 by a numeric or time key, without sorting all rows in one task: rows are cut at quantiles into about as many
-    parts as there are shuffle partitions, and a part's first rank is what the parts before it hold. Cuts and counts, a number for
-    each part, go by the driver."""
+    """Adds rank, from 0 by key, without sorting all rows in one task: rows are dealt out by ranges of the key, and written, so that a
+    range's first rank, what the ranges before it hold, is of the same rows. The table of ranges has a row for each partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.col(key).cast("double")
-    cuts = sorted(set(df.select(number.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < number)) if cuts else F.lit(0)
-    counts = dict(df.groupBy(part.alias("p")).count().collect())
-    before, offsets = 0, []
-    for p in range(len(cuts) + 1):
-        offsets.append(before)
-        before += counts.get(p, 0)
-    rows = df.withColumn("part", part)
+    rows = scratch.written(df.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "ranks")
+    counts = rows.groupBy("part").agg(F.count("*").alias("held"))
+    before = F.broadcast(counts.select("part", (F.sum("held").over(W.orderBy("part")) - F.col("held")).alias("before")))
     nth = F.row_number().over(W.partitionBy("part").orderBy(key)) - 1
-    return rows.withColumn("rank", nth + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("part"))).drop("part")
+    return rows.withColumn("nth", nth).join(before, "part").withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
 
 
 def percentiles(df: DataFrame, group: str, value: str, shares: list[float], bins: int = 1_024) -> DataFrame:

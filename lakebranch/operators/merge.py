@@ -103,9 +103,9 @@ def merge_tables(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = decisions.filter("decision <> 'drop'").select("table_id", name.alias("name"))
     gone = lambda mine, other, sides, text: F.when(b.isNotNull() & mine.isNull() & other, conflict("TABLE_MODIFIED_AND_DROPPED", "DESTRUCTIVE", "TABLE", key, b, b, None, [b, *sides], text))
     found = _exploded(decisions, [
-        gone(o, t.isNotNull() & F.col("touched_t"), [F.lit("dropped"), F.lit("modified")], _text("The target dropped table '", b, "' and this branch changed it. Keep the changed table, or drop it?")),
-        gone(t, o.isNotNull() & F.col("touched_o"), [F.lit("modified"), F.lit("dropped")], _text("This branch dropped table '", b, "' and the target changed it. Drop it, or keep the target's?")),
-        F.when((F.col("decision") == "merge") & b.isNotNull() & disputed(b, o, t), conflict("BOTH_RENAMED", "SAFE", "TABLE", key, b, b, "name", [b, o, t], _text("Table '", b, "' has a new name on both sides. Which one?"))),
+        gone(o, t.isNotNull() & F.col("touched_t"), [F.lit("dropped"), F.lit("modified")], _text("Table '", b, "' is gone in the target but edited here: keep the edits, or let it go?")),
+        gone(t, o.isNotNull() & F.col("touched_o"), [F.lit("modified"), F.lit("dropped")], _text("Table '", b, "' is gone here but edited in the target: let it go, or take the target's?")),
+        F.when((F.col("decision") == "merge") & b.isNotNull() & disputed(b, o, t), conflict("BOTH_RENAMED", "SAFE", "TABLE", key, b, b, "name", [b, o, t], _text("Both sides call table '", b, "' by another name: choose one."))),
     ])
     return kept, found
 
@@ -134,12 +134,12 @@ def merge_columns(base: Snapshot, ours: Snapshot, theirs: Snapshot, merging: Dat
     none = lambda c: F.when(c["nullable"], "nullable").otherwise("NOT NULL")
     name = b["name"]
     found = _exploded(rows, [
-        F.when(b.isNotNull() & o.isNull() & t.isNotNull() & changed(b, t), conflict("MODIFIED_AND_DROPPED", "DESTRUCTIVE", "COLUMN", key, table, name, None, [shown(b), F.lit("dropped"), shown(t)], _text("The target dropped column '", name, "' and this branch changed it. Restore it, or lose its data?"))),
-        F.when(b.isNotNull() & t.isNull() & o.isNotNull() & changed(b, o), conflict("MODIFIED_AND_DROPPED", "DESTRUCTIVE", "COLUMN", key, table, name, None, [shown(b), shown(o), F.lit("dropped")], _text("This branch dropped column '", name, "' and the target changed it. Keep it, or lose its data?"))),
-        F.when(in_all & disputed(b["name"], o["name"], t["name"]), conflict("BOTH_RENAMED", "SAFE", "COLUMN", key, table, name, "name", [b["name"], o["name"], t["name"]], _text("Column '", name, "' has a new name on both sides. Which one?"))),
-        F.when(in_all & disputed(b["type_sql"], o["type_sql"], t["type_sql"]), conflict("BOTH_MODIFIED", "STRUCTURAL", "COLUMN", key, table, o["name"], "type", [b["type_sql"], o["type_sql"], t["type_sql"]], _text("Column '", o["name"], "' has a new type on both sides. Which one, or one that holds both?"))),
-        F.when(in_all & disputed(b["nullable"], o["nullable"], t["nullable"]), conflict("BOTH_MODIFIED", "STRUCTURAL", "COLUMN", key, table, o["name"], "nullable", [none(b), none(o), none(t)], _text("Both sides changed whether '", o["name"], "' may be NULL."))),
-        F.when(in_all & disputed(b["default_expr"], o["default_expr"], t["default_expr"]), conflict("BOTH_MODIFIED", "SAFE", "COLUMN", key, table, o["name"], "default", [b["default_expr"], o["default_expr"], t["default_expr"]], _text("Column '", o["name"], "' has a new default on both sides."))),
+        F.when(b.isNotNull() & o.isNull() & t.isNotNull() & changed(b, t), conflict("MODIFIED_AND_DROPPED", "DESTRUCTIVE", "COLUMN", key, table, name, None, [shown(b), F.lit("dropped"), shown(t)], _text("Column '", name, "' is gone in the target but edited here: bring it back, or give up its values?"))),
+        F.when(b.isNotNull() & t.isNull() & o.isNotNull() & changed(b, o), conflict("MODIFIED_AND_DROPPED", "DESTRUCTIVE", "COLUMN", key, table, name, None, [shown(b), shown(o), F.lit("dropped")], _text("Column '", name, "' is gone here but edited in the target: leave it there, or give up its values?"))),
+        F.when(in_all & disputed(b["name"], o["name"], t["name"]), conflict("BOTH_RENAMED", "SAFE", "COLUMN", key, table, name, "name", [b["name"], o["name"], t["name"]], _text("Both sides call column '", name, "' by another name: choose one."))),
+        F.when(in_all & disputed(b["type_sql"], o["type_sql"], t["type_sql"]), conflict("BOTH_MODIFIED", "STRUCTURAL", "COLUMN", key, table, o["name"], "type", [b["type_sql"], o["type_sql"], t["type_sql"]], _text("Both sides give column '", o["name"], "' another type: choose one, or a third that holds all values."))),
+        F.when(in_all & disputed(b["nullable"], o["nullable"], t["nullable"]), conflict("BOTH_MODIFIED", "STRUCTURAL", "COLUMN", key, table, o["name"], "nullable", [none(b), none(o), none(t)], _text("May '", o["name"], "' be NULL? The sides disagree."))),
+        F.when(in_all & disputed(b["default_expr"], o["default_expr"], t["default_expr"]), conflict("BOTH_MODIFIED", "SAFE", "COLUMN", key, table, o["name"], "default", [b["default_expr"], o["default_expr"], t["default_expr"]], _text("Both sides give column '", o["name"], "' another default: choose one."))),
     ])
     return kept, found
 

@@ -91,8 +91,8 @@ def blockers(found: DataFrame) -> DataFrame:
     n = F.format_number("failing", 0)
     s = F.when(F.col("failing") == 1, "").otherwise("s")
     where = F.concat_ws(".", "table_name", "column_name")
-    cast = F.concat(where, F.lit(" cannot become "), F.col("to_type"), F.lit(": "), n, F.lit(" row"), s, F.lit(" would fail to convert."))
-    null = F.concat(where, F.lit(" cannot become NOT NULL: "), n, F.lit(" row"), s, F.lit(" in the target are NULL. A default on the column would fill them."))
+    cast = F.concat(n, F.lit(" row"), s, F.lit(" of "), where, F.lit(" can't be read as "), F.col("to_type"), F.lit("."))
+    null = F.concat(n, F.lit(" row"), s, F.lit(" of "), where, F.lit(" hold NULL, and the column has no default to fill them by."))
     text = F.when(F.col("check") == "CAST", cast).when(~F.col("has_default"), null)
     return found.filter("failing > 0").select(text.alias("message")).filter("message IS NOT NULL")
 

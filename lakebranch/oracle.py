@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "preflight_uncastable": UNCASTABLE,
         "preflight_nulls": "SELECT 'status' AS column_name, count(*) FILTER (o_orderstatus = 'P' OR o_orderstatus IS NULL)::BIGINT AS failing FROM orders UNION ALL SELECT 'o_custkey', count(*) FILTER (o_custkey IS NULL) FROM orders",
         "preflight_candidates": "SELECT * FROM (VALUES ('orders', 'o_totalprice', 'CAST', 'numeric(14,2)', FALSE), ('customer', 'c_acctbal', 'CAST', 'numeric(12,2)', FALSE), ('orders', 'o_custkey', 'NOT_NULL', 'bigint', FALSE)) t(table_name, column_name, \"check\", to_type, has_default)",
-        "preflight_blockers": "SELECT 'orders.o_custkey cannot become NOT NULL: ' || format('{:,}', n) || ' row' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' in the target are NULL. A default on the column would fill them.' AS message FROM (SELECT count(*) AS n FROM orders WHERE o_custkey = 1) WHERE n > 0",
+        "preflight_blockers": "SELECT format('{:,}', n) || ' row' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' of orders.o_custkey hold NULL, and the column has no default to fill them by.' AS message FROM (SELECT count(*) AS n FROM orders WHERE o_custkey = 1) WHERE n > 0",
         "orphan_check": _orphans(),
         "identity_next_value": "SELECT coalesce(max(o_orderkey), 0) + 1 AS next_value FROM orders",
         "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 250",

@@ -216,7 +216,7 @@ r AS (SELECT d.kind AS change, d.table_name, d.object_name, d.object_id, d.from_
   FROM d LEFT JOIN b c ON c.column_id = d.object_id LEFT JOIN counts ON counts.table_name = d.table_name LEFT JOIN (SELECT table_name, names FROM k_b WHERE kind = 'PRIMARY_KEY' AND len(id_list) = 1) pk ON pk.table_name = d.table_name
   LEFT JOIN made_b ON made_b.table_id = d.object_id LEFT JOIN i_b i ON i.index_id = d.object_id),
 steps AS (SELECT (row_number() OVER (ORDER BY phase, table_name, position, object_id, change, sub) - 1)::INT AS seq, op_group, kind, verdict, lock, blocks, transactional, point_of_no_return, sql FROM ({" UNION ALL ".join(steps)})),
-warnings AS (SELECT CASE WHEN change = 'COLUMN_DROPPED' AND n > 0 THEN 'Dropping ' || {dot} || ' permanently discards the data in ' || {n} || ' rows.' WHEN change = 'TABLE_DROPPED' AND n > 0 THEN 'Dropping table ' || object_name || ' discards ' || {n} || ' rows.'
+warnings AS (SELECT CASE WHEN change = 'COLUMN_DROPPED' AND n > 0 THEN 'The values of ' || {dot} || ' in ' || {n} || ' rows are lost for good.' WHEN change = 'TABLE_DROPPED' AND n > 0 THEN 'Table ' || object_name || ' goes, and its ' || {n} || ' rows with it.'
   WHEN rewrites AND big AND key IS NULL THEN 'Table ' || table_name || ' has no single-column primary key: ' || object_name || ' can''t be changed in batches, and the table is rewritten.'
   WHEN change = 'COLUMN_TYPE_CHANGED' AND rewrites AND big THEN 'Retyping ' || {dot} || ' rewrites ' || {n} || ' rows and needs disk for the new column.' END AS warning FROM r)"""
 

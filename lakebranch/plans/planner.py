@@ -214,8 +214,8 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
     ).orderBy("seq")
     n, dotted = get(F.lit("n")), get(F.lit("dotted"))
     text = (
-        F.when((F.col("rows") > 0) & (kind == "COLUMN_DROPPED"), joined("Dropping ", dotted, " permanently discards the data in ", n, " rows."))
-        .when((F.col("rows") > 0) & (kind == "TABLE_DROPPED"), joined("Dropping table ", get(F.lit("name")), " discards ", n, " rows."))
+        F.when((F.col("rows") > 0) & (kind == "COLUMN_DROPPED"), joined("The values of ", dotted, " in ", n, " rows are lost for good."))
+        .when((F.col("rows") > 0) & (kind == "TABLE_DROPPED"), joined("Table ", get(F.lit("name")), " goes, and its ", n, " rows with it."))
         .when(F.col("keyless"), joined("Table ", table, " has no single-column primary key: ", get(F.lit("name")), " can't be changed in batches, and the table is rewritten."))
         .when((kind == "COLUMN_TYPE_CHANGED") & F.col("long"), joined("Retyping ", dotted, " rewrites ", n, " rows and needs disk for the new column."))
     )

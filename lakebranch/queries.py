@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakebranch import fixtures as X
+from lakebranch import fixtures as X, scratch
 from lakebranch.functions import hashing, identifiers, types
 from lakebranch.operators import backfill, dag, diff, merge, ops, preflight, sample
 from lakebranch.plans import classify, planner, render
 from lakebranch.snapshot import local_frame, localised
 from lakebranch.sources import demo, introspect, url
-from lakebranch.store import Conflict, Store, scratch
+from lakebranch.store import Conflict, Store
 
 TYPES = [
     "character varying(32)", "character varying", "timestamp with time zone", "timestamp without time zone", "time with time zone", "time without time zone", "integer", "bigint",
@@ -527,7 +527,7 @@ RUN_EDITS = [
 
 
 def _shop(spark, d, names: list[str]) -> tuple[Store, str]:
-    store = Store(spark, scratch(spark))
+    store = Store(spark, scratch.folder(spark, "store"))
     tables = X.tables(spark, d)
     return store, store.import_project("shop", {n: tables[n] for n in names}, X.base(spark, d))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -35,20 +34,6 @@ _SPARK = {"smallint": "smallint", "integer": "int", "bigint": "bigint", "real":
 _CALLS = {"gen_random_uuid()": "uuid()", "uuid_generate_v4()": "uuid()", "clock_timestamp()": "now()"}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that spark.checkpoint.dir names, which all nodes share; where that is unset, a local one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else None
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-        found = "file://" + tempfile.mkdtemp(prefix="store-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 class Conflict(RuntimeError):
     """Another writer was first, or the head isn't what the caller saw."""
 

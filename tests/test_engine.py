@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from lakebranch import fixtures as X
 from lakebranch import oracle, queries
 from lakebranch.functions import hashing, identifiers, types
-from lakebranch.operators import backfill, dag, diff, merge, ops, preflight
+from lakebranch.operators import backfill, dag, diff, merge, ops, preflight, sample
 from lakebranch.plans import planner, render
-from lakebranch.snapshot import local_frame
+from lakebranch.snapshot import Snapshot, local_frame
+from lakebranch.sources import introspect
 
 CHEAP = "type_canonicalize type_render default_canonicalize identifier_validation identifier_quote merge_attribute classify_default classify_type_change preflight_uncastable preflight_nulls orphan_check branch_sample_orders identity_next_value keyset_page backfill_batch_stats backfill_result backfill_failures batch_adaptation backoff_ceiling commit_history latency_percentiles table_stats".split()
 
@@ -129,3 +130,72 @@ def test_ranked_needs_no_global_sort(spark):
 def test_types_and_ids(spark):
     t = spark.range(1).select(types.type_sql(types.parse_type(F.lit("Timestamp (3) with time zone"))).alias("t")).first().t
     assert t == "timestamptz(3)" and len(identifiers.mint("table")) == 20
+    assert len({identifiers.mint("column") for _ in range(100)}) == 100 and identifiers.mint("table", 1) < identifiers.mint("table", 2)
+
+
+def test_catalog_and_files(spark, folder):
+    assert introspect.schema_exists(spark, "default") and not introspect.schema_exists(spark, "nowhere")
+    sizes = {r.table_name: (r.bytes, r.pretty) for r in introspect.table_bytes(spark, folder, ["region", "lineitem"]).collect()}
+    assert all(n == os.path.getsize(f"{folder}/{t}.parquet") for t, (n, _) in sizes.items())
+    assert sizes["region"][1].endswith(("bytes", "kB")) and sizes["lineitem"][1].endswith(("kB", "MB"))
+
+
+def test_samples_of_no_rows(spark, folder):
+    t = {n: df for n, df in X.tables(spark, folder).items() if n in ("region", "nation")}
+    for limit in (0, -1):
+        got = sample.sample(t, ["region", "nation"], {}, [("nation", ["n_regionkey"], "region", ["r_regionkey"])], limit)
+        assert all(df.count() == 0 and df.columns == t[n].columns for n, df in got.items())
+
+
+def test_script_makes_parents_first(spark, sides):
+    rows = sorted(render.materialise(sides[0], "main").collect(), key=lambda r: (r.phase, r.ord))
+    made = [r.name for r in rows if r.phase == 0]
+    assert made == ["part", "region", "nation", "supplier", "customer", "events", "orders", "lineitem"] and [r.phase for r in rows] == sorted(r.phase for r in rows)
+
+
+def test_percentiles_by_brute_force(spark):
+    rows = [("a", float(i * 7 % 13)) for i in range(40)] + [("b", 5.0)] * 9 + [(None, float(i)) for i in range(3)] + [("c", None)]
+    got = {r.g: (r.p50, r.p99) for r in backfill.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", [0.5, 0.99], 8).collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g)
+        assert got[g] == tuple(v[min(len(v) - 1, int(len(v) * p))] for p in (0.5, 0.99))
+    assert set(got) == {"a", "b", None} and backfill.percentiles(spark.createDataFrame([], "g string, v double"), "g", "v", [0.5]).count() == 0
+
+
+def test_castable_numbers_and_booleans(spark):
+    values = ["1e25", "12345678901234567890123", "tr", "fal", "of", "o", "1e200000", "NaN", "infinity", "-.5", "1.", "."]
+    rows = local_frame(spark, [(v,) for v in values], "v string")
+    fine = lambda kind: {r.v for r in rows.filter(preflight.castable(F.col("v"), kind)).collect()}
+    assert fine("numeric") == {"1e25", "12345678901234567890123", "NaN", "infinity", "-.5", "1."}
+    assert fine("numeric(50,2)") == {"1e25", "12345678901234567890123", "NaN", "-.5", "1."} and fine("numeric(40,30)") == {"NaN", "-.5", "1."}
+    assert fine("boolean") == {"tr", "fal", "of"}
+
+
+def edited(s, spark, change):
+    rows = s.rows()
+    change(rows)
+    return Snapshot.of(spark, **{n: [tuple(r.values()) for r in found] for n, found in rows.items()})
+
+
+def test_tables_of_a_merge_can_be_settled(spark, folder, sides):
+    base = sides[0]
+    region, part, events = X.tid("region"), X.tid("part"), X.tid("events")
+
+    def rename(name):
+        return lambda rows: [t.update(name=name) for t in rows["tables"] if t["table_id"] == region]
+
+    ours = edited(ops.apply_all(base, [{"op": "DROP_TABLE", "table_id": events}, {"op": "RENAME_COLUMN", "table_id": part, "column_id": X.cid("part", "p_name"), "new_name": "label"}])[0], spark, rename("area"))
+    drop = {"tables": "table_id", "columns": "table_id", "constraints": "table_id", "indexes": "table_id"}
+    theirs = ops.apply_all(base, [{"op": "RENAME_COLUMN", "table_id": events, "column_id": X.cid("events", "ts"), "new_name": "at"}])[0]
+    theirs = edited(theirs, spark, lambda rows: (rename("zone")(rows), [rows.update({n: [r for r in rows[n] if r[k] != part]}) for n, k in drop.items()], rows.update(constraints=[k for k in rows["constraints"] if not (k["ref"] and k["ref"]["table_id"] == part)])))
+    m = merge.merge(base, ours, theirs)
+    found = {(r.type, r.stable_id) for r in m.unresolved().collect()}
+    assert {("TABLE_MODIFIED_AND_DROPPED", events), ("TABLE_MODIFIED_AND_DROPPED", part), ("BOTH_RENAMED", region)} <= found
+    for choice, there, name in (("OURS", {"part"}, "area"), ("THEIRS", {"events"}, "zone")):
+        keys = local_frame(spark, [(i, choice) for _, i in found], "key string, choice string")
+        s = merge.resolved(m, theirs, keys, ours=ours).local()
+        names = {t.name for t in s.tables.collect()}
+        assert names & {"part", "events", "area", "zone", "region"} == there | {name}
+        owners = {t.table_id for t in s.tables.collect()}
+        assert all({r.table_id for r in getattr(s, n).collect()} <= owners for n in ("columns", "constraints", "indexes"))
+        assert merge.can_apply(m.conflicts, keys, 0, 1)
