@@ -10,6 +10,7 @@ from lakebranch.llm import shared
 def roots(edges: DataFrame, nodes: DataFrame, name: str = "class") -> DataFrame:
     """(name, root) of nodes (name), given edges (a, b): root is the least node of the component, itself where it has no edge.
 
+    Nodes without an edge, null ones too, are their own root; edges with a null end join nothing; without nodes there are no rows.
     Each round points every node to the least of its neighbourhood, by an aggregate and a join; the number of rounds grows with
     the logarithm of a component's length. Edges that don't change end it.
     """

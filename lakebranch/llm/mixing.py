@@ -32,10 +32,10 @@ def ranked(sources: DataFrame) -> DataFrame:
     parts = shared.written(
         sources.repartitionByRange(shared.partitions(spark), order).withColumn("part", F.spark_partition_id()), "sources"
     )
-    counts = dict(parts.groupBy("part").count().collect())
-    before = {part: sum(n for p, n in counts.items() if p < part) for part in counts}
-    offset = F.coalesce(*[F.when(F.col("part") == p, n) for p, n in before.items()], F.lit(0)) if before else F.lit(0)
-    return parts.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1 + offset).drop("part")
+    counts = parts.groupBy("part").agg(F.count("*").alias("held"))
+    before = F.broadcast(counts.select("part", (F.sum("held").over(W.orderBy("part")) - F.col("held")).alias("before")))  # a row for each partition
+    nth = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("nth", nth).join(before, "part").withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -259,7 +259,8 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     A row's set holds its distinct shingles of so many words (A-Z lower-cased); with fewer words, its whole sequence as one. Two
     rows link when 100 * intersection >= percent * union. A row without words or text has an empty set and no links. Repeated
     rows each give a row; null ids are passed over when the least is sought, and a row whose component has no id has null. An
-    empty table gives no rows; other columns are left out. N-grams are told apart by at least 48 bits of hash within a block.
+    empty table gives no rows; other columns are left out. N-grams are told apart by 64 bits of hash and sets by 64 bits, so that two
+    different sets may be taken for one only from some 10 ** 9 different sets on.
     """
     spark = df.sparkSession
     shared.limit_batches(spark)

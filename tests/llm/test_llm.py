@@ -325,10 +325,22 @@ def test_chat_round_trip(spark):
         own = sorted([x for x in rows if x[0] == r.conv_id], key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
         assert r.loss == "".join(x[3] or "" for x in own if x[2] == "assistant")
+    # a very long conversation of many turns, and parts of every kind in many orders
+    many = [(9, i, "assistant" if i % 2 else "user", f"<|end|> \\ {i} " * 2_000) for i in range(60)]
+    long = chat.format_chats(spark.createDataFrame(many, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text"))))
+    r = long.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in r.turns] == [x[3] for x in many] and r.loss == "".join(x[3] for x in many if x[2] == "assistant")
     parts = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
     typed = spark.createDataFrame([(1, 0, "user", [("text", "see", None, None, None, None, None), ("image", None, "i.png", 56, 29, None, None), ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 2), ("text", "<|end|>", None, None, None, None, None)])], f"conv_id long, turn long, role string, parts {parts}")
     r = chat.format_chats(typed).first()
     assert "see<|image:1|><|audio:2|><|document:3|><\\|end|>" in r.formatted
+    kinds = {"image": ("i", 56, 29, None, None, 4), "audio": ("a", None, None, 1.5, None, 38), "document": ("d", None, None, None, 2, 1_200)}
+    mixed = [["audio", "image"], ["text", "document", "document", "text"], [], ["image"] * 5 + ["text"], ["text", "text"], ["document", "audio", "text", "image"]]
+    turns = [(1, i, "user", [(k, "t<|", None, None, None, None, None) if k == "text" else (k, None, *kinds[k][:5]) for k in row]) for i, row in enumerate(mixed)]
+    m = chat.format_chats(spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts {parts}")).first()
+    want = [(i, n, k, kinds[k][0], kinds[k][5]) for i, row in enumerate(mixed) for n, k in enumerate(row) if k != "text"]
+    assert [(a.turn, a.part, a.kind, a.ref, a.tokens) for a in m.attachments] == want and m.attachment_tokens == sum(w[4] for w in want)
+    assert [(k, int(n)) for k, n in re.findall(r"<\|(image|audio|document):(\d+)\|>", m.formatted)] == [(w[2], w[1]) for w in want] and m.formatted.count("t<\\|") == 6
     assert [(a.part, a.ref, a.tokens) for a in r.attachments] == [(1, "i.png", 4), (2, "a.wav", 38), (3, "d.pdf", 1200)] and r.attachment_tokens == 1242
 
 
