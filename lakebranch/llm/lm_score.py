@@ -132,8 +132,8 @@ def requests(rows: DataFrame, order: int, parts: int) -> DataFrame:
 def batch_rows(rows: DataFrame, kind: str) -> DataFrame:
     """(batch, block, ids, data) of rows (id, text): a row of a batch's ids and words, block -1.
 
-    The rows are read a second time here; batches must be those of requests(), as they are when rows come from files; scored() checks that
-    they are by the sum of their n-grams' hashes.
+    The rows are read a second time here, in the same batches as in requests(), which scored() makes sure of by the sum of their
+    n-grams' hashes; lm_scores() writes rows first that might come in another order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def lm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spark = df.sparkSession
     shared.limit_batches(spark)
     parts = min(shared.partitions(spark), 1 << 16)
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = shared.steady(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))  # it is read twice
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(ids: pa.Array, words: bytes, found: list[tuple[int, bytes]]) -> pa.RecordBatch:

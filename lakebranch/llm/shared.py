@@ -50,6 +50,14 @@ def removed(*frames: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df where its plan only reads, filters and projects files, so that it gives the same rows in the same order when it is read again; else
+    df as a table written once."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in lines if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation"} and df.inputFiles() else written(df, "rows")
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch where the setting has its default, so that many very long rows don't meet in one."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -216,6 +216,8 @@ def test_lm_scores(spark, odd, none):
     again = lm_score.lm_scores(spark.createDataFrame([r for r in ODD if len(r[1] or "") < 1000], DOCS)).collect()
     assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in again) == want
     assert lm_score.lm_scores(none).count() == 0
+    shuffled = spark.createDataFrame([r for r in ODD if len(r[1] or "") < 1000], DOCS).repartition(3).orderBy(F.rand())
+    assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score.lm_scores(shuffled).collect()) == want
     x = np.array([0, 5, 2**40, 2**63], dtype=np.uint64)
     assert (lm_score.unpacked(lm_score.packed(x, x[:0]))[0] == x).all()
 
