@@ -135,6 +135,19 @@ def reshaped(spark: SparkSession, folder: str) -> tuple[Snapshot, Snapshot]:
     return b, Snapshot.of(spark, **{n: [tuple(r.values()) for r in found] for n, found in rows.items()})
 
 
+#: Names that the branch gives to tables, one of which the target renames and another drops.
+THEIR_NAMES = {"region": "zone", "supplier": "vendor", "events": "log"}
+
+
+def table_sides(spark: SparkSession, folder: str) -> tuple[Snapshot, Snapshot, Snapshot]:
+    """The base, a target with a dropped and a renamed table, and a branch that renames those and a third."""
+    b, o = reshaped(spark, folder)
+    rows = b.rows()
+    for t in rows["tables"]:
+        t["name"] = THEIR_NAMES.get(t["name"], t["name"])
+    return b, o, Snapshot.of(spark, **{n: [tuple(r.values()) for r in found] for n, found in rows.items()})
+
+
 def ours(spark: SparkSession, folder: str) -> Snapshot:
     return ops.apply_all(base(spark, folder), OURS)[0]
 

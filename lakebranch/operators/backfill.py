@@ -88,6 +88,11 @@ def backoff_ceiling(attempt: Column) -> Column:
     return F.least(F.lit(60_000), (100 * F.pow(F.lit(2), F.least(attempt, F.lit(20)))).cast("long"))
 
 
+def pause(elapsed_ms: Column) -> Column:
+    """Milliseconds to rest after a batch: a quarter of what it took."""
+    return F.floor(elapsed_ms * 0.25).cast("long")
+
+
 def truncated(message: Column) -> Column:
     """I18"""
     return F.when(F.length(message) > 2_000, F.concat(F.substring(message, 1, 2_000), F.lit("..."))).otherwise(message)

@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "backfill_batch_stats": f"WITH r AS (SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch, CASE WHEN o_orderkey % 3 <> 0 THEN {cents} END IS DISTINCT FROM {cents} AS moved FROM orders) SELECT batch::BIGINT AS batch, min(k) AS low_key, max(k) AS high_key, count(*)::BIGINT AS scanned, count(*) FILTER (moved)::BIGINT AS updated FROM r GROUP BY batch",
         "backfill_result": "SELECT o_orderkey, o_totalprice::DECIMAL(14,2) AS o_totalprice FROM orders",
         "backfill_failures": f"SELECT o_orderkey AS key, {_MIXED} AS value FROM orders WHERE NOT regexp_full_match({_MIXED}, {_INTEGER})",
-        "batch_adaptation": "SELECT s::INT AS size, e::INT AS elapsed, (CASE WHEN e < 125 THEN least(s * 2, 50000) WHEN e > 250 THEN greatest(s // 2, 100) ELSE s END)::INT AS next FROM (VALUES (100), (150), (1000), (30000), (50000)) a(s), (VALUES (10), (125), (200), (250), (251), (900)) b(e)",
+        "batch_adaptation": "SELECT s::INT AS size, e::INT AS elapsed, (CASE WHEN e < 125 THEN least(s * 2, 50000) WHEN e > 250 THEN greatest(s // 2, 100) ELSE s END)::INT AS next, floor(e * 0.25)::BIGINT AS pause FROM (VALUES (100), (150), (1000), (30000), (50000)) a(s), (VALUES (10), (125), (200), (250), (251), (900)) b(e)",
         "backfill_progress": "SELECT * FROM (VALUES (0, 0, 0.0::DOUBLE), (5, 10, 0.5), (20, 10, 1.0), (3, NULL, 0.0)) t(done, estimated, share)",
         "backoff_ceiling": "SELECT i AS attempt, least(60000, 100 * (1::BIGINT << least(i, 20)))::BIGINT AS ms FROM range(25) t(i)",
         "list_branches": f"WITH {_BRANCH} SELECT branch_id, name, status FROM br WHERE status <> 'ABANDONED'",

@@ -282,6 +282,12 @@ def oracle_sql() -> dict[str, str]:
         "diff_describe": f"WITH {theirs} SELECT object_id, kind, description, destructive FROM d",
         "diff_empty": f"WITH {diff_ctes([])}, e AS (SELECT count(*) AS n FROM d) SELECT n = 0 AS is_empty FROM e",
         "branch_diff": f"WITH {diff_ctes(X.OURS)} SELECT kind, count(*) AS changes, (SELECT count(*) FROM d) > 0 AS drifted FROM d GROUP BY kind",
+        "merge_changed_tables": f"""WITH {snapshot('s')}, b AS (SELECT DISTINCT table_id, table_name AS name FROM s), o AS (SELECT table_id, CASE name WHEN '{X.RENAMED_TABLE[0]}' THEN '{X.RENAMED_TABLE[1]}' ELSE name END AS name FROM b WHERE table_id NOT IN ({', '.join(lit(e['table_id']) for e in X.RESHAPE)})),
+n AS ({values('v', 'old, new', list(X.THEIR_NAMES.items())).replace('v(old, new) AS (', 'SELECT * FROM (', 1)} v(old, new)), t AS (SELECT b.table_id, coalesce(n.new, b.name) AS name FROM b LEFT JOIN n ON b.name = n.old)
+SELECT b.table_id, CASE WHEN o.name IS NULL AND t.name = b.name THEN NULL WHEN o.name IS NULL THEN t.name WHEN o.name = b.name THEN t.name ELSE o.name END AS name,
+  CASE WHEN o.name IS NULL AND t.name <> b.name THEN 'TABLE_MODIFIED_AND_DROPPED' WHEN o.name <> b.name AND t.name <> b.name AND o.name <> t.name THEN 'BOTH_RENAMED' END AS conflict,
+  CASE WHEN o.name IS NULL AND t.name <> b.name THEN 'DESTRUCTIVE' WHEN o.name <> b.name AND t.name <> b.name AND o.name <> t.name THEN 'SAFE' END AS severity
+FROM b LEFT JOIN o USING (table_id) LEFT JOIN t ON t.table_id = b.table_id""",
         "merge_indexes": merged_parts("INDEX"),
         "merge_constraints": merged_parts("CONSTRAINT"),
         "merge_resolved": resolved_columns(),

@@ -254,6 +254,13 @@ def merge_tables(spark, d):
     return _merged(spark, d).merged.tables
 
 
+def merge_changed_tables(spark, d):
+    """Tables that both sides rename, one renames, or one drops and the other renames, with what a person must decide."""
+    m = merge.merge(*X.table_sides(spark, d))
+    kinds = m.conflicts.filter("object_kind = 'TABLE'").select(F.col("stable_id").alias("table_id"), F.col("type").alias("conflict"), "severity")
+    return m.merged.tables.join(kinds, "table_id", "full_outer").select("table_id", "name", "conflict", "severity")
+
+
 def merge_indexes(spark, d):
     return _merged(spark, d).merged.indexes.select("index_id", "name")
 
@@ -462,7 +469,7 @@ def backfill_failures(spark, d):
 
 def batch_adaptation(spark, d):
     rows = local_frame(spark, [(n, ms) for n in (100, 150, 1_000, 30_000, 50_000) for ms in (10, 125, 200, 250, 251, 900)], "size int, elapsed int")
-    return rows.select("size", "elapsed", backfill.next_size(F.col("size"), F.col("elapsed")).alias("next"))
+    return rows.select("size", "elapsed", backfill.next_size(F.col("size"), F.col("elapsed")).alias("next"), backfill.pause(F.col("elapsed")).alias("pause"))
 
 
 def backfill_progress(spark, d):
@@ -634,7 +641,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         type_canonicalize, type_render, default_canonicalize, introspect_tables, introspect_columns, introspect_constraints, introspect_indexes, introspect_unmanaged, identity_carry_forward, snapshot_hash,
         constraint_fingerprint, index_fingerprint, object_count, schema_view, schema_search, table_stats, database_url_parse, identifier_validation, identifier_quote, op_sequence, op_drop_table, diff_columns,
-        diff_tables, diff_indexes, diff_constraints, diff_destructive, diff_describe, diff_empty, branch_diff, drift_check, commit_ancestors, merge_base, merge_attribute, merge_columns, merge_tables, merge_indexes,
+        diff_tables, diff_indexes, diff_constraints, diff_destructive, diff_describe, diff_empty, branch_diff, drift_check, commit_ancestors, merge_base, merge_attribute, merge_columns, merge_tables, merge_changed_tables, merge_indexes,
         merge_constraints, merge_conflicts, merge_name_collisions, merge_resolved, merge_resolved_indexes, merge_can_apply, merge_target, classify_default, classify_type_change, classify_change, plan_steps, plan_drops, plan_mode, plan_warnings,
         plan_key_column, render_create_table, render_foreign_key, render_index, table_topo_order, materialise_script, statement_split, merge_preview, preflight_candidates, preflight_uncastable, preflight_nulls,
         preflight_blockers, orphan_check, identity_next_value, keyset_page, backfill_batch_stats, backfill_result, backfill_failures, batch_adaptation, backfill_progress, backoff_ceiling, list_branches,
