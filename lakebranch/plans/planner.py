@@ -168,8 +168,9 @@ def plan(target: Snapshot, merged: Snapshot, row_counts: DataFrame, schema: str
     others = merged.constraints.filter("kind <> 'FOREIGN_KEY'").join(render.names_by_table(merged).select("table_id", "names"), "table_id")
     body = F.when(F.col("kind") == "CHECK", joined("CHECK (", render.bare(F.col("expression")), ")")).otherwise(joined(F.replace("kind", F.lit("_"), F.lit(" ")), " (", render.column_list(F.col("column_ids"), F.col("names")), ")"))
     rows = rows.join(others.select(F.col("constraint_id").alias("key_id"), body.alias("body"), F.lit(True).alias("is_key")), F.col("object_id") == F.col("key_id"), "left")
-    rows = localised(rows)  # from here on expressions on local relations, which the optimiser works out without a job
-    added, typed = classify.add_column(c["default_expr"], strict), classify.change_type(parse_type(before), parse_type(after))
+    # from here on expressions on local relations, which the optimiser works out without a job
+    rows = localised(localised(rows).withColumns({"was": F.when(kind == "COLUMN_TYPE_CHANGED", parse_type(before)), "becomes": F.when(kind == "COLUMN_TYPE_CHANGED", parse_type(after))}))
+    added, typed = classify.add_column(c["default_expr"], strict), classify.change_type(F.col("was"), F.col("becomes"))
     rows = rows.withColumn("own", F.when(kind == "COLUMN_ADDED", added).when(kind == "COLUMN_TYPE_CHANGED", typed))
     rewritten = F.col("own")["verdict"] == "REWRITE"
     here, named = render.qualify(schema, table), render.qualify(schema, name)
