@@ -24,6 +24,8 @@ from lakebranch.llm import components, shared
 from lakebranch.llm.textops import U, column_words, distinct, mix, shingles
 
 WORDS, PERCENT = 5, 75
+#: Bytes of text whose entries are packed together: fewer take less memory, more make fewer rows.
+BLOCK_BYTES = 8 << 20
 
 
 def entries(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,11 +64,12 @@ def blocks(rows: DataFrame, n: int, parts: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (part for batch in batches for part in shared.sliced(batch, "text", BLOCK_BYTES)):
             got = [entries(b.column("text"), n) for b in shared.sliced(whole, "text")]
             base = np.cumsum([0, *(len(g[2]) for g in got)])
             owner = np.concatenate([g[0] + at for g, at in zip(got, base, strict=False)])
             hashed, sizes, classes = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
+            del got
             first = np.zeros(len(classes), dtype=bool)
             first[np.unique(classes, return_index=True)[1]] = True
             keep = first[owner]
@@ -101,12 +104,14 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         size[node] = np.concatenate([g[1] for g in got])
         holder = np.repeat(node.astype(np.uint32), np.concatenate([g[2] for g in got]))
         column = np.concatenate([g[3] for g in got])
+        del got
         order = np.argsort(column)
         column, holder = column[order], holder[order]
         again = np.zeros(len(column) + 1, dtype=bool)
         again[1:-1] = column[1:] == column[:-1]
         many = again[1:] | again[:-1]
         column, holder = column[many], holder[many]
+        del order, again, many, node
         order = np.lexsort((holder, column))
         column, holder = column[order], holder[order]
         if not len(column):
